@@ -1,15 +1,269 @@
-"""The registered queries over the driver's star schema."""
+"""The registered queries over the driver's star schema, and the SQL that gives the same rows."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from relgen import jobs, star
+from relgen.functions.formatting import fingerprint
+from relgen.functions.semantics import column_semantic, tokens
+from relgen.operators import sinks
+from relgen.operators.generate import Generator
+from relgen.operators.profile import profile
+from relgen.operators.validate import enum, length, orphans, summary
+from relgen.plans import graph
+from relgen.sources.ddl import parse
+from relgen.sources.model import Model, catalog
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+SHOP = """
+CREATE TYPE mood AS ENUM ('sad', 'ok', 'happy');
+CREATE TABLE users (id BIGINT PRIMARY KEY, score INT, mood mood, active BOOLEAN);
+CREATE TABLE items (id BIGINT PRIMARY KEY, price DECIMAL(10,2) NOT NULL);
+CREATE TABLE orders (id BIGINT PRIMARY KEY, user_id BIGINT NOT NULL REFERENCES users(id), gift_for BIGINT REFERENCES users(id));
+CREATE TABLE likes (user_id BIGINT REFERENCES users(id), item_id BIGINT REFERENCES items(id), PRIMARY KEY (user_id, item_id));
+CREATE TABLE staff (id BIGINT PRIMARY KEY, boss_id BIGINT REFERENCES staff(id), created_at TIMESTAMP);
+"""
+ROWS = {"users": 5000, "items": 700, "orders": 20000, "likes": 30000, "staff": 3000}
+
+
+def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _cat(spark: SparkSession) -> dict[str, DataFrame]:
+    return catalog(spark, star.model())
+
+
+def _made(table: str) -> Query:
+    return lambda spark, _: Generator(parse(SHOP), ROWS).table(spark, table)
+
+
+def fk_integrity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orphans of every foreign key of the star schema, zero counts too."""
+    model, tables, out = star.model(), star.tables(spark, sf_dir), None
+    for t in model.tables:
+        for fk in t.foreign_keys:
+            bad = orphans(tables[t.name], tables[fk.ref_table], fk.columns, model.ref_columns(fk))
+            row = bad.agg(F.count("*").alias("orphans")).select(F.lit(t.name).alias("child"), F.lit(fk.columns[0]).alias("fk"), "orphans")
+            out = row if out is None else out.unionByName(row)
+    return out
+
+
+def fk_composite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = _t(spark, sf_dir, "conversations")
+    return orphans(c.select("conv_id", (F.col("turn") + 1).alias("following")), c, ["conv_id", "following"], ["conv_id", "turn"])
+
+
+def pk_duplicates_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", "l_linenumber", (F.col("n") - 1).alias("surplus"))
+
+
+def unique_part_name(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from relgen.operators.validate import duplicates
+
+    rows = _t(spark, sf_dir, "part").withColumn("row_index", F.col("p_partkey"))
+    return duplicates("part", rows, ["p_name"], "UNIQUE").select("row_index", "value", "message")
+
+
+def _enum(table: str, column: str, values: list[str], key: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _t(spark, sf_dir, table).withColumn("row_index", F.col(key))
+        return enum(table, rows, column, "narrow", values).select("row_index", "value", "rule")
+
+    return run
+
+
+def _profile(table: str, columns: list[str]) -> Query:
+    return lambda spark, sf_dir: profile(_t(spark, sf_dir, table), columns).select("column", "total", "nulls", "n_distinct", "type")
+
+
+def catalog_columns_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = _cat(spark)["columns"]
+    return columns.select("table", "column", column_semantic(F.col("column")).alias("semantic"), F.array_join(tokens(F.col("column")), " ").alias("words"))
+
+
+def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.levels(_cat(spark))
+
+
+def export_lines(kind: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _t(spark, sf_dir, "nation").withColumn("row_index", F.col("n_nationkey"))
+        return (sinks.sql_rows if kind == "sql" else sinks.csv_rows)(rows)
+
+    return run
+
+
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jobs.rate_limited(_t(spark, sf_dir, "events"), "event_type", "ts", 3, "1 hour").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
+
+
+def queries() -> dict[str, Query]:
+    strip = lambda f: lambda spark, sf_dir: f(_cat(spark))
+    return {
+        "fk_orphans_documents_labels": lambda s, d: orphans(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels"), ["doc_id"], ["doc_id"]),
+        "fk_integrity_star": fk_integrity_star,
+        "fk_composite_check": fk_composite_check,
+        "pk_duplicates_lineitem": pk_duplicates_lineitem,
+        "unique_part_name": unique_part_name,
+        "not_null_left_join": lambda s, d: _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels"), "doc_id", "left").where("quality is null").select("doc_id"),
+        "enum_event_type": _enum("events", "event_type", ["click", "purchase", "signup", "view"], "event_id"),
+        "enum_segment": _enum("customer", "c_mktsegment", ["BUILDING", "MACHINERY"], "c_custkey"),
+        "length_part_name": lambda s, d: length("part", _t(s, d, "part").withColumn("row_index", F.col("p_partkey")), "p_name", 10).select("row_index", "value", "message"),
+        "violation_summary": lambda s, d: summary(star.tables(s, d), star.model()),
+        "profile_orders": _profile("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
+        "profile_events": _profile("events", ["event_id", "user_id", "event_type", "props"]),
+        "catalog_columns_semantic": catalog_columns_semantic,
+        "graph_edges": strip(lambda c: graph.edges(c).select("src", "dst", "kind", F.array_join("local", ",").alias("local"), "cardinality")),
+        "graph_node_counts": strip(lambda c: graph.nodes(c).groupBy("kind").agg(F.count("*").alias("n"))),
+        "graph_edge_counts": strip(lambda c: graph.edges(c).groupBy("kind").agg(F.count("*").alias("n"))),
+        "graph_degrees": strip(graph.degrees),
+        "fk_cardinality": strip(lambda c: graph.cardinalities(c).select("table", F.array_join("columns", ",").alias("fk"), "cardinality")),
+        "relationship_kind": strip(lambda c: graph.relationship_kinds(c).select("table", "ref_table", F.array_join("columns", ",").alias("fk"), "kind")),
+        "table_roles": strip(graph.table_roles),
+        "topo_levels": topo_levels,
+        "transitive_dependencies": strip(graph.closure),
+        "graph_roots": strip(graph.roots),
+        "graph_leaves": strip(graph.leaves),
+        "gen_users": _made("users"),
+        "gen_items_decimal": lambda s, d: _made("items")(s, d).select("row_index", "id", F.col("price").cast("string").alias("price")),
+        "gen_orders_fk": _made("orders"),
+        "gen_junction_pairs": _made("likes"),
+        "gen_self_ref": lambda s, d: _made("staff")(s, d).select("row_index", "id", "boss_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")),
+        "export_sql_values": export_lines("sql"),
+        "export_csv_lines": export_lines("csv"),
+        "request_fingerprint": lambda s, d: s.range(1).select(fingerprint("SELECT", 10, 42, "sql", "public").alias("key")),
+        "jobs_latest": lambda s, d: _t(s, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(20),
+        "rate_limit": rate_limit,
+    }
+
+
+def _values(rows: list[tuple], names: str) -> str:
+    def lit(v: object) -> str:
+        if v is None:
+            return "NULL"
+        if isinstance(v, bool):
+            return str(v).lower()
+        if isinstance(v, list):
+            return "[" + ", ".join(lit(x) for x in v) + "]"
+        return str(v) if isinstance(v, int) else "'" + str(v).replace("'", "''") + "'"
+
+    return "(VALUES " + ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows) + f") {names}"
+
+
+def _catalog_sql(m: Model) -> str:
+    """Common table expressions with the catalog's rows."""
+    t = _values([(i, x.name) for i, x in enumerate(m.tables)], "t(ord, tab)")
+    c = _values([(x.name, c.name, c.type, c.nullable) for x in m.tables for c in x.columns], "c(tab, col, type, nullable)")
+    f = _values([(x.name, f.columns[0], f.ref_table, f.on_delete) for x in m.tables for f in x.foreign_keys], "f(tab, col, ref, on_delete)")
+    k = _values([(x.name, p) for x in m.tables for p in x.primary_key], "k(tab, col)")
+    e = _values([(x.name,) for x in m.enums], "e(enum)")
+    return f"tabs AS (SELECT * FROM {t}), cols AS (SELECT * FROM {c}), fks AS (SELECT * FROM {f}), pks AS (SELECT * FROM {k}), enums AS (SELECT * FROM {e})"
+
+
+_CARD = """card AS (SELECT f.*, CASE
+  WHEN n = 1 AND EXISTS (SELECT 1 FROM pks p WHERE p.tab = f.tab AND p.col = f.col) THEN 'one_to_one'
+  WHEN n > 1 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = f.tab AND NOT EXISTS (SELECT 1 FROM fks g WHERE g.tab = p.tab AND g.col = p.col)) THEN 'many_to_many'
+  ELSE 'one_to_many' END AS cardinality
+  FROM fks f JOIN (SELECT tab, count(*) AS n FROM pks GROUP BY tab) USING (tab))"""
+_EDGES = """edges AS (
+  SELECT 'table:' || tab AS src, 'column:' || tab || '.' || col AS dst, 'contains' AS kind, NULL AS local, NULL AS cardinality FROM cols
+  UNION ALL SELECT 'table:' || tab, 'table:' || ref, 'references', col, cardinality FROM card
+  UNION ALL SELECT 'table:' || ref, 'table:' || tab, 'referenced_by', col, cardinality FROM card
+  UNION ALL SELECT 'table:' || tab, 'table:' || ref, 'depends_on', col, cardinality FROM card
+  UNION ALL SELECT 'column:' || tab || '.' || col, 'enum:' || type, 'uses_enum', NULL, NULL FROM cols JOIN enums ON type = enum)"""
+
+
+def _u(table: str, column: str, k: str = "") -> str:
+    return f"('0x' || substr(md5('42:{table}:{column}:' || i{k}), 1, 15))::BIGINT"
+
+
+def _perm(domain: int, salt: str, row: str = "i") -> str:
+    """The same coefficients as the generator's."""
+    import hashlib
+    import math
+
+    x = int(hashlib.md5(f"42:{salt}".encode()).hexdigest()[:12], 16)
+    a = x % max(1, min(domain, 1 << 30)) or 1
+    while math.gcd(a, domain) != 1:
+        a += 1
+    return f"(({row}::BIGINT * {a} + {(x >> 7) % domain}) % {domain})"
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    m = star.model()
+    cat = "WITH " + _catalog_sql(m)
+    rec = cat.replace("WITH ", "WITH RECURSIVE ", 1)
+    fks = [(t.name, f.columns[0], f.ref_table, m.ref_columns(f)[0]) for t in m.tables for f in t.foreign_keys]
+    orphan = lambda t, c, p, r: f"SELECT count(*) FROM {t} x WHERE x.{c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {p} y WHERE y.{r} = x.{c})"
+    counts: dict[tuple[str, str], list[str]] = {}
+    for t in m.tables:
+        for c in t.columns:
+            if not c.nullable:
+                counts.setdefault((t.name, "NOT_NULL"), []).append(f"SELECT count(*) FROM {t.name} WHERE {c.name} IS NULL")
+            if e := m.enum(c.type):
+                counts.setdefault((t.name, "ENUM"), []).append(f"SELECT count(*) FROM {t.name} WHERE {c.name} NOT IN ({', '.join(repr(v) for v in e.values)})")
+            if c.length and c.type in ("varchar", "char"):
+                counts.setdefault((t.name, "LENGTH"), []).append(f"SELECT count(*) FROM {t.name} WHERE strlen({c.name}) > {c.length}")
+        for rule, keys in (("PK_UNIQUE", [t.primary_key]), ("UNIQUE", t.unique)):
+            for k in keys:
+                counts.setdefault((t.name, rule), []).append(f"SELECT coalesce(sum(n - 1), 0) FROM (SELECT count(*) AS n FROM {t.name} GROUP BY {', '.join(k)})")
+        for f in t.foreign_keys:
+            counts.setdefault((t.name, "FK"), []).append(orphan(t.name, f.columns[0], f.ref_table, m.ref_columns(f)[0]))
+    violation = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{r}' AS rule, CAST({' + '.join(f'({q})' for q in qs)} AS BIGINT) AS violations" for (t, r), qs in counts.items())
+
+    def profiled(table: str, columns: dict[str, str]) -> str:
+        return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS n_distinct, '{kind}' AS type FROM {table}" for c, kind in columns.items())
+
+    from relgen.functions.semantics import semantic_of
+
+    words = lambda n: " ".join(w for w in n.lower().split("_") if w)
+    semantic = _values([(t.name, c.name, semantic_of(c.name), words(c.name)) for t in m.tables for c in t.columns], 'v("table", "column", semantic, words)')
+    pair = _perm(ROWS["users"] * ROWS["items"], "likes:user_id,item_id")
+    seconds = f"1577836800 + i * 86400 + {_u('staff', '*created')} % 86400"
+    return {
+        "fk_orphans_documents_labels": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
+        "fk_integrity_star": " UNION ALL ".join(f"SELECT '{t}' AS child, '{c}' AS fk, ({orphan(t, c, p, r)}) AS orphans" for t, c, p, r in fks),
+        "fk_composite_check": "SELECT conv_id, turn + 1 AS following FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.turn IS NOT DISTINCT FROM a.turn + 1)",
+        "pk_duplicates_lineitem": "SELECT l_orderkey, l_linenumber, count(*) - 1 AS surplus FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+        "unique_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'duplicate unique value \"' || p_name || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_name) AS f FROM part) WHERE p_partkey > f",
+        "not_null_left_join": "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL",
+        "enum_event_type": "SELECT event_id AS row_index, event_type AS value, 'ENUM' AS rule FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')",
+        "enum_segment": "SELECT c_custkey AS row_index, c_mktsegment AS value, 'ENUM' AS rule FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
+        "length_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'string length ' || strlen(p_name) || ' exceeds column limit 10' AS message FROM part WHERE strlen(p_name) > 10",
+        "violation_summary": violation,
+        "profile_orders": profiled("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderpriority": "text"}),
+        "profile_events": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}),
+        "catalog_columns_semantic": f"SELECT * FROM {semantic}",
+        "graph_edges": f"{cat}, {_CARD}, {_EDGES} SELECT * FROM edges",
+        "graph_node_counts": f"{cat} SELECT 'table' AS kind, count(*) AS n FROM tabs UNION ALL SELECT 'enum', count(*) FROM enums UNION ALL SELECT 'column', count(*) FROM cols",
+        "graph_edge_counts": f"{cat}, {_CARD}, {_EDGES} SELECT kind, count(*) AS n FROM edges GROUP BY kind",
+        "graph_degrees": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS n_outgoing, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS n_incoming, (SELECT count(*) FROM fks f WHERE f.tab = t.tab AND f.ref = t.tab) AS n_self FROM tabs t',
+        "fk_cardinality": f'{cat}, {_CARD} SELECT tab AS "table", col AS fk, cardinality FROM card',
+        "relationship_kind": f"""{cat}, {_CARD} SELECT c.tab AS "table", c.ref AS ref_table, c.col AS fk, CASE WHEN c.tab = c.ref THEN 'hierarchy' WHEN cardinality = 'many_to_many' THEN 'many_to_many' WHEN NOT nullable AND on_delete = 'CASCADE' THEN 'composition' WHEN nullable THEN 'aggregation' ELSE 'association' END AS kind FROM card c JOIN cols x ON x.tab = c.tab AND x.col = c.col""",
+        "table_roles": f"""{cat}, d AS (SELECT tab, (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS o, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS i,
+          (SELECT count(*) FROM pks p WHERE p.tab = t.tab) >= 2 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = t.tab AND NOT EXISTS (SELECT 1 FROM fks f WHERE f.tab = t.tab AND f.col = p.col)) AS j FROM tabs t),
+          r AS (SELECT tab, 'junction' AS role, CASE WHEN j THEN 95 ELSE 0 END AS score, 1 AS least FROM d
+          UNION ALL SELECT tab, 'lookup', CASE WHEN o = 0 THEN 40 ELSE 0 END + CASE WHEN i >= 2 THEN 30 ELSE 0 END + CASE WHEN n <= 6 THEN 20 ELSE 0 END + 10, 50 FROM d
+          UNION ALL SELECT tab, 'transactional', CASE WHEN o >= 1 THEN 30 ELSE 0 END + CASE WHEN NOT j THEN 15 ELSE 0 END, 55 FROM d
+          UNION ALL SELECT tab, 'entity', 50, 1 FROM d)
+          SELECT tab AS "table", role, score FROM r WHERE score >= least""",
+        "topo_levels": f'{rec}, l AS (SELECT tab, 0 AS level FROM tabs UNION SELECT f.tab, l.level + 1 FROM fks f JOIN l ON l.tab = f.ref) SELECT tab AS "table", max(level) AS level FROM l GROUP BY tab',
+        "transitive_dependencies": f'{rec}, p AS (SELECT tab, ref, 1 AS distance FROM fks UNION SELECT p.tab, f.ref, distance + 1 FROM p JOIN fks f ON f.tab = p.ref) SELECT tab AS "table", ref AS ancestor, min(distance) AS distance FROM p GROUP BY ALL',
+        "graph_roots": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT tab FROM fks)',
+        "graph_leaves": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT ref FROM fks)',
+        "gen_users": f"SELECT i AS row_index, i + 1 AS id, ({_u('users', 'score')} % 2147483647 + 1)::INTEGER AS score, ['sad', 'ok', 'happy'][{_u('users', 'mood')} % 3 + 1] AS mood, {_u('users', 'active')} % 2 = 0 AS active FROM range({ROWS['users']}) r(i)",
+        "gen_items_decimal": f"SELECT i AS row_index, i + 1 AS id, ({_u('items', 'price')} % 99999999 + 1) || '.' || lpad(({_u('items', 'price', chr(32) + '|| chr(58) || 1')} % 100)::VARCHAR, 2, '0') AS price FROM range({ROWS['items']}) r(i)",
+        "gen_orders_fk": f"SELECT i AS row_index, i + 1 AS id, {_u('orders', 'user_id')} % {ROWS['users']} + 1 AS user_id, CASE WHEN {_u('orders', 'gift_for', ' || chr(58) || 1')} % 100 >= 20 THEN {_u('orders', 'gift_for')} % {ROWS['users']} + 1 END AS gift_for FROM range({ROWS['orders']}) r(i)",
+        "gen_junction_pairs": f"SELECT i AS row_index, {pair} % {ROWS['users']} + 1 AS user_id, {pair} // {ROWS['users']} + 1 AS item_id FROM range({ROWS['likes']}) r(i)",
+        "gen_self_ref": f"SELECT i AS row_index, i + 1 AS id, CASE WHEN i > 0 THEN {_u('staff', 'boss_id')} % greatest(i, 1) + 1 END AS boss_id, strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM range({ROWS['staff']}) r(i)",
+        "export_sql_values": "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation",
+        "export_csv_lines": "SELECT n_nationkey AS row_index, n_nationkey || ',\"' || replace(n_name, '\"', '\"\"') || '\",' || n_regionkey AS line FROM nation",
+        "request_fingerprint": "SELECT substr(sha256('SELECT|10|42|sql|public'), 1, 32) AS key",
+        "jobs_latest": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
+        "rate_limit": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3",
+    }
