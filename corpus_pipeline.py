@@ -17,7 +17,10 @@ from relgen.llm.tables import written
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules keep."""
-    return quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")).where("kept").select(*docs.columns)
+    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    # a filter would be pushed below the features and repeat their expressions; a generator stays above them
+    row = F.struct(*(F.col(c) for c in docs.columns))
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("__row")).select("__row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
