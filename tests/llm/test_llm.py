@@ -145,7 +145,7 @@ def test_quality(spark, docs):
     text = {r["doc_id"]: r for r in quality.judged(docs, spark.createDataFrame([], "doc_id long, quality int")).collect()}
     assert text[5]["n_words"] == 0 and text[5]["base_failed"] and not text[5]["kept"]
     assert text[10]["n_repeat_words"] > 0 and text[1]["kept"] and text[8]["n_dup_lines"] == 2 and text[1]["words"] == "clash"
-    good = [(i, "plain words of good text " * 3 + " ".join(rng) + f" {i}", "en", 1) for i, rng in ((i, [f"g{i}x{j}" for j in range(25)]) for i in range(300))]
+    good = [(i, "plain words of good text " + " ".join(rng) + f" {i}", "en", 1) for i, rng in ((i, [f"g{i}x{j}" for j in range(25)]) for i in range(300))]
     bad = [(i, " ".join(f"b{i}x{j}###" for j in range(30)), "en", 0) for i in range(300, 340)]
     frame = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, quality int")
     kept = {r["doc_id"] for r in quality.judged(frame.drop("quality"), frame.select("doc_id", "quality")).where("kept").collect()}
