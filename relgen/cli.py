@@ -1,4 +1,4 @@
-"""Command line: generate, inspect, version."""
+"""Command line: generate, inspect, serve, config, version."""
 
 from __future__ import annotations
 
@@ -54,6 +54,12 @@ def build_parser() -> argparse.ArgumentParser:
     g.add_argument("--schema", default="")
     i.add_argument("--graph", action="store_true")
     i.add_argument("--semantic", action="store_true")
+    w = sub.add_parser("serve")
+    w.add_argument("--port", type=int, default=8080)
+    w.add_argument("--host", default="127.0.0.1")
+    w.add_argument("--job-file")
+    c = sub.add_parser("config")
+    c.add_argument("--output", "-o")
     sub.add_parser("version")
     return p
 
@@ -63,6 +69,14 @@ def main(argv: list[str] | None = None) -> int:
     if args.command == "version":
         print(__version__)
         return 0
+    if args.command == "config":
+        if args.output:
+            Path(args.output).write_text(CONFIG)
+        else:
+            sys.stdout.write(CONFIG)
+        return 0
+    if args.command == "serve":
+        return _serve(args)
     config = load_config(args.config).get(args.command, {})
     logging.basicConfig(level=logging.DEBUG if args.verbose else logging.WARNING, stream=sys.stderr)
     path = args.input or config.get("input")
@@ -83,6 +97,21 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def _serve(args) -> int:
+    from pyspark.sql import SparkSession
+
+    from relgen.server import server
+
+    logging.basicConfig(level=logging.INFO, stream=sys.stderr)
+    spark = SparkSession.builder.appName("relgen").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    running = server(spark, args.port, args.job_file, host=args.host)
+    try:
+        running.serve_forever()
+    except KeyboardInterrupt:
+        running.server_close()
+    return 0
+
+
 def _generate(spark, model, args, config: dict) -> int:
     from relgen.operators import sinks
     from relgen.operators.generate import generate
