@@ -138,6 +138,16 @@ def incident(edges: DataFrame, node: str) -> DataFrame:
     return edges.where((F.col("src") == node) | (F.col("dst") == node))
 
 
+def overview(cat: dict[str, DataFrame]) -> DataFrame:
+    """(table, n_columns, n_foreign_keys, n_unique, n_checks)."""
+    part = lambda kind, rows: rows.select("table", F.lit(kind).alias("kind"))
+    kinds = {"columns": cat["columns"], "foreign_keys": cat["fks"], "unique": cat["keys"].where("kind = 'unique'"), "checks": cat["checks"]}
+    found = part("", cat["tables"])
+    for kind, rows in kinds.items():
+        found = found.unionByName(part(kind, rows))
+    return found.groupBy("table").agg(*(F.count_if(F.col("kind") == k).alias(f"n_{k}") for k in kinds))
+
+
 def junctions(cat: dict[str, DataFrame]) -> DataFrame:
     return cardinalities(cat).where("cardinality = 'many_to_many'").select("table").distinct()
 

@@ -9,12 +9,14 @@ from pyspark.sql import functions as F
 
 from relgen import jobs, star
 from relgen.functions.formatting import fingerprint
+from relgen.functions.generators import DOMAINS, FIRST, LAST, PLACES
 from relgen.functions.semantics import column_semantic, tokens
 from relgen.operators import sinks
 from relgen.operators.generate import Generator
 from relgen.operators.profile import profile
 from relgen.operators.validate import enum, length, orphans, summary
 from relgen.plans import graph
+from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
 from relgen.sources.model import Model, catalog
 
@@ -26,8 +28,9 @@ CREATE TABLE items (id BIGINT PRIMARY KEY, price DECIMAL(10,2) NOT NULL);
 CREATE TABLE orders (id BIGINT PRIMARY KEY, user_id BIGINT NOT NULL REFERENCES users(id), gift_for BIGINT REFERENCES users(id));
 CREATE TABLE likes (user_id BIGINT REFERENCES users(id), item_id BIGINT REFERENCES items(id), PRIMARY KEY (user_id, item_id));
 CREATE TABLE staff (id BIGINT PRIMARY KEY, boss_id BIGINT REFERENCES staff(id), created_at TIMESTAMP);
+CREATE TABLE people (id BIGINT PRIMARY KEY, first_name TEXT, last_name TEXT, city TEXT, state TEXT, zip TEXT, email TEXT, phone TEXT, created_at TIMESTAMP NOT NULL, updated_at TIMESTAMP, deleted_at TIMESTAMP, ip INET, mac MACADDR, token UUID);
 """
-ROWS = {"users": 5000, "items": 700, "orders": 20000, "likes": 30000, "staff": 3000}
+ROWS = {"users": 5000, "items": 700, "orders": 20000, "likes": 30000, "staff": 3000, "people": 4000}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -86,6 +89,26 @@ def catalog_columns_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     return columns.select("table", "column", column_semantic(F.col("column")).alias("semantic"), F.array_join(tokens(F.col("column")), " ").alias("words"))
 
 
+def gen_temporal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _made("people")(spark, sf_dir).select("row_index", *(F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c) for c in ("created_at", "updated_at", "deleted_at")))
+
+
+def _columns(*names: str) -> Query:
+    return lambda spark, sf_dir: _made("people")(spark, sf_dir).select("row_index", *names)
+
+
+def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The planner's order of the star schema's tables."""
+    model = star.model()
+    return spark.createDataFrame(list(enumerate(build_plan(model, 10).order)), "ord int, `table` string")
+
+
+def generated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every check of the generated tables: no row violates any."""
+    model = parse(SHOP)
+    return summary({t.name: Generator(model, ROWS).table(spark, t.name) for t in model.tables}, model)
+
+
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.levels(_cat(spark))
 
@@ -134,6 +157,19 @@ def queries() -> dict[str, Query]:
         "gen_orders_fk": _made("orders"),
         "gen_junction_pairs": _made("likes"),
         "gen_self_ref": lambda s, d: _made("staff")(s, d).select("row_index", "id", "boss_id", F.date_format("created_at", "yyyy-MM-dd HH:mm:ss").alias("created_at")),
+        "gen_temporal": gen_temporal,
+        "gen_geo_name": _columns("first_name", "last_name", "city", "state", "zip"),
+        "gen_contact": _columns("email", "phone"),
+        "gen_network": _columns("ip", "mac", "token"),
+        "generated_violations": generated_violations,
+        "schema_overview": strip(graph.overview),
+        "graph_junctions": strip(graph.junctions),
+        "graph_isolated": strip(graph.isolated),
+        "graph_search": strip(lambda c: graph.search(graph.nodes(c), graph.edges(c), "ORDER")[0].select("id", "label")),
+        "graph_incident": strip(lambda c: graph.incident(graph.edges(c), "table:orders").select("src", "dst", "kind")),
+        "graph_dependencies": strip(lambda c: graph.dependencies(c, "lineitem")),
+        "graph_dependents": strip(lambda c: graph.dependents(c, "orders")),
+        "plan_order": plan_order,
         "export_sql_values": export_lines("sql"),
         "export_csv_lines": export_lines("csv"),
         "request_fingerprint": lambda s, d: s.range(1).select(fingerprint("SELECT", 10, 42, "sql", "public").alias("key")),
@@ -223,6 +259,20 @@ def oracle_sql() -> dict[str, str]:
 
     words = lambda n: " ".join(w for w in n.lower().split("_") if w)
     semantic = _values([(t.name, c.name, semantic_of(c.name), words(c.name)) for t in m.tables for c in t.columns], 'v("table", "column", semantic, words)')
+    overview = _values([(t.name, len(t.unique), len(t.checks)) for t in m.tables], "v(tab, n_unique, n_checks)")
+    shop = parse(SHOP)
+    checked = []
+    for t in shop.tables:
+        rules = {"PK_UNIQUE"} | ({"UNIQUE"} if t.unique else set()) | ({"FK"} if t.foreign_keys else set())
+        for c in t.columns:
+            rules |= ({"NOT_NULL"} if not c.nullable else set()) | ({"ENUM"} if shop.enum(c.type) else set()) | ({"LENGTH"} if c.length and c.type in ("varchar", "char") else set())
+        checked += [(t.name, r, 0) for r in sorted(rules)]
+    of = lambda values, u: f"[{', '.join(repr(v) for v in values)}][{u} % {len(values)} + 1]"
+    p = lambda column, k=None: _u("people", column, "" if k is None else f" || chr(58) || {k}")
+    last = f"CAST(floor({p('*name')} / 64) AS BIGINT)"
+    made = f"1577836800 + i * 86400 + {p('*created')} % 86400"
+    at = lambda s: f"strftime(make_timestamp(({s}) * 1000000), '%Y-%m-%d %H:%M:%S')"
+    digest = f"md5(({p('mac')})::VARCHAR)"
     pair = _perm(ROWS["users"] * ROWS["items"], "likes:user_id,item_id")
     seconds = f"1577836800 + i * 86400 + {_u('staff', '*created')} % 86400"
     return {
@@ -261,6 +311,18 @@ def oracle_sql() -> dict[str, str]:
         "gen_orders_fk": f"SELECT i AS row_index, i + 1 AS id, {_u('orders', 'user_id')} % {ROWS['users']} + 1 AS user_id, CASE WHEN {_u('orders', 'gift_for', ' || chr(58) || 1')} % 100 >= 20 THEN {_u('orders', 'gift_for')} % {ROWS['users']} + 1 END AS gift_for FROM range({ROWS['orders']}) r(i)",
         "gen_junction_pairs": f"SELECT i AS row_index, {pair} % {ROWS['users']} + 1 AS user_id, {pair} // {ROWS['users']} + 1 AS item_id FROM range({ROWS['likes']}) r(i)",
         "gen_self_ref": f"SELECT i AS row_index, i + 1 AS id, CASE WHEN i > 0 THEN {_u('staff', 'boss_id')} % greatest(i, 1) + 1 END AS boss_id, strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM range({ROWS['staff']}) r(i)",
+        "gen_temporal": f"SELECT i AS row_index, {at(made)} AS created_at, {at(made + ' + ' + p('*updated') + ' % 720 * 3600')} AS updated_at, CASE WHEN {p('deleted_at')} % 10 = 0 THEN {at(made + ' + ' + p('*deleted') + ' % 730 * 86400')} END AS deleted_at FROM range({ROWS['people']}) r(i)",
+        "gen_geo_name": f"SELECT i AS row_index, {of(FIRST, p('*name'))} AS first_name, {of(LAST, last)} AS last_name, " + ", ".join(f"{of([x[k] for x in PLACES], p('*place'))} AS {c}" for k, c in enumerate(("city", "state", "zip"))) + f" FROM range({ROWS['people']}) r(i)",
+        "gen_contact": f"SELECT i AS row_index, lower({of(FIRST, p('*name'))}) || ({p('email')} % 999 + 1) || '@' || {of(DOMAINS, p('email', 1))} AS email, '(' || ({p('phone')} % 800 + 200) || ') ' || lpad(({p('phone', 1)} % 1000)::VARCHAR, 3, '0') || '-' || lpad(({p('phone', 2)} % 10000)::VARCHAR, 4, '0') AS phone FROM range({ROWS['people']}) r(i)",
+        "gen_network": f"SELECT i AS row_index, " + " || '.' || ".join(f"({p('ip', k)} % {n} + {a})" for k, (n, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))) + " AS ip, " + " || ':' || ".join(f"substr({digest}, {k}, 2)" for k in range(1, 13, 2)) + f" AS mac, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST({p('token')} % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS token FROM (SELECT i, md5('42:people:token:' || i) AS h FROM range({ROWS['people']}) r(i))",
+        "generated_violations": f"""SELECT tab AS "table", rule, CAST(n AS BIGINT) AS violations FROM {_values(checked, "v(tab, rule, n)")}""",
+        "schema_overview": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = v.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = v.tab) AS n_foreign_keys, n_unique, n_checks FROM {overview}',
+        "graph_junctions": f"{cat}, {_CARD} SELECT DISTINCT tab AS \"table\" FROM card WHERE cardinality = 'many_to_many'",
+        "graph_isolated": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT tab FROM fks WHERE tab <> ref UNION SELECT ref FROM fks WHERE tab <> ref)',
+        "graph_search": f"{cat} SELECT * FROM (SELECT 'table:' || tab AS id, tab AS label FROM tabs UNION ALL SELECT 'enum:' || enum, enum FROM enums UNION ALL SELECT 'column:' || tab || '.' || col, col FROM cols) WHERE lower(label) LIKE '%order%'",
+        "graph_incident": f"{cat}, {_CARD}, {_EDGES} SELECT src, dst, kind FROM edges WHERE 'table:orders' IN (src, dst)",
+        "graph_dependencies": f"{cat} SELECT DISTINCT ref AS \"table\" FROM fks WHERE tab = 'lineitem'",
+        "graph_dependents": f"{cat} SELECT DISTINCT tab AS \"table\" FROM fks WHERE ref = 'orders'",
         "export_sql_values": "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation",
         "export_csv_lines": "SELECT n_nationkey AS row_index, n_nationkey || ',\"' || replace(n_name, '\"', '\"\"') || '\",' || n_regionkey AS line FROM nation",
         "request_fingerprint": "SELECT substr(sha256('SELECT|10|42|sql|public'), 1, 32) AS key",

@@ -110,6 +110,9 @@ def test_queries_match_their_sql(spark):
     for name, run in queries.queries().items():
         df = run(spark, sf)
         cols = sorted(df.columns)
+        if name not in sql:
+            assert df.count() > 0, name
+            continue
         want = c.execute(sql[name])
         names = [d[0] for d in want.description]
         assert sorted(names) == cols, name
