@@ -5,8 +5,10 @@ permutations make the 192 values of 32 bands of 6.  A pair at similarity 0.85 sh
 probability (1 - 0.85**6)**32 = 3e-7.  Documents with equal shingle sets are one class from the start.
 
 Classes that share a band, directly or over others, form a family; the texts of a family's classes
-travel once to one place, where links are confirmed on the full sets.  A family above ``block``
-shingles is cut into blocks, and each pair of blocks is confirmed in a task of its own.
+travel once to one place, where links are confirmed on the full sets.  In a family above ``block``
+shingles, members are first held against the heads of their bands, which links near all of a large group
+of copies in one pass; then only members outside the family's largest component meet the others, in
+blocks, so the work grows with the family times its unlinked rest, not with its square.
 """
 
 from __future__ import annotations
@@ -79,8 +81,11 @@ def _sketch(size: int, bands: int, rows: int):
     return run
 
 
-def confirm(h: np.ndarray, off: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Links that connect what is linked among some sets: a pair only if its two sets weren't connected before."""
+def confirm(h: np.ndarray, off: np.ndarray, percent: int, label: np.ndarray | None = None) -> list[tuple[int, int]]:
+    """Links that connect what is linked among some sets: a pair only if its two sets weren't connected before.
+
+    ``label``: equal for sets that are known to be connected.
+    """
     n = len(off) - 1
     owner = np.repeat(np.arange(n), np.diff(off))
     size = np.diff(off)
@@ -98,7 +103,7 @@ def confirm(h: np.ndarray, off: np.ndarray, percent: int) -> list[tuple[int, int
     members = np.flatnonzero(alive)
     if len(members) < 2:
         return []
-    label = np.arange(n)
+    label = np.arange(n) if label is None else label.copy()
     links: list[tuple[int, int]] = []
     flat = alive[owner]
     code, owner = code[flat], owner[flat]
@@ -125,7 +130,7 @@ def confirm(h: np.ndarray, off: np.ndarray, percent: int) -> list[tuple[int, int
 def _links(size: int, percent: int):
     def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
         group = list(zip(*(table.column(c).to_pylist() for c in ("family", "i", "j")), strict=True))
-        doc = table.column("doc_id").to_numpy()
+        doc, label = table.column("doc_id").to_numpy(), table.column("label").to_numpy()
         h, off = shingle_sets(K.words_of(*K.text_buffers(table.column("text").combine_chunks()), lower=True), size)
         out: list[tuple[int, int]] = []
         at = 0
@@ -134,13 +139,64 @@ def _links(size: int, percent: int):
             while to < len(group) and group[to] == group[at]:
                 to += 1
             if to - at > 1:
-                out += [(int(doc[at + a]), int(doc[at + b])) for a, b in confirm(h[off[at] : off[to]], off[at : to + 1] - off[at], percent)]
+                out += [(int(doc[at + a]), int(doc[at + b])) for a, b in confirm(h[off[at] : off[to]], off[at : to + 1] - off[at], percent, label[at:to])]
             at = to
         yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], ["a", "b"])
 
     return run
 
 
+def _to_heads(size: int, percent: int):
+    """Links of a group's head ``a`` with the other rows of the group."""
+
+    def run(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        head, salt, doc = (table.column(c).to_numpy() for c in ("a", "salt", "doc_id"))
+        h, off = shingle_sets(K.words_of(*K.text_buffers(table.column("text").combine_chunks()), lower=True), size)
+        sizes = np.diff(off)
+        cut = np.flatnonzero((head[1:] != head[:-1]) | (salt[1:] != salt[:-1])) + 1
+        found = []
+        for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(head)], strict=True):
+            owner = np.repeat(np.arange(hi - lo), sizes[lo:hi])
+            for r in np.flatnonzero(doc[lo:hi] == head[lo]).tolist():
+                own = h[off[lo + r] : off[lo + r + 1]]
+                common = np.bincount(owner, weights=np.isin(h[off[lo] : off[hi]], own), minlength=hi - lo)
+                found.append(lo + np.flatnonzero((sizes[lo:hi] > 0) & (100 * common >= percent * (len(own) + sizes[lo:hi] - common))))
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        at = at[doc[at] != head[at]]
+        yield pa.RecordBatch.from_arrays([pa.array(head[at], pa.int64()), pa.array(doc[at], pa.int64())], ["a", "b"])
+
+    return run
+
+
+def head_links(near: DataFrame, members: DataFrame, texts: DataFrame, percent: int, size: int, block: int) -> DataFrame:
+    """(a, b): confirmed links of ``members`` (node, n_shingles) with the heads of their bands.
+
+    A head with many members is dealt out by a salt, its own text once to each.
+    """
+    pairs = near.join(members, near["b"] == members["node"]).select("a", "b", "n_shingles")
+    salts = pairs.groupBy("a").agg(F.ceil(F.sum("n_shingles") * 2 / F.lit(block)).cast("int").alias("salts"))
+    dealt = pairs.join(salts, "a").select("a", F.pmod(F.xxhash64("b"), "salts").cast("int").alias("salt"), F.col("b").alias("doc_id"))
+    heads = salts.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.col("a").alias("doc_id"))
+    return grouped_stream(dealt.unionByName(heads).join(texts, "doc_id").select("a", "salt", "doc_id", "text"), ["a", "salt"], _to_heads(size, percent), "a bigint, b bigint")
+
+
+def cells(members: DataFrame, block: int) -> DataFrame:
+    """(node, family, i, j, label) of ``members`` (node, family, n_shingles, label): cells in which all pairs with different labels meet.
+
+    A family's largest component is cut into blocks, and so is the rest of the family; each block of the
+    rest meets every other block.  A family of one component has no cells.
+    """
+    parts = members.groupBy("family", "label").agg(F.sum("n_shingles").alias("n"))
+    shape = parts.groupBy("family").agg(F.max_by("label", F.struct("n", -F.col("label"))).alias("main"), F.max("n").alias("most"), F.sum("n").alias("total")).where("total > most")
+    count = lambda n: F.ceil(n * 2 / F.lit(block)).cast("int")
+    shape = shape.select("family", "main", count(F.col("most")).alias("mains"), count(F.col("total") - F.col("most")).alias("rests"))
+    at = members.join(shape, "family").withColumn("inner", F.col("label") == F.col("main"))
+    at = at.withColumn("own", F.pmod(F.xxhash64("node"), F.when(F.col("inner"), F.col("mains")).otherwise(F.col("rests"))).cast("int") + F.when(F.col("inner"), F.col("rests")).otherwise(0))
+    all_rests, all_blocks = F.sequence(F.lit(0), F.col("rests") - 1), F.sequence(F.lit(0), F.col("rests") + F.col("mains") - 1)
+    at = at.withColumn("o", F.explode(F.when(F.col("inner"), all_rests).otherwise(F.array_remove(all_blocks, F.col("own")))))
+    return at.select("node", "family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"), "label")
+
+
 def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: int = BANDS, rows: int = ROWS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of each document.
 
@@ -157,18 +213,24 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     keys = written(classes.select("doc_id", F.explode("bands").alias("key")), "keys")
     heads = keys.groupBy("key").agg(F.min("doc_id").alias("head"), F.max("doc_id").alias("last")).where("head < last").select("key", "head")
     near = keys.join(heads, "key").where("head <> doc_id").select(F.col("head").alias("a"), F.col("doc_id").alias("b")).distinct()
+    near = written(near, "candidates")
     families = written(components(near).withColumnRenamed("component", "family"), "families")
     sized = families.join(real.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.max("n_shingles").alias("n_shingles")), "node")
-    total = sized.groupBy("family").agg(F.sum("n_shingles").alias("total")).select("family", F.ceil(F.col("total") * 2 / F.lit(block)).cast("int").alias("parts"))
-    placed = sized.join(total, "family").select("node", "family", F.when(F.col("parts") <= 2, 1).otherwise(F.col("parts")).alias("parts"))
-    placed = placed.withColumn("own", F.pmod(F.xxhash64("node"), "parts").cast("int"))
-    others = F.when(F.col("parts") == 1, F.array(F.lit(0))).otherwise(F.array_remove(F.sequence(F.lit(0), F.col("parts") - 1), F.col("own")))
-    placed = placed.withColumn("o", F.explode(others)).select("node", "family", F.least("own", "o").alias("i"), F.greatest("own", "o").alias("j"))
-    texts = own.where("doc_id is not null").join(placed.withColumnRenamed("node", "doc_id"), "doc_id").select("family", "i", "j", "doc_id", "text")
-    links = grouped_stream(texts, ["family", "i", "j"], _links(size, percent), "a bigint, b bigint")
+    large = written(sized.groupBy("family").agg(F.sum("n_shingles").alias("total")).where(F.col("total") > block).select("family"), "large-families")
+    placed = sized.join(large, "family", "left_anti").select("node", "family", F.lit(0).alias("i"), F.lit(0).alias("j"), F.col("node").alias("label"))
+    texts = own.where("doc_id is not null")
+    first = None
+    if not large.isEmpty():
+        members = written(sized.join(large, "family", "left_semi"), "members")
+        first = written(head_links(near, members, texts, percent, size, block), "head-links")
+        known = components(first).withColumnRenamed("component", "label")
+        members = written(members.join(known, "node", "left").withColumn("label", F.coalesce("label", "node")), "labelled")
+        placed = placed.unionByName(cells(members, block))
+    met = texts.join(placed.withColumnRenamed("node", "doc_id"), "doc_id").select("family", "i", "j", "doc_id", "label", "text")
+    links = written(grouped_stream(met, ["family", "i", "j"], _links(size, percent), "a bigint, b bigint"), "links")
     exact = real.join(classes.select("one", "two", F.col("doc_id").alias("a")), ["one", "two"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
     # equal sets hang on their class, so only links between classes need the rounds
-    joined = components(written(links, "links"))
+    joined = components(links if first is None else links.unionByName(first))
     root = exact.groupBy("b").agg(F.min("a").alias("a"))
     return sketch.select("doc_id", "n_shingles").join(root, sketch["doc_id"] == root["b"], "left").withColumn("class", F.coalesce("a", "doc_id")).join(joined, F.col("class") == joined["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -80,7 +80,7 @@ def test_near_duplicates(docs, spark):
             if 100 * len(sets[a] & sets[b]) >= 85 * len(sets[a] | sets[b]):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
-    for block in (neardup.BLOCK, 1500):  # whole, and in blocks
+    for block in (neardup.BLOCK, 1500, 200):  # whole, and in blocks
         made = neardup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), block=block).collect()
         assert {r["doc_id"]: r["component_id"] for r in made} == {i: find(i) for i in range(60)}
 
