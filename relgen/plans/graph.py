@@ -186,3 +186,25 @@ def table_roles(cat: dict[str, DataFrame]) -> DataFrame:
     )
     scores = F.array(*(F.struct(F.lit(r).alias("role"), s.alias("score"), F.lit(n).alias("least")) for r, s, n in roles))
     return rows.select("table", F.explode(scores).alias("s")).where("s.score >= s.least").select("table", "s.role", "s.score")
+
+
+def badges(cat: dict[str, DataFrame]) -> DataFrame:
+    """(table, badge): the one role that a table is shown under, the most telling first."""
+    order = ("junction", "hierarchical", "transactional", "lookup")
+    roles = table_roles(cat).groupBy("table").agg(F.collect_set("role").alias("roles"))
+    badge = F.coalesce(*(F.when(F.array_contains("roles", r), r) for r in order), F.lit("entity"))
+    return roles.select("table", badge.alias("badge"))
+
+
+def optional_references(cat: dict[str, DataFrame]) -> DataFrame:
+    """(table, ref_table, columns): foreign keys all of whose columns may be null, where a cycle can be opened."""
+    nullable = cat["columns"].select("table", F.col("column").alias("c"), "nullable")
+    local = cat["fks"].select("*", F.explode("columns").alias("c")).join(nullable, ["table", "c"])
+    rows = local.groupBy("table", "ord", "ref_table", "columns").agg(F.bool_and("nullable").alias("optional"))
+    return rows.where("optional").select("table", "ref_table", "columns")
+
+
+def column_types(cat: dict[str, DataFrame]) -> DataFrame:
+    """(table, column, type): types as they are shown, with length and scale."""
+    size = F.when(F.col("scale").isNotNull(), F.format_string("(%d,%d)", "length", "scale")).when(F.col("length").isNotNull(), F.format_string("(%d)", "length")).otherwise("")
+    return cat["columns"].select("table", "column", F.concat("type", size).alias("type"))

@@ -121,6 +121,11 @@ def export_lines(kind: str) -> Query:
     return run
 
 
+def preview_sql_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The preview of an export: its first ten lines."""
+    return export_lines("sql")(spark, sf_dir).orderBy("row_index").limit(10)
+
+
 def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rate_limited(_t(spark, sf_dir, "events"), "event_type", "ts", 3, "1 hour").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
@@ -173,7 +178,11 @@ def queries() -> dict[str, Query]:
         "export_sql_values": export_lines("sql"),
         "export_csv_lines": export_lines("csv"),
         "request_fingerprint": lambda s, d: s.range(1).select(fingerprint("SELECT", 10, 42, "sql", "public").alias("key")),
-        "jobs_latest": lambda s, d: _t(s, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")).limit(20),
+        "jobs_latest": lambda s, d: _t(s, d, "events").select("event_id", "event_type").orderBy(F.desc("event_id")),
+        "preview_sql_lines": preview_sql_lines,
+        "role_badges": strip(graph.badges),
+        "optional_references": strip(lambda c: graph.optional_references(c).select("table", "ref_table", F.array_join("columns", ",").alias("fk"))),
+        "column_types": strip(graph.column_types),
         "rate_limit": rate_limit,
     }
 
@@ -275,6 +284,14 @@ def oracle_sql() -> dict[str, str]:
     digest = f"md5(({p('mac')})::VARCHAR)"
     pair = _perm(ROWS["users"] * ROWS["items"], "likes:user_id,item_id")
     seconds = f"1577836800 + i * 86400 + {_u('staff', '*created')} % 86400"
+    sql_lines = "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation"
+    shown = _values([(t.name, c.name, c.type + (f"({c.length},{c.scale})" if c.scale is not None else f"({c.length})" if c.length is not None else "")) for t in m.tables for c in t.columns], 'v("table", "column", type)')
+    roles = f"""{cat}, d AS (SELECT tab, (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS o, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS i,
+          (SELECT count(*) FROM pks p WHERE p.tab = t.tab) >= 2 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = t.tab AND NOT EXISTS (SELECT 1 FROM fks f WHERE f.tab = t.tab AND f.col = p.col)) AS j FROM tabs t),
+          r AS (SELECT tab, 'junction' AS role, CASE WHEN j THEN 95 ELSE 0 END AS score, 1 AS least FROM d
+          UNION ALL SELECT tab, 'lookup', CASE WHEN o = 0 THEN 40 ELSE 0 END + CASE WHEN i >= 2 THEN 30 ELSE 0 END + CASE WHEN n <= 6 THEN 20 ELSE 0 END + 10, 50 FROM d
+          UNION ALL SELECT tab, 'transactional', CASE WHEN o >= 1 THEN 30 ELSE 0 END + CASE WHEN NOT j THEN 15 ELSE 0 END, 55 FROM d
+          UNION ALL SELECT tab, 'entity', 50, 1 FROM d)"""
     return {
         "fk_orphans_documents_labels": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "fk_integrity_star": " UNION ALL ".join(f"SELECT '{t}' AS child, '{c}' AS fk, ({orphan(t, c, p, r)}) AS orphans" for t, c, p, r in fks),
@@ -295,12 +312,7 @@ def oracle_sql() -> dict[str, str]:
         "graph_degrees": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS n_outgoing, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS n_incoming, (SELECT count(*) FROM fks f WHERE f.tab = t.tab AND f.ref = t.tab) AS n_self FROM tabs t',
         "fk_cardinality": f'{cat}, {_CARD} SELECT tab AS "table", col AS fk, cardinality FROM card',
         "relationship_kind": f"""{cat}, {_CARD} SELECT c.tab AS "table", c.ref AS ref_table, c.col AS fk, CASE WHEN c.tab = c.ref THEN 'hierarchy' WHEN cardinality = 'many_to_many' THEN 'many_to_many' WHEN NOT nullable AND on_delete = 'CASCADE' THEN 'composition' WHEN nullable THEN 'aggregation' ELSE 'association' END AS kind FROM card c JOIN cols x ON x.tab = c.tab AND x.col = c.col""",
-        "table_roles": f"""{cat}, d AS (SELECT tab, (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS o, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS i,
-          (SELECT count(*) FROM pks p WHERE p.tab = t.tab) >= 2 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = t.tab AND NOT EXISTS (SELECT 1 FROM fks f WHERE f.tab = t.tab AND f.col = p.col)) AS j FROM tabs t),
-          r AS (SELECT tab, 'junction' AS role, CASE WHEN j THEN 95 ELSE 0 END AS score, 1 AS least FROM d
-          UNION ALL SELECT tab, 'lookup', CASE WHEN o = 0 THEN 40 ELSE 0 END + CASE WHEN i >= 2 THEN 30 ELSE 0 END + CASE WHEN n <= 6 THEN 20 ELSE 0 END + 10, 50 FROM d
-          UNION ALL SELECT tab, 'transactional', CASE WHEN o >= 1 THEN 30 ELSE 0 END + CASE WHEN NOT j THEN 15 ELSE 0 END, 55 FROM d
-          UNION ALL SELECT tab, 'entity', 50, 1 FROM d)
+        "table_roles": f"""{roles}
           SELECT tab AS "table", role, score FROM r WHERE score >= least""",
         "topo_levels": f'{rec}, l AS (SELECT tab, 0 AS level FROM tabs UNION SELECT f.tab, l.level + 1 FROM fks f JOIN l ON l.tab = f.ref) SELECT tab AS "table", max(level) AS level FROM l GROUP BY tab',
         "transitive_dependencies": f'{rec}, p AS (SELECT tab, ref, 1 AS distance FROM fks UNION SELECT p.tab, f.ref, distance + 1 FROM p JOIN fks f ON f.tab = p.ref) SELECT tab AS "table", ref AS ancestor, min(distance) AS distance FROM p GROUP BY ALL',
@@ -323,9 +335,14 @@ def oracle_sql() -> dict[str, str]:
         "graph_incident": f"{cat}, {_CARD}, {_EDGES} SELECT src, dst, kind FROM edges WHERE 'table:orders' IN (src, dst)",
         "graph_dependencies": f"{cat} SELECT DISTINCT ref AS \"table\" FROM fks WHERE tab = 'lineitem'",
         "graph_dependents": f"{cat} SELECT DISTINCT tab AS \"table\" FROM fks WHERE ref = 'orders'",
-        "export_sql_values": "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation",
+        "export_sql_values": sql_lines,
         "export_csv_lines": "SELECT n_nationkey AS row_index, n_nationkey || ',\"' || replace(n_name, '\"', '\"\"') || '\",' || n_regionkey AS line FROM nation",
         "request_fingerprint": "SELECT substr(sha256('SELECT|10|42|sql|public'), 1, 32) AS key",
-        "jobs_latest": "SELECT event_id, event_type FROM events ORDER BY event_id DESC LIMIT 20",
+        "jobs_latest": "SELECT event_id, event_type FROM events ORDER BY event_id DESC",
+        "preview_sql_lines": f"{sql_lines} ORDER BY n_nationkey LIMIT 10",
+        "role_badges": f"""{roles}, g AS (SELECT tab, bool_or(role = 'junction') AS j, bool_or(role = 'transactional') AS t, bool_or(role = 'lookup') AS l FROM r WHERE score >= least GROUP BY tab)
+          SELECT tab AS "table", CASE WHEN j THEN 'junction' WHEN tab IN (SELECT tab FROM fks WHERE tab = ref) THEN 'hierarchical' WHEN t THEN 'transactional' WHEN l THEN 'lookup' ELSE 'entity' END AS badge FROM g""",
+        "optional_references": f'{cat} SELECT f.tab AS "table", f.ref AS ref_table, f.col AS fk FROM fks f JOIN cols c ON c.tab = f.tab AND c.col = f.col WHERE c.nullable',
+        "column_types": f"SELECT * FROM {shown}",
         "rate_limit": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3",
     }
