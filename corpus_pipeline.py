@@ -30,8 +30,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document of each group of near copies."""
-    gone = neardup.near_duplicates(docs).where("not kept").select(F.col("doc_id").alias("__gone"))
+    """The first document of each group of near copies, linked at a similarity of 0.8 or more."""
+    gone = neardup.near_duplicates(docs, percent=80).where("not kept").select(F.col("doc_id").alias("__gone"))
     return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
 
 

@@ -7,6 +7,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from relgen.llm import chat, decontaminate, html, kernel, lines, neardup, packing, quality, substrings, toxicity, urls
 
 WORDS = [f"w{i}" for i in range(300)]
@@ -85,6 +86,14 @@ def test_near_duplicates(docs, spark):
         assert {r["doc_id"]: r["component_id"] for r in made} == {i: find(i) for i in range(60)}
 
 
+def test_near_dedup_stage(spark):
+    words = WORDS[:100]
+    near = words[:50] + [f"x{i}" for i in range(5)] + words[55:]  # 87 of 105 shingles in common: 0.829
+    far = words[:40] + [f"y{i}" for i in range(20)] + words[60:]  # 72 of 120: 0.6
+    made = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(near)), (3, " ".join(far))], "doc_id long, text string")
+    assert {r["doc_id"] for r in corpus_pipeline.near_dedup(spark, made, "").collect()} == {1, 3}
+
+
 def test_lines(spark):
     rows = [(i, f"own text of {i}\nshared boiler plate\n", f"s{i % 12}") for i in range(24)] + [(99, None, None), (100, "", None)]
     got = {r["doc_id"]: r for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string"), 10).collect()}
