@@ -24,8 +24,8 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without boilerplate lines; one that held nothing else goes."""
-    out = lines.remove_boilerplate(docs).where("lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    """Documents without boilerplate lines, however short; one that held nothing else goes."""
+    out = lines.remove_boilerplate(docs, min_words=1).where("lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
     return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
 
 

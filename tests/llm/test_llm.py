@@ -101,6 +101,13 @@ def test_lines(spark):
     assert got[99]["text"] is None and got[100]["text"] == ""
 
 
+def test_line_dedup_stage_takes_short_lines(spark):
+    rows = [(i, f"own text of {i}\nRead more\nLes.\n", "en", f"s{i}") for i in range(12)]
+    made = spark.createDataFrame([(*r, len(r[1])) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = {r["doc_id"]: (r["text"], r["n_chars"]) for r in corpus_pipeline.line_dedup(spark, made, "").collect()}
+    assert got[0][0] == rows[0][1] and got[5] == ("own text of 5\n", 14)
+
+
 def test_urls(spark):
     rows = [(1, "http://WWW.example.com/en/1"), (2, "http://a.example.com/en/"), (3, "x"), (4, None), (5, "http://b.net/fr/?a"), (6, "http://spam-farm.example.org/en/7.html#x"), (7, "http://ok.org"), (8, "http://a.com")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), urls.example_list(spark)).collect()}
