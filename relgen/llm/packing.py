@@ -3,8 +3,10 @@
 Every document's whole windows become sequences of their own where it is tokenised.  Its rest, below one
 window, goes to a shard: shards are ranges of the rests' min-hash, so that texts with common words lie
 together, and hold about ``shard`` documents.  In a shard a BM25 inverted index over token ids, with
-document frequencies of the whole corpus, returns the best unused neighbours of each seed; they fill its
-window greedily, the last one cut where the window ends.  Only the last window of a shard can need padding.
+document frequencies of the whole corpus, scores the unused rests by all tokens of each seed; the best fill
+its window greedily, the last one cut where the window ends.  When a list is used up the index is asked
+again; rests in their order follow only when no unused one shares a token with the seed.  Only the last
+window of a shard can need padding.
 
 Token ids are those of the tokenizers library: text is cut before each word as its pre-tokeniser does,
 and each different piece of a task is encoded once.
@@ -26,7 +28,7 @@ from relgen.llm import kernel as K
 from relgen.llm.tables import written
 
 WINDOW, END, SHARD, VOCABULARY = 2048, 1, 2000, 50_304
-K1, B, QUERY_TERMS, NEIGHBOURS = 1.2, 0.75, 24, 64
+K1, B, NEIGHBOURS = 1.2, 0.75, 64
 #: White space that is not ASCII changes how runs of spaces are cut; such texts are encoded whole.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
@@ -162,12 +164,10 @@ class Index:
         self.idf, self.n = idf, n
 
     def neighbours(self, query: np.ndarray, used: np.ndarray, most: int) -> np.ndarray:
-        """The best unused documents that share one of the query's rarest tokens, best first."""
+        """The best unused documents that share a token with the query, best first."""
         terms = np.unique(query).astype(np.int64)
-        terms = terms[np.argsort(-self.idf[terms], kind="stable")][:QUERY_TERMS]
-        score = np.zeros(self.n)
-        for a, b in zip(self.at[terms].tolist(), self.at[terms + 1].tolist(), strict=True):
-            score[self.doc[a:b]] += self.weight[a:b]
+        at = K.ranges(self.at[terms], self.at[terms + 1] - self.at[terms])
+        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
         score[used] = 0
         top = np.argpartition(-score, min(most, self.n) - 1)[:most]
         top = top[np.argsort(-score[top], kind="stable")]
@@ -191,14 +191,12 @@ def pack(rests: list[np.ndarray], idf: np.ndarray, window: int) -> Iterator[tupl
         pieces, room, carry = [], window, -1
         query = rests[seed]
         waiting: list[int] = [seed]
-        found = False
+        alike = True
         while room:
+            if not waiting and alike:
+                waiting = index.neighbours(query, used, NEIGHBOURS).tolist()
+                alike = bool(waiting)
             if not waiting:
-                if not found:
-                    used_now = used.copy()
-                    waiting = index.neighbours(query, used_now, NEIGHBOURS).tolist()
-                    found = True
-                    continue
                 while nextup < len(rests) and used[nextup]:
                     nextup += 1
                 if nextup == len(rests):

@@ -188,3 +188,14 @@ def test_packing(spark, docs):
             at += n
     assert {d: sum(n for _, n in v) for d, v in cover.items()} == {d: len(v) for d, v in ids.items()}
     assert all(sum(n for _, n in v) <= 2048 for v in room.values())
+
+
+def test_packing_neighbours():
+    idf = np.ones(packing.VOCABULARY)
+    idf[:100] = 0.5
+    seed, other, like = np.arange(124), np.arange(200, 300), np.arange(100)  # alike only in the seed's commoner tokens
+    _, pieces = next(packing.pack([x.astype(np.uint16) for x in (seed, other, like)], idf, 224))
+    assert [p[0] for p in pieces] == [0, 2]
+    short = [np.array([7 if i % 2 else 300 + i], np.uint16) for i in range(300)]
+    _, pieces = next(packing.pack([np.array([7], np.uint16), *short], idf, 151))  # more than one list of neighbours
+    assert all(d == 0 or d % 2 == 0 for d, _, _ in pieces) and len(pieces) == 151
