@@ -1,8 +1,10 @@
 """Packing of tokenised documents into fixed windows, each filled with lexical neighbours of a seed.
 
 Every document's whole windows become sequences of their own where it is tokenised.  Its rest, below one
-window, goes to a shard: shards are ranges of the rests' min-hash, so that texts with common words lie
-together, and hold about ``shard`` documents.  In a shard a BM25 inverted index over token ids, with
+window, goes to a shard of about ``shard`` documents.  Shards are ranges of a routing key that brings texts
+with like tokens together: their TF-IDF vectors are projected on the main directions of a sample's, a tree
+of median cuts orders the projections, and its leaves are ordered along their own main direction.  Retrieval
+is local to a shard; the README has its recall.  In a shard a BM25 inverted index over token ids, with
 document frequencies of the whole corpus, scores the unused rests by all tokens of each seed; the best fill
 its window greedily, the last one cut where the window ends.  When a list is used up the index is asked
 again; rests in their order follow only when no unused one shares a token with the seed.  Only the last
@@ -29,6 +31,8 @@ from relgen.llm.tables import written
 
 WINDOW, END, SHARD, VOCABULARY = 2048, 1, 2000, 50_304
 K1, B, NEIGHBOURS = 1.2, 0.75, 64
+#: About so many rests teach the routing, in so many directions; a leaf of its tree has ``LEAF`` of them at least.
+SAMPLE, DIRECTIONS, LEAF = 8192, 64, 64
 #: White space that is not ASCII changes how runs of spaces are cut; such texts are encoded whole.
 _ODD_SPACE = re.compile(rb"\xc2[\x85\xa0]|\xe1\x9a\x80|\xe2[\x80\x81]|\xe3\x80\x80")
 
@@ -67,11 +71,11 @@ class Encoder:
         for i, h in enumerate(hashes):
             self.known[h] = n + i
 
-    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(ids of all texts, offsets, least piece hash of each text)."""
+    def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, offsets)."""
         n_texts, n = len(off) - 1, len(data)
         if not n:
-            return np.zeros(0, np.uint16), np.zeros(n_texts + 1, np.int64), np.full(n_texts, 2**63 - 1)
+            return np.zeros(0, np.uint16), np.zeros(n_texts + 1, np.int64)
         words = K.words_of(data, off)
         cut = np.zeros(n + 1, dtype=bool)
         cut[off] = True
@@ -96,10 +100,7 @@ class Encoder:
         ids = self.flat[K.ranges(self.off[index], size)]
         first = np.searchsorted(start, off)
         at = np.append(0, np.cumsum(size))[first]
-        least = np.full(n_texts, 2**63 - 1)
-        full = np.diff(first) > 0
-        least[full] = np.minimum.reduceat(K.mix(h, 21) >> np.uint64(1), first[:-1][full]).astype(np.int64)
-        return self._odd(data, off, ids, at) + (least,)
+        return self._odd(data, off, ids, at)
 
     def _odd(self, data: np.ndarray, off: np.ndarray, ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
@@ -117,7 +118,7 @@ def crc(ids: np.ndarray) -> int:
 
 
 def _tokens(ranks_file: str, pattern: str, window: int, end_id: int):
-    names = ["doc_id", "doc_tokens", "crcs", "first_sequence", "rest", "key", "terms"]
+    names = ["doc_id", "doc_tokens", "crcs", "first_sequence", "rest", "terms"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -128,7 +129,7 @@ def _tokens(ranks_file: str, pattern: str, window: int, end_id: int):
         frequency = np.zeros(VOCABULARY, dtype=np.int64)
         for batch in batches:
             for part, data, off in K.slices(batch):
-                ids, at, least = encoder.encode(data, off)
+                ids, at = encoder.encode(data, off)
                 tokens, crcs, firsts, rests = [], [], [], []
                 ends = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(len(at))
@@ -142,8 +143,75 @@ def _tokens(ranks_file: str, pattern: str, window: int, end_id: int):
                     crcs.append([crc(ends[a + i * window : a + (i + 1) * window]) for i in range(n)])
                     rests.append(ends[a + n * window : b].tobytes())
                     sequence += n
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(firsts, pa.int64()), pa.array(rests, pa.binary()), pa.array(least), pa.nulls(len(tokens), pa.list_(pa.int64()))], names)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.nulls(1, pa.int64()), pa.array([frequency.tolist()], pa.list_(pa.int64()))], names)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(tokens, pa.int64()), pa.array(crcs, pa.list_(pa.int64())), pa.array(firsts, pa.int64()), pa.array(rests, pa.binary()), pa.nulls(len(tokens), pa.list_(pa.int64()))], names)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.list_(pa.int64())), pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([frequency.tolist()], pa.list_(pa.int64()))], names)
+
+    return run
+
+
+class Router:
+    """Orders rests so that those with like tokens lie together; learned from a sample of them."""
+
+    def __init__(self, sample: list[np.ndarray], idf: np.ndarray) -> None:
+        self.idf = idf
+        owner, token, weight = self._vectors(sample)
+        n, base = len(sample), np.random.default_rng(0).standard_normal((VOCABULARY, DIRECTIONS))
+        for _ in range(3):  # subspace iteration towards the main directions
+            there = self._sums(owner, n, token, weight, np.linalg.qr(base)[0])
+            base = self._sums(token, VOCABULARY, owner, weight, there)
+        self.base = np.linalg.qr(base)[0].astype(np.float32)
+        points = self._points(sample)
+        self.depth = max(0, int(np.log2(max(n, 1) / LEAF)))
+        self.way = np.zeros((2 << self.depth, DIRECTIONS), np.float32)
+        self.cut = np.zeros(2 << self.depth, np.float32)
+        at = np.ones(n, np.int64)
+        for level in range(self.depth + 1):
+            for node in range(1 << level, 2 << level):
+                own = points[at == node]
+                if len(own) > 1:
+                    self.way[node] = np.linalg.svd(own - own.mean(axis=0), full_matrices=False)[2][0]
+                    self.cut[node] = np.median(own @ self.way[node])
+            if level < self.depth:
+                at = self._down(points, at)
+
+    def _vectors(self, rests: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(rest, token, weight) of the rests' TF-IDF vectors of length 1."""
+        size = [len(r) for r in rests]
+        flat = np.concatenate(rests).astype(np.int64) if rests else np.zeros(0, np.int64)
+        pair, times = np.unique(np.repeat(np.arange(len(rests)), size) * VOCABULARY + flat, return_counts=True)
+        owner, token = pair // VOCABULARY, pair % VOCABULARY
+        weight = self.idf[token] * times * (K1 + 1) / (times + K1)
+        length = np.sqrt(np.bincount(owner, weights=weight**2, minlength=len(rests)))
+        return owner, token, weight / np.maximum(length, 1e-9)[owner]
+
+    @staticmethod
+    def _sums(to: np.ndarray, n: int, of: np.ndarray, weight: np.ndarray, values: np.ndarray) -> np.ndarray:
+        return np.stack([np.bincount(to, weights=values[of, j] * weight, minlength=n) for j in range(values.shape[1])], axis=1)
+
+    def _points(self, rests: list[np.ndarray]) -> np.ndarray:
+        owner, token, weight = self._vectors(rests)
+        points = self._sums(owner, len(rests), token, weight, self.base)
+        return (points / np.maximum(np.linalg.norm(points, axis=1, keepdims=True), 1e-9)).astype(np.float32)
+
+    def _down(self, points: np.ndarray, at: np.ndarray) -> np.ndarray:
+        return 2 * at + ((points * self.way[at]).sum(axis=1) > self.cut[at])
+
+    def keys(self, rests: list[np.ndarray]) -> np.ndarray:
+        points = self._points(rests)
+        at = np.ones(len(rests), np.int64)
+        for _ in range(self.depth):
+            at = self._down(points, at)
+        along = np.clip(((points * self.way[at]).sum(axis=1) + 1) / 2, 0, 1)
+        return (at << 32) + (along * (2**32 - 1)).astype(np.int64)
+
+
+def _routed(router: Router):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1000):
+                part = batch.slice(at, 1000)
+                rests = [np.frombuffer(x, np.uint16) for x in part.column(2).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(router.keys(rests))], ["doc_id", "doc_tokens", "rest", "key"])
 
     return run
 
@@ -250,7 +318,7 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END, shard: int
     """
     ranks_file, pattern = tokenizer or default_tokenizer()[:2]
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    schema = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, first_sequence bigint, rest binary, key bigint, terms array<bigint>"
+    schema = "doc_id bigint, doc_tokens bigint, crcs array<bigint>, first_sequence bigint, rest binary, terms array<bigint>"
     tokens = written(own.mapInArrow(_tokens(ranks_file, pattern, window, end_id), schema), "tokens")
     # one number for each entry of the fixed vocabulary
     counted = dict(tokens.where("terms is not null").select(F.posexplode("terms").alias("token", "n")).groupBy("token").agg(F.sum("n")).collect())
@@ -260,6 +328,11 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END, shard: int
     idf = np.log1p((n - frequency + 0.5) / (frequency + 0.5))
     idf[end_id] = 0
     whole = rows.where(F.size("crcs") > 0).select("doc_id", "doc_tokens", "first_sequence", F.posexplode("crcs").alias("i", "ids_crc32")).select("doc_id", (F.col("i").cast("bigint") * window).alias("start"), F.lit(window).cast("bigint").alias("length"), "ids_crc32", "doc_tokens", (F.col("first_sequence") + 2 * F.col("i")).alias("sequence_id"), F.lit(0).cast("bigint").alias("offset"))
-    rests = rows.where(F.length("rest") > 0).repartitionByRange(max(1, -(-n // shard)), "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "doc_tokens", "rest")
+    rests = rows.where(F.length("rest") > 0).select("doc_id", "doc_tokens", "rest")
+    some = rests.where(F.pmod(F.xxhash64("doc_id", "rest"), F.lit(max(1, n // SAMPLE))) == 0).select("rest").collect()
+    router = Router([np.frombuffer(x, np.uint16) for x in sorted(bytes(r[0]) for r in some)], idf)
+    # written, as range partitioning reads its input twice
+    routed = written(rests.mapInArrow(_routed(router), "doc_id bigint, doc_tokens bigint, rest binary, key bigint"), "routed")
+    rests = routed.repartitionByRange(max(1, -(-n // shard)), "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "doc_tokens", "rest")
     filled = rests.mapInArrow(_packed(idf, window), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return whole.unionByName(filled)

@@ -199,3 +199,13 @@ def test_packing_neighbours():
     short = [np.array([7 if i % 2 else 300 + i], np.uint16) for i in range(300)]
     _, pieces = next(packing.pack([np.array([7], np.uint16), *short], idf, 151))  # more than one list of neighbours
     assert all(d == 0 or d % 2 == 0 for d, _, _ in pieces) and len(pieces) == 151
+
+
+def test_packing_shards_hold_like_texts(spark):
+    rng = np.random.default_rng(9)
+    topics = [["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), 6)) for _ in range(40)] for _ in range(16)]
+    rows = [(i, " ".join(np.where(rng.random(150) < 0.4, rng.choice(WORDS[:20], 150), rng.choice(topics[i % 16], 150)))) for i in range(320)]
+    room = collections.defaultdict(set)
+    for p in packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), window=2048, shard=20).collect():
+        room[p["sequence_id"]].add(p["doc_id"] % 16)
+    assert np.mean([len(x) for x in room.values()]) < 1.3
