@@ -123,6 +123,15 @@ def test_html(spark):
     assert [got[10 + i] for i in range(5)] == [f"story {i}" for i in range(5)]
 
 
+def test_html_template_inside_and_beside_articles(spark):
+    page = "<body><article><p>story {0}</p><div>Send this to a friend</div></article><div>rest of {0}</div>"
+    small = "<body><article>stub</article><div>the long body of this page</div>"
+    rows = [*((i, "http://q/x", page.format(i)) for i in range(5)), (9, "http://s/1", small)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == [f"story {i} rest of {i}" for i in range(5)]
+    assert got[9] == "stub the long body of this page"
+
+
 def test_alignment_and_leaks(spark):
     item = [f"b{i}" for i in range(30)]
     edited = [w if i % 6 else "zz" for i, w in enumerate(item)]
