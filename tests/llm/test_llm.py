@@ -132,6 +132,15 @@ def test_html_template_inside_and_beside_articles(spark):
     assert got[9] == "stub the long body of this page"
 
 
+def test_html_template_that_the_first_page_lacks(spark):
+    page = "<body><div><p>Our terms have changed</div><div>story {0}</div><section>Call us</section>"
+    rows = [(0, "http://z/x", "<body><article>story 0</article>"), *((i, "http://z/x", page.format(i)) for i in range(1, 6))]
+    rows += [(10 + i, "http://y/x", page.format(min(i, 1))) for i in range(5)]  # two different pages, one four times
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == [f"story {i}" for i in range(6)]
+    assert "story 1" in got[12]
+
+
 def test_alignment_and_leaks(spark):
     item = [f"b{i}" for i in range(30)]
     edited = [w if i % 6 else "zz" for i, w in enumerate(item)]
