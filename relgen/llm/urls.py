@@ -17,7 +17,7 @@ BITS_PER_URL = 16
 #: Blocks up to this number (64 bytes each) go to every executor; more are joined by shuffle.
 MAX_BROADCAST_BLOCKS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sites of the example list; each with all its pages /language/number.
+#: Sites of the example list; each with its pages /language/number below ``LISTED_PAGES`` only, as the query's SQL has it.
 LISTED_SITES = ("cheap-pills.example.com", "free-bets.example.com", "adult-x.example.net", "spam-farm.example.org", "ads-track.example.org")
 LISTED_LANGUAGES = ("de", "en", "es", "fr")
 LISTED_PAGES = 1000
