@@ -1,4 +1,4 @@
-"""Vectorised text kernel: words, their hashes and polynomial fingerprints of word spans.
+"""Vectorised text kernel: words, and 64-bit hashes of runs of bytes and of spans of words.
 
 A word is a maximal run of bytes other than 0x20 and 0x09-0x0D.  Arrow string columns are read
 through their buffers, so a whole batch is processed by a handful of numpy passes.
@@ -19,10 +19,9 @@ _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
-_RANDOM = np.random.default_rng(20240229).integers(1, 2**63, size=4096, dtype=np.int64).astype(np.uint64)
-_BYTE = _RANDOM[:256] * np.uint64(2) + np.uint64(1)
-_BASES = {0: 0x9E3779B97F4A7C15, 1: 0xD6E8FEB86659FD95}
-_powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+#: Keeps the first n bytes of a little-endian piece of eight.
+_MASK = np.array([(1 << 8 * i) - 1 for i in range(9)], dtype=np.uint64)
+_ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
@@ -33,32 +32,45 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(32))
 
 
-def powers(n: int, which: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base modulo 2**64, and of its inverse, at least ``n`` of each."""
-    have = _powers.get(which)
-    if have is None or len(have[0]) < n:
-        size = 1 << max(12, int(n - 1).bit_length())
-        base = _BASES[which] | 1
-        pair = []
-        for b in (base, pow(base, -1, 2**64)):
-            out = np.full(size, b, dtype=np.uint64)
-            out[0] = 1
-            pair.append(np.multiply.accumulate(out))
-        have = _powers[which] = (pair[0], pair[1])
-    return have
-
-
-def prefix(values: np.ndarray, which: int = 0) -> np.ndarray:
-    """Prefix sums of values[i] * base**i; ``span_hash`` turns two of them into a span's hash."""
-    out = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * powers(len(values) + 1, which)[0][: len(values)], out=out[1:])
-    return out
-
-
-def span_hash(pre: np.ndarray, start: np.ndarray, end: np.ndarray, which: int = 0) -> np.ndarray:
-    """Position-independent hash of each span [start, end)."""
-    h = (pre[end] - pre[start]) * powers(len(pre), which)[1][start]
-    return mix(h + (end - start).astype(np.uint64), which + 11)
+def bytes_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of each run of bytes [start, end): its pieces of eight bytes, each mixed with its place, are summed and mixed.
+
+    No term is linear in the bytes, so repetitive texts, on which polynomials modulo 2**64 fail, are told apart.
+    """
+    size = end - start
+    pieces = np.lib.stride_tricks.sliding_window_view(np.append(data, np.zeros(8, np.uint8)), 8)
+    take = lambda at, n: pieces[at].view("<u8").ravel() & _MASK[np.minimum(n, 8)]
+    h = mix(take(start, size), salt * 4 + 400)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        more = (size[long] - 1) >> 3
+        owner, j = np.repeat(long, more), ranges(np.ones(len(long), np.int64), more)
+        rest = mix(take(start[owner] + 8 * j, size[owner] - 8 * j) ^ mix(j.astype(np.uint64), 17), salt * 4 + 401)
+        h[long] += np.add.reduceat(rest, np.append(0, np.cumsum(more)[:-1]))
+    return mix(h + size.astype(np.uint64), salt * 4 + 402)
+
+
+def span_hash(values: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Hash of each non-empty span [start, end) of values, wherever it lies.
+
+    Hashes of 1, 2, 4 .. values come from those of their halves; a span's comes from its first and last so
+    many values, the greatest power of two that fits, which cover it.
+    """
+    size = end - start
+    out = np.zeros(len(size), np.uint64)
+    if not len(size):
+        return out
+    level = np.frexp(size.astype(np.float64))[1] - 1
+    part, width = mix(values, salt * 4 + 800), 1
+    same = level.min() == level.max()
+    for i in range(int(level.max()) + 1):
+        at = slice(None) if same else np.flatnonzero(level == i)
+        if not same or i == level[0]:
+            out[at] = mix(part[start[at]] * _ODD + part[end[at] - width], salt * 4 + 801)
+        if i < level.max():
+            part = mix(part[:-width] * _ODD + part[width:], salt * 4 + 802)
+            width *= 2
+    return mix(out + size.astype(np.uint64), salt * 4 + 803)
 
 
 @dataclass
@@ -90,8 +102,7 @@ def words_of(data: np.ndarray, text_off: np.ndarray, lower: bool = False) -> Wor
     after[:-1] = inside[1:]
     after[begins[begins > 0] - 1] = False
     end = np.flatnonzero(inside & ~after) + 1
-    h = span_hash(prefix(_BYTE[data]), start, end) if n else np.zeros(0, dtype=np.uint64)
-    return Words(data, start, end, np.searchsorted(start, text_off), h)
+    return Words(data, start, end, np.searchsorted(start, text_off), bytes_hash(data, start, end))
 
 
 def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

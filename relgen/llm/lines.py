@@ -42,8 +42,7 @@ def _hashes(min_words: int):
                 size = np.diff(np.append(first, len(text)))
                 first, size = first[size >= min_words], size[size >= min_words]
                 s, e = words.start[first], words.end[first + size - 1]
-                one = K.span_hash(K.prefix(K._BYTE[data]), s, e)
-                two = K.span_hash(K.prefix(K._BYTE[data] ^ np.uint64(0x5851F42D4C957F2D), 1), s, e, 1)
+                one, two = (K.bytes_hash(data, s, e, salt) for salt in (1, 2))
                 at = pa.array(text[first])
                 yield pa.RecordBatch.from_arrays([part.column(0).take(at), part.column(1).take(at), pa.array(line[first].astype(np.int32)), K.signed(one), K.signed(two)], ["doc_id", "site", "line", "one", "two"])
 
@@ -52,13 +51,15 @@ def _hashes(min_words: int):
 
 def boilerplate(lines: DataFrame, sites: int) -> DataFrame:
     """(one, two, first_doc) of the lines on ``sites`` sites or more."""
+    # both small tables are written, so that their joins have exchanges on both sides and a hot line can be split
     often = lines.groupBy("one", "two").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where(F.col("n") >= sites).drop("n")
+    often = written(often, "often")
     some = written(lines.select("one", "two", "site").join(often, ["one", "two"]), "frequent-lines")
     spread = written(some.groupBy("one", "two", "first_doc").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(12))).alias("spread")), "spreads")
     low, high = sites * (1 - MARGIN) - 1, sites * (1 + MARGIN) + 1
     near = spread.where(F.col("spread").between(low, high)).select("one", "two")
     exact = some.join(near, ["one", "two"], "left_semi").groupBy("one", "two", "first_doc").agg(F.countDistinct("site").alias("spread"))
-    return spread.where(F.col("spread") > high).unionByName(exact.where(F.col("spread") >= sites)).select("one", "two", "first_doc")
+    return written(spread.where(F.col("spread") > high).unionByName(exact.where(F.col("spread") >= sites)).select("one", "two", "first_doc"), "boilerplate")
 
 
 def _without(names: list[str]):

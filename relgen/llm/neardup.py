@@ -35,7 +35,7 @@ def shingle_sets(words: K.Words, size: int) -> tuple[np.ndarray, np.ndarray]:
     at = K.ranges(words.off[:-1], count)
     text = np.repeat(np.arange(len(count)), count)
     span = np.minimum(n_words, size)[text]
-    h = K.span_hash(K.prefix(K.mix(words.hash, 7)), at, at + span)
+    h = K.span_hash(words.hash, at, at + span, 7)
     order = np.lexsort((h, text))
     h, text = h[order], text[order]
     new = np.ones(len(h), dtype=bool)

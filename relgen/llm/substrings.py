@@ -7,7 +7,8 @@ as a packed string with its first document, to the bucket of its minimiser, wher
 finds the first document of each.  The verdicts return to all occurrences by the super-k-mer's hash.
 
 A minimiser shared by more than ``hot`` occurrences is split: its windows travel singly, dealt by the
-hash of the whole window.  Windows are compared by two independent 64-bit hashes.
+hash of the whole window.  Windows are told apart by 128 bits of hash, super-k-mers of one minimiser by 64
+bits; neither is linear in words or bytes.  A text of any length is one row, and one numpy pass.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from relgen.llm import kernel as K
 from relgen.llm.tables import grouped_stream, written
 
-MAX_RUN = 1024
+MAX_RUN = 512
 
 
 def super_kmers(words: K.Words, k: int, m: int) -> tuple[np.ndarray, ...]:
@@ -33,9 +34,9 @@ def super_kmers(words: K.Words, k: int, m: int) -> tuple[np.ndarray, ...]:
     if not count.sum():
         return tuple(np.zeros(0, dtype=np.int64 if i < 3 else np.uint64) for i in range(5))
     g = np.zeros(n, dtype=np.uint64)
-    for j in range(m):
-        g[: n - m + 1] += h[j : n - m + 1 + j] * K.powers(m, 1)[0][j]
-    least, span = K.mix(g, 3), 1
+    at = np.arange(n - m + 1)
+    g[at] = K.span_hash(h, at, at + m, 3)
+    least, span = g, 1
     while span * 2 <= w:
         least[: n - span] = np.minimum(least[: n - span], least[span:])
         span *= 2
@@ -52,7 +53,7 @@ def super_kmers(words: K.Words, k: int, m: int) -> tuple[np.ndarray, ...]:
         first = np.repeat(first, parts) + step
         size = np.minimum(np.repeat(size, parts) - step, MAX_RUN)
     at0 = at[first]
-    whole = K.span_hash(K.prefix(K.mix(h, 5)), at0, at0 + size + (k - 1))
+    whole = K.span_hash(h, at0, at0 + size + (k - 1), 5)
     return text[first], at0 - words.off[text[first]], size, least[first], whole
 
 
@@ -76,16 +77,16 @@ def _packed(k: int):
                 out: list[tuple] = []
                 raw = text.as_py().encode()
                 words = raw.split()
-                pre = None
+                h = None
                 for x in go.as_py():
                     s, n = x["start"], x["n"]
                     if not x["hot"]:
                         out.append((x["least"], b" ".join(words[s : s + n + k - 1]).decode(), x["least"], x["whole"], 0, doc.as_py(), x["more"]))
                         continue
-                    if pre is None:
-                        pre = K.prefix(K.mix(K.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash, 5))
+                    if h is None:
+                        h = K.words_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)])).hash
                     at = np.arange(s, s + n)
-                    for i, r in enumerate(K.span_hash(pre, at, at + k).view(np.int64).tolist()):
+                    for i, r in enumerate(K.span_hash(h, at, at + k, 6).view(np.int64).tolist()):
                         out.append((r, b" ".join(words[s + i : s + i + k]).decode(), x["least"], x["whole"], i, doc.as_py(), x["more"]))
                 if out:
                     cols = list(zip(*out, strict=True))
@@ -105,8 +106,7 @@ def _sorted_windows(k: int):
         at = K.ranges(words.off[:-1], count)
         owner = np.repeat(np.arange(len(count)), count)
         doc = column["first_doc"].to_numpy()
-        one = K.span_hash(K.prefix(K.mix(words.hash, 5)), at, at + k)
-        two = K.span_hash(K.prefix(K.mix(words.hash, 6), 1), at, at + k, 1)
+        one, two = (K.span_hash(words.hash, at, at + k, salt) for salt in (6, 7))
         order = np.lexsort((doc[owner], two, one))
         new = np.ones(len(order), dtype=bool)
         a, b = order[1:], order[:-1]
@@ -132,6 +132,8 @@ def repeated_spans(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 2000) ->
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     every = written(docs.mapInArrow(_occurrences(k, m), "doc_id bigint, start int, n int, least bigint, whole bigint"), "super-k-mers")
     shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times"), (F.min("whole") == F.max("whole")).alias("alone")).where("lo < hi").select("least", "alone", (F.col("times") > hot).alias("hot"))
+    # a written table gets an exchange of its own in the join, so that the other side of a hot minimiser can be split
+    shared = written(shared, "shared-minimisers")
     some = written(every.join(shared, "least"), "shared")
     kinds = some.groupBy("least", "whole", "alone", "hot").agg(F.min(F.struct("doc_id", "start", "n")).alias("one"), F.max("doc_id").alias("hi")).select("least", "whole", "alone", "hot", "one.*", (F.col("hi") > F.col("one.doc_id")).alias("more"))
     # where a minimiser has one super-k-mer only, all its occurrences are the same and nothing need travel
