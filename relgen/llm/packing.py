@@ -7,8 +7,9 @@ of median cuts orders the projections, and its leaves are ordered along their ow
 is local to a shard; the README has its recall.  In a shard a BM25 inverted index over token ids, with
 document frequencies of the whole corpus, scores the unused rests by all tokens of each seed; the best fill
 its window greedily, the last one cut where the window ends.  When a list is used up the index is asked
-again; rests in their order follow only when no unused one shares a token with the seed.  Only the last
-window of a shard can need padding.
+again; rests in their order follow only when no unused one shares a token with the seed.  A task packs its
+shards one after the other; what is left of one goes to the next, and the last window is cut into
+sequences whose sizes are powers of two, so that nothing needs padding.
 
 Token ids are those of the tokenizers library: text is cut before each word as its pre-tokeniser does,
 and each different piece of a task is encoded once.
@@ -31,6 +32,10 @@ from relgen.llm.tables import written
 
 WINDOW, END, SHARD, VOCABULARY = 2048, 1, 2000, 50_304
 K1, B, NEIGHBOURS = 1.2, 0.75, 64
+#: A token in over one of so many rests of a shard has a row of the index.
+DENSE = 16
+#: Different pieces that a task remembers at most.
+PIECES = 1 << 19
 #: About so many rests teach the routing, in so many directions; a leaf of its tree has ``LEAF`` of them at least.
 SAMPLE, DIRECTIONS, LEAF = 8192, 64, 64
 #: White space that is not ASCII changes how runs of spaces are cut; such texts are encoded whole.
@@ -45,31 +50,57 @@ def default_tokenizer() -> tuple[str, str, str]:
 
 
 class Encoder:
-    """Ids of whole texts, each different piece encoded once."""
+    """Ids of whole texts; pieces met before come from a hash table, which starts anew when it is full."""
 
-    def __init__(self, ranks_file: str, pattern: str) -> None:
+    def __init__(self, ranks_file: str, pattern: str, most: int = PIECES) -> None:
         import tiktoken
 
         with open(ranks_file, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        if max(ranks.values()) >= VOCABULARY:
+            raise ValueError(f"ids of {VOCABULARY} and more don't fit")
         self.model = tiktoken.Encoding("byte_bpe_50k", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.known: dict[int, int] = {}
-        self.flat = np.zeros(1 << 20, dtype=np.uint16)
-        self.off = np.zeros(1 << 18, dtype=np.int64)
-
-    def _learn(self, hashes: list[int], texts: list[str]) -> None:
+        self.most, self.bits = most, int(2 * most - 1).bit_length()
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys = np.zeros(1 << self.bits, dtype=np.uint64)
+        self.entry = np.full(1 << self.bits, -1, dtype=np.int32)
+        self.n, self.flat, self.off = 0, np.zeros(1 << 20, dtype=np.uint16), np.zeros(self.most + 1, dtype=np.int64)
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each hash, or -1."""
+        slot = self._slots(h)
+        out = self.entry[slot]
+        todo = np.flatnonzero((out >= 0) & (self.keys[slot] != h))
+        while len(todo):
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+            out[todo] = self.entry[slot[todo]]
+            todo = todo[(out[todo] >= 0) & (self.keys[slot[todo]] != h[todo])]
+        return out
+
+    def _learn(self, h: np.ndarray, texts: list[str]) -> None:
+        """``h``: distinct hashes without an entry."""
         ids = [self.model.encode_ordinary(t) for t in texts]
-        n, at = len(self.known), int(self.off[len(self.known)])
         sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        while n + len(ids) + 1 > len(self.off):
-            self.off = np.append(self.off, np.zeros_like(self.off))
-        total = int(sizes.sum())
+        at, total = int(self.off[self.n]), int(sizes.sum())
         while at + total > len(self.flat):
             self.flat = np.append(self.flat, np.zeros_like(self.flat))
         self.flat[at : at + total] = np.fromiter((x for y in ids for x in y), np.uint16, total)
-        self.off[n + 1 : n + len(ids) + 1] = at + np.cumsum(sizes)
-        for i, h in enumerate(hashes):
-            self.known[h] = n + i
+        self.off[self.n + 1 : self.n + len(ids) + 1] = at + np.cumsum(sizes)
+        entry, slot, todo = np.arange(self.n, self.n + len(ids), dtype=np.int32), self._slots(h), np.arange(len(ids))
+        while len(todo):
+            free = todo[self.entry[slot[todo]] < 0]
+            self.entry[slot[free]] = entry[free]  # of several for one slot the last stays
+            self.keys[slot[free]] = h[free]
+            own = self.entry[slot[todo]] == entry[todo]
+            self.keys[slot[todo[own]]] = h[todo[own]]
+            todo = todo[~own]
+            slot[todo] = (slot[todo] + 1) & (len(self.keys) - 1)
+        self.n += len(ids)
 
     def encode(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets)."""
@@ -88,14 +119,20 @@ class Encoder:
         cut[s[data[s - 1] != 0x20]] = True
         start = np.flatnonzero(cut[:n])
         end = np.append(start[1:], n)
-        h = K.span_hash(K.prefix(K._BYTE[data]), start, end)
-        different, where, code = np.unique(h, return_index=True, return_inverse=True)
-        keys = different.tolist()
-        new = [i for i, x in enumerate(keys) if x not in self.known]
-        if new:
+        h = K.bytes_hash(data, start, end)
+        index = self._find(h)
+        if len(new := np.flatnonzero(index < 0)):
+            _, where = np.unique(h[new], return_index=True)
+            where = new[where]
+            if self.n + len(where) > self.most:
+                self._clear()
+                _, where = np.unique(h, return_index=True)
+                if len(where) > self.most:  # one long text of very many different pieces
+                    self.most, self.bits = len(where), int(2 * len(where) - 1).bit_length()
+                    self._clear()
             raw = data.tobytes()
-            self._learn([keys[i] for i in new], [raw[start[where[i]] : end[where[i]]].decode() for i in new])
-        index = np.fromiter((self.known[x] for x in keys), np.int64, len(keys))[code]
+            self._learn(h[where], [raw[a:b].decode() for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)])
+            index = self._find(h)
         size = self.off[index + 1] - self.off[index]
         ids = self.flat[K.ranges(self.off[index], size)]
         first = np.searchsorted(start, off)
@@ -134,7 +171,7 @@ def _tokens(ranks_file: str, pattern: str, window: int, end_id: int):
                 ends = np.insert(ids, at[1:], end_id)
                 at = at + np.arange(len(at))
                 owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-                pairs = np.unique(owner * VOCABULARY + ends)
+                pairs = np.unique((owner * VOCABULARY + ends).astype(np.int32 if len(at) * VOCABULARY < 2**31 else np.int64))
                 frequency += np.bincount(pairs % VOCABULARY, minlength=VOCABULARY)
                 for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
                     n = (b - a) // window
@@ -211,31 +248,40 @@ def _routed(router: Router):
             for at in range(0, batch.num_rows, 1000):
                 part = batch.slice(at, 1000)
                 rests = [np.frombuffer(x, np.uint16) for x in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(router.keys(rests))], ["doc_id", "doc_tokens", "rest", "key"])
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(router.keys(rests), pa.int64())], ["doc_id", "doc_tokens", "rest", "key"])
 
     return run
 
 
 class Index:
-    """BM25 inverted index of a shard's rests over token ids."""
+    """BM25 inverted index of a shard's rests over token ids: rows for tokens of many rests, lists for the others."""
 
     def __init__(self, rests: list[np.ndarray], idf: np.ndarray) -> None:
         n = len(rests)
         size = np.array([len(r) for r in rests], dtype=np.int64)
         flat = np.concatenate(rests).astype(np.int64) if n else np.zeros(0, np.int64)
-        pair, times = np.unique(flat * n + np.repeat(np.arange(n), size), return_counts=True)
-        self.doc = pair % n
-        token = pair // n
-        norm = K1 * (1 - B + B * size / max(size.mean(), 1))
-        self.weight = idf[token] * times * (K1 + 1) / (times + norm[self.doc])
-        self.at = np.searchsorted(token, np.arange(VOCABULARY + 1))
-        self.idf, self.n = idf, n
+        pair, times = np.unique((flat * n + np.repeat(np.arange(n), size)).astype(np.int32 if n * VOCABULARY < 2**31 else np.int64), return_counts=True)
+        token, doc = np.divmod(pair, np.asarray(max(n, 1), pair.dtype))
+        norm = K1 * (1 - B + B * size / max(size.mean() if n else 1, 1))
+        weight = (idf[token] * times * (K1 + 1) / (times + norm[doc])).astype(np.float32)
+        many = np.bincount(token, minlength=VOCABULARY) * DENSE > n
+        self.row = np.where(many, np.cumsum(many) - 1, -1)
+        self.rows = np.zeros((int(many.sum()), n), np.float32)
+        dense = many[token]
+        self.rows[self.row[token[dense]], doc[dense]] = weight[dense]
+        self.doc, self.weight = doc[~dense].astype(np.int64), weight[~dense]
+        self.at = np.searchsorted(token[~dense], np.arange(VOCABULARY + 1))
+        self.n = n
+
+    def scores(self, query: np.ndarray) -> np.ndarray:
+        terms = np.unique(query).astype(np.int64)
+        row = self.row[terms]
+        at = K.ranges(self.at[terms], self.at[terms + 1] - self.at[terms])
+        return np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n) + self.rows[row[row >= 0]].sum(axis=0)
 
     def neighbours(self, query: np.ndarray, used: np.ndarray, most: int) -> np.ndarray:
         """The best unused documents that share a token with the query, best first."""
-        terms = np.unique(query).astype(np.int64)
-        at = K.ranges(self.at[terms], self.at[terms + 1] - self.at[terms])
-        score = np.bincount(self.doc[at], weights=self.weight[at], minlength=self.n)
+        score = self.scores(query)
         score[used] = 0
         top = np.argpartition(-score, min(most, self.n) - 1)[:most]
         top = top[np.argsort(-score[top], kind="stable")]
@@ -284,27 +330,66 @@ def pack(rests: list[np.ndarray], idf: np.ndarray, window: int) -> Iterator[tupl
         yield window - room, pieces
 
 
-def _packed(idf: np.ndarray, window: int):
+def halved(pieces: list[tuple], total: int) -> Iterator[list[tuple]]:
+    """Cuts a last window of ``total`` tokens into windows whose sizes are powers of two, which need no padding."""
+    pieces = pieces[::-1]
+    for bit in range(total.bit_length() - 1, -1, -1):
+        room, out = total & (1 << bit), []
+        while room:
+            d, begin, n = pieces.pop()
+            out.append((d, begin, min(n, room)))
+            if n > room:
+                pieces.append((d, begin + room, n - room))
+            room -= min(n, room)
+        if out:
+            yield out
+
+
+def _packed(idf: np.ndarray, window: int, shard: int):
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         sequence = (TaskContext.get().partitionId() << 32) * 2 + 1
-        table = pa.Table.from_batches(list(batches), pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("rest", pa.binary())])) if (batches := list(batches)) else None
-        if table is None or not table.num_rows:
-            return
-        doc, tokens = table.column("doc_id").to_pylist(), table.column("doc_tokens").to_pylist()
-        rests = [np.frombuffer(x, np.uint16) for x in table.column("rest").to_pylist()]
         out: list[tuple] = []
-        for _, pieces in pack(rests, idf, window):
+
+        def put(held: list[tuple], pieces: list[tuple]) -> None:
+            nonlocal sequence
             offset = 0
             for d, begin, n in pieces:
-                out.append((doc[d], tokens[d] - len(rests[d]) + begin, n, crc(rests[d][begin : begin + n]), tokens[d], sequence, offset))
+                doc, tokens, first, ids = held[d]
+                out.append((doc, first + begin, n, crc(ids[begin : begin + n]), tokens, sequence, offset))
                 offset += n
             sequence += 2
-        for i in range(0, len(out), 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + 50_000], strict=True)], names)
+
+        def filled(held: list[tuple], last: bool) -> list[tuple]:
+            """Packs a shard; what doesn't fill a window goes to the next."""
+            for total, pieces in pack([h[3] for h in held], idf, window):
+                if total == window:
+                    put(held, pieces)
+                elif last:
+                    for part in halved(pieces, total):
+                        put(held, part)
+                else:
+                    return [(*held[d][:2], held[d][2] + begin, held[d][3][begin : begin + n]) for d, begin, n in pieces]
+            return []
+
+        def rows() -> Iterator[pa.RecordBatch]:
+            for i in range(0, len(out), 50_000):
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out[i : i + 50_000], strict=True)], names)
+            out.clear()
+
+        held: list[tuple] = []
+        for batch in batches:
+            for doc, tokens, rest in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                ids = np.frombuffer(rest, np.uint16)
+                held.append((doc, tokens, tokens - len(ids), ids))
+                if len(held) >= shard:
+                    held = filled(held, False)
+                    yield from rows()
+        filled(held, True)
+        yield from rows()
 
     return run
 
@@ -314,7 +399,9 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END, shard: int
 
     A document is its text's ids and ``end_id``.  Null and empty texts have that id alone; rows without a
     doc_id are packed too, with a null doc_id; rows that repeat a doc_id are packed each.  Other columns
-    are ignored, and an empty table gives an empty result.  ``tokenizer``: ranks file and pattern.
+    are ignored, and an empty table gives an empty result.  Very long texts are cut into whole windows
+    where they are tokenised; equal scores go to the rest that comes first in its shard's order.
+    ``tokenizer``: ranks file and pattern.
     """
     ranks_file, pattern = tokenizer or default_tokenizer()[:2]
     own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
@@ -333,6 +420,8 @@ def packed(docs: DataFrame, window: int = WINDOW, end_id: int = END, shard: int
     router = Router([np.frombuffer(x, np.uint16) for x in sorted(bytes(r[0]) for r in some)], idf)
     # written, as range partitioning reads its input twice
     routed = written(rests.mapInArrow(_routed(router), "doc_id bigint, doc_tokens bigint, rest binary, key bigint"), "routed")
-    rests = routed.repartitionByRange(max(1, -(-n // shard)), "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "doc_tokens", "rest")
-    filled = rests.mapInArrow(_packed(idf, window), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    # a partition has as many shards as it takes, one after the other
+    partitions = min(-(-n // shard), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rests = routed.repartitionByRange(max(1, partitions), "key", "doc_id").sortWithinPartitions("key", "doc_id").select("doc_id", "doc_tokens", "rest")
+    filled = rests.mapInArrow(_packed(idf, window, shard), "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
     return whole.unionByName(filled)
