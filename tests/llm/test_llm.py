@@ -1,5 +1,6 @@
 import collections
 import hashlib
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -86,6 +87,46 @@ def test_near_duplicates(docs, spark):
         assert {r["doc_id"]: r["component_id"] for r in made} == {i: find(i) for i in range(60)}
 
 
+def thue_morse(n):
+    out = [0]
+    while len(out) < n:
+        out += [1 - x for x in out]
+    return out
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_repetitive_words(spark, n):
+    one, two = ("".join(a if x else b for x in thue_morse(n)) for a, b in ("ab", "ba"))
+    tail = " ".join(WORDS[:49])
+    frame = spark.createDataFrame([(1, f"{one} {tail}"), (2, f"{two} {tail}"), (3, f"{one} {tail}")], "doc_id long, text string")
+    assert {r["doc_id"]: r["n_removed"] for r in substrings.remove_repeats(frame).collect()} == {1: 0, 2: 0, 3: 50}
+    words = [" ".join(a if x else b for x in thue_morse(n)) for a, b in (("p", "q"), ("q", "p"))]
+    frame = spark.createDataFrame([(i, f"{words[i % 2]} end") for i in range(4)], "doc_id long, text string")
+    rows = [(r["doc_id"], r["text"]) for r in frame.collect()]
+    assert collections.Counter(tuple(r) for r in substrings.digest(substrings.remove_repeats(frame)).collect()) == brute_repeats(rows)
+    frame = spark.createDataFrame([(i, one if i % 2 else two, f"s{i // 2}") for i in range(4)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["lines_removed"] for r in lines.remove_boilerplate(frame, 2, 1).collect()} == {0: 0, 1: 0, 2: 1, 3: 1}
+    assert {r["doc_id"]: r["component_id"] for r in neardup.near_duplicates(frame).collect()} == {0: 0, 1: 1, 2: 0, 3: 1}
+    column = pa.array([one, two, one])
+    encoder = packing.Encoder(*packing.default_tokenizer()[:2])
+    ids, at = encoder.encode(*kernel.text_buffers(column))
+    assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == [encoder.model.encode_ordinary(t) for t in column.to_pylist()]
+
+
+def test_chained_family():
+    """Each text links with its neighbours alone; the work is linear, as sets meet on rare shingles only."""
+    rng = np.random.default_rng(2)
+    took = []
+    for n in (2000, 4000):
+        values = rng.integers(1, 2**63, n * 5 + 100).astype(np.uint64)
+        sets = [np.sort(values[5 * i : 5 * i + 100]) for i in range(n)]
+        began = time.process_time()
+        links = neardup.confirm(np.concatenate(sets), np.arange(n + 1) * 100, 85)
+        took.append(time.process_time() - began)
+        assert len(links) == n - 1 and {abs(a - b) for a, b in links} == {1}
+    assert took[1] < 3.5 * took[0] + 0.5
+
+
 def test_near_dedup_stage(spark):
     words = WORDS[:100]
     near = words[:50] + [f"x{i}" for i in range(5)] + words[55:]  # 87 of 105 shingles in common: 0.829
