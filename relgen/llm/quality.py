@@ -1,11 +1,13 @@
 """Quality rules with risk-controlled thresholds, in DataFrame expressions throughout.
 
-Each rule rejects a document whose feature exceeds a cutoff from a fixed grid.  On the labelled documents
-of a stratum, the exact binomial bound tells for which cutoffs the rule rejects at most ``risk`` of the good
-documents: P(Binomial(good, risk) <= rejected) <= error / (strata * rules * cutoffs), so that all
-statements hold together with probability 1 - error.  Of a rule's proven cutoffs the one with the best
-balance of rejected bad and good documents is used, the most lenient among equals; a stratum with too few
-labels for a proof has no cutoff.
+Each rule rejects a document whose feature exceeds a cutoff from a fixed grid.  Labelled documents are
+halved by a digest of doc_id.  In each stratum the first half proposes: for each rule the cutoff with the best
+balance of rejected bad and good documents, and the order of the rules by that balance.  The other half, the
+holdout, tests the rules joined so far, one more at a time, as one verdict: all rules up to the last proven
+step are used, where P(Binomial(good, risk) <= rejected good) <= error / strata.  The steps are tested in an
+order fixed before the holdout is seen, and strata by Bonferroni's correction; so with probability
+1 - error the rules together reject at most ``risk`` of the good documents in every stratum.  The base rule is
+given and outside of this.  A stratum with too few labels for a proof has no cutoffs.
 """
 
 from __future__ import annotations
@@ -28,6 +30,9 @@ RULES = {
 }
 #: Strata up to this number go to every executor; more are joined by shuffle.
 MAX_BROADCAST_STRATA = 10_000
+#: Labelled doc_ids up to this number go to every executor, so that only labelled texts get features for the cutoffs;
+#: beyond it all do, and numbers are joined by shuffle.
+MAX_BROADCAST_LABELS = 2_000_000
 
 
 def _count(chars: str) -> Column:
@@ -92,33 +97,54 @@ def tail(n: Column, k: Column, risk: float) -> Column:
     return F.when(k > n * risk, 1.0).otherwise(F.exp(F.aggregate(steps, start, step, lambda a: a["s"])))
 
 
-def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
-    """(stratum, a column of cutoffs for each rule): a proven cutoff of each rule, or null."""
+def labelled(docs: DataFrame, labels: DataFrame, stratum: str) -> DataFrame:
+    """(doc_id, stratum, good, held_out, the rules' features), a row for each labelled document.
+
+    Repeated labels count once, documents with labels of both kinds not at all; of rows that repeat a
+    doc_id one counts.
+    """
+    marks = labels.where("doc_id is not null and quality in (0, 1)").groupBy("doc_id").agg(F.min("quality").cast("int").alias("good"), F.max("quality").cast("int").alias("other")).where("good = other").drop("other")
+    marks = written(marks, "labels")
     docs = docs.select("doc_id", F.coalesce(F.col(stratum).cast("string"), F.lit("")).alias("stratum"), "text")
     inputs = sorted({c for part, whole, _ in RULES.values() for c in (part, whole)})
-    # features first, so that the join moves numbers and not texts
-    numbers = features(docs).select("doc_id", "stratum", *inputs)
-    marked = numbers.join(labels.where("quality is not null").select("doc_id", F.col("quality").cast("int").alias("good")), "doc_id")
+    if marks.count() <= MAX_BROADCAST_LABELS:
+        found = features(docs.join(F.broadcast(marks), "doc_id")).select("doc_id", "good", "stratum", *inputs)
+    else:
+        found = features(docs).select("doc_id", "stratum", *inputs).join(marks, "doc_id")
+    one = found.groupBy("doc_id").agg(F.min(F.struct("good", "stratum", *inputs)).alias("x")).select("doc_id", "x.*")
+    return one.withColumn("held_out", F.md5(F.col("doc_id").cast("string").cast("binary")) < "8")
+
+
+def cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """(stratum, a column of cutoffs for each rule): the proven rules' cutoffs, or null."""
+    marked = written(labelled(docs, labels, stratum), "labelled")
+    n_strata = marked.select("stratum").distinct().count()
     # a document's level: how many of a rule's ascending cutoffs it exceeds
     levels = F.array(*(F.struct(F.lit(rule).alias("rule"), sum((exceeds(rule, F.lit(c)).cast("int") for c in grid), F.lit(0)).alias("level")) for rule, (_, _, grid) in RULES.items()))
-    counts = marked.select("stratum", "good", F.explode(levels).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
+    counts = marked.where("not held_out").select("stratum", "good", F.explode(levels).alias("x")).groupBy("stratum", "x.rule", "x.level").agg(F.sum("good").alias("good"), F.sum(1 - F.col("good")).alias("bad"))
     grids = F.create_map(*(x for rule, (_, _, grid) in RULES.items() for x in (F.lit(rule), F.array(*map(F.lit, grid)))))
     over = F.col("level") > F.col("i")
-    rows = counts.select("*", F.posexplode(grids[F.col("rule")]).alias("i", "cutoff")).groupBy("stratum", "rule", "cutoff").agg(F.sum("good").alias("n_good"), F.sum(F.when(over, F.col("good")).otherwise(0)).alias("rejected"), F.sum(F.when(over, F.col("bad")).otherwise(0)).alias("bad"))
-    n_tests = sum(len(grid) for _, _, grid in RULES.values())
-    rows = rows.withColumn("n_strata", F.count("*").over(Window.partitionBy("rule", "cutoff")))
-    proven = rows.where(tail(F.col("n_good"), F.col("rejected"), risk) <= F.lit(error) / (F.col("n_strata") * n_tests))
-    gain = F.col("bad") - GOOD_WEIGHT * F.col("rejected")
-    best = proven.where(gain > 0).groupBy("stratum", "rule").agg(F.max_by("cutoff", F.struct(gain, F.col("cutoff"))).alias("cutoff"))
-    return best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES))
+    rows = counts.select("*", F.posexplode(grids[F.col("rule")]).alias("i", "cutoff")).groupBy("stratum", "rule", "cutoff").agg((F.sum(F.when(over, F.col("bad")).otherwise(0)) - GOOD_WEIGHT * F.sum(F.when(over, F.col("good")).otherwise(0))).alias("gain")).where("gain > 0")
+    best = rows.groupBy("stratum", "rule").agg(F.max(F.struct("gain", "cutoff")).alias("x")).select("stratum", "rule", "x.*")
+    best = best.withColumn("step", F.row_number().over(Window.partitionBy("stratum").orderBy(F.desc("gain"), "rule")))
+    plan = best.groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col(c))).alias(f"{name}_{r}") for r in RULES for name, c in (("cut", "cutoff"), ("step", "step"))))
+    plan = written(plan, "proposed-cutoffs")
+    tested = marked.where("held_out and good = 1").join(plan, "stratum")
+    first = F.least(*(F.when(exceeds(r, F.col(f"cut_{r}")), F.col(f"step_{r}")) for r in RULES))
+    steps = range(1, len(RULES) + 1)
+    tested = tested.withColumn("first", first).groupBy("stratum").agg(F.count("*").alias("n"), *(F.count(F.when(F.col("first") <= j, True)).alias(f"k{j}") for j in steps))
+    last = F.greatest(F.lit(0), *(F.when(tail(F.col("n"), F.col(f"k{j}"), risk) <= F.lit(error) / n_strata, j) for j in steps))
+    return plan.join(tested.select("stratum", last.alias("last")), "stratum").select("stratum", *(F.when(F.col(f"step_{r}") <= F.col("last"), F.col(f"cut_{r}")).alias(f"cut_{r}") for r in RULES))
 
 
 def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
     """``docs`` with word_chars, n_words, n_symbols, n_dup_lines, n_repeat_words, base_failed and kept.
 
     Base rule: under 20 words, or over 30 % of words in repeated windows.  A null stratum is one of its
-    own; null and empty texts have no words and fail; labels without a document or without a quality are
-    left out; repeated rows are judged alike.  Columns of the input with these names are replaced.
+    own; null and empty texts have no words and fail; labels without a document or a quality of 0 or 1 are
+    left out, repeated labels count once, and documents with both labels not at all; repeated rows are
+    judged alike, and an empty table gives an empty result.  A very long text is one row, judged whole.
+    Columns of the input with these names are replaced.
     """
     columns = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}]
     found = written(cutoffs(docs, labels, stratum, risk, error).withColumnRenamed("stratum", "__stratum"), "cutoffs")
@@ -133,10 +159,8 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
 
 
 def _oracle() -> str:
-    names = {"n_lines": "n_lines", "word_chars": "word_chars", "n_words": "n_words"}
-    tests = " UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, {c} AS cutoff, count(*) FILTER (good = 1) AS n, count(*) FILTER (good = 1 AND {part} * 100 > {c} * {names[whole]}) AS k, count(*) FILTER (good = 0 AND {part} * 100 > {c} * {names[whole]}) AS bad FROM marked GROUP BY stratum" for rule, (part, whole, grid) in RULES.items() for c in grid)
-    n_tests = sum(len(grid) for _, _, grid in RULES.values())
-    rejected = " OR ".join(f"EXISTS (SELECT 1 FROM best b WHERE b.stratum = f.stratum AND b.rule = '{rule}' AND f.{part} * 100 > b.cutoff * f.{whole})" for rule, (part, whole, _) in RULES.items())
+    tests = " UNION ALL ".join(f"SELECT stratum, '{rule}' AS rule, {c} AS cutoff, CAST(count(*) FILTER (good = 0 AND {part} * 100 > {c} * {whole}) - {GOOD_WEIGHT} * count(*) FILTER (good = 1 AND {part} * 100 > {c} * {whole}) AS BIGINT) AS gain FROM marked WHERE NOT held_out GROUP BY stratum" for rule, (part, whole, grid) in RULES.items() for c in grid)
+    hits = " OR ".join(f"(b.rule = '{rule}' AND f.{part} * 100 > b.cutoff * f.{whole})" for rule, (part, whole, _) in RULES.items())
     return f"""
 WITH d AS (SELECT doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS text FROM documents),
 w AS (SELECT doc_id, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') AS words FROM d),
@@ -153,14 +177,19 @@ f AS (SELECT d.doc_id, d.stratum, CAST(len(w.words) AS BIGINT) AS n_words,
   CAST(coalesce(lines.n_lines, 0) AS BIGINT) AS n_lines, CAST(coalesce(lines.n_dup_lines, 0) AS BIGINT) AS n_dup_lines,
   CAST(coalesce(cov.n, 0) AS BIGINT) AS n_repeat_words
   FROM d JOIN w USING (doc_id) LEFT JOIN lines USING (doc_id) LEFT JOIN cov USING (doc_id)),
-marked AS (SELECT f.*, labels.quality AS good FROM f JOIN labels USING (doc_id) WHERE labels.quality IS NOT NULL),
+marks AS (SELECT doc_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id HAVING min(quality) = max(quality)),
+marked AS (SELECT f.*, marks.good, md5(CAST(doc_id AS VARCHAR)) < '8' AS held_out FROM f JOIN marks USING (doc_id)),
+strata AS (SELECT count(DISTINCT stratum) AS n FROM marked),
 t AS ({tests}),
-p AS (SELECT *, (SELECT count(DISTINCT stratum) FROM marked) AS n_strata,
-  CASE WHEN k > n * {RISK} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN j = 0 THEN 0 ELSE lgamma(j + 1) END - lgamma(n - j + 1) + j * ln({RISK}) + (n - j) * ln(1 - {RISK}))) FROM (SELECT unnest(range(0, k + 1)) AS j)) END AS tail FROM t),
-best AS (SELECT stratum, rule, arg_max(cutoff, (bad - {GOOD_WEIGHT} * k) * 10000 + cutoff) AS cutoff FROM p WHERE tail <= {ERROR} / (n_strata * {n_tests}) AND bad - {GOOD_WEIGHT} * k > 0 GROUP BY stratum, rule)
+best AS (SELECT *, row_number() OVER (PARTITION BY stratum ORDER BY gain DESC, rule) AS step
+  FROM (SELECT stratum, rule, arg_max(cutoff, gain * 10000 + cutoff) AS cutoff, max(gain) AS gain FROM t WHERE gain > 0 GROUP BY stratum, rule)),
+held AS (SELECT f.stratum, f.doc_id, min(b.step) FILTER ({hits}) AS first FROM marked f JOIN best b USING (stratum) WHERE f.held_out AND f.good = 1 GROUP BY f.stratum, f.doc_id),
+steps AS (SELECT h.stratum, j.j, count(*) AS n, count(*) FILTER (h.first <= j.j) AS k FROM held h, (SELECT unnest(range(1, {len(RULES) + 1})) AS j) j GROUP BY h.stratum, j.j),
+p AS (SELECT *, CASE WHEN k > n * {RISK} THEN 1.0 ELSE (SELECT sum(exp(lgamma(n + 1) - CASE WHEN i = 0 THEN 0 ELSE lgamma(i + 1) END - lgamma(n - i + 1) + i * ln({RISK}) + (n - i) * ln(1 - {RISK}))) FROM (SELECT unnest(range(0, k + 1)) AS i)) END AS tail FROM steps),
+used AS (SELECT b.* FROM best b JOIN (SELECT stratum, max(j) AS last FROM p WHERE tail <= {ERROR} / (SELECT n FROM strata) GROUP BY stratum) q ON b.stratum = q.stratum AND b.step <= q.last)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AS base_failed,
-  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT ({rejected}) AS kept
+  NOT (n_words < 20 OR 100 * n_repeat_words > 30 * n_words) AND NOT EXISTS (SELECT 1 FROM used b WHERE b.stratum = f.stratum AND ({hits})) AS kept
 FROM f
 """
 

@@ -3,10 +3,12 @@ import hashlib
 import time
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from relgen.llm import chat, decontaminate, html, kernel, lines, neardup, packing, quality, substrings, toxicity, urls
@@ -223,8 +225,31 @@ def test_quality(spark, docs):
     good = [(i, "plain words of good text " + " ".join(rng) + f" {i}", "en", 1) for i, rng in ((i, [f"g{i}x{j}" for j in range(25)]) for i in range(300))]
     bad = [(i, " ".join(f"b{i}x{j}###" for j in range(30)), "en", 0) for i in range(300, 340)]
     frame = spark.createDataFrame(good + bad, "doc_id long, text string, lang string, quality int")
-    kept = {r["doc_id"] for r in quality.judged(frame.drop("quality"), frame.select("doc_id", "quality")).where("kept").collect()}
-    assert kept == set(range(300))
+    labels = frame.select("doc_id", "quality")
+    for marks in (labels, labels.union(labels).union(labels)):  # repeated labels prove nothing more
+        assert {r["doc_id"] for r in quality.judged(frame.drop("quality"), marks).where("kept").collect()} == set(range(300))
+    few = labels.where("doc_id < 60 or doc_id >= 300")
+    assert quality.judged(frame.drop("quality"), few.union(few).union(few)).where("kept").count() == 340
+    both = labels.union(labels.select("doc_id", (1 - F.col("quality")).alias("quality")))
+    assert quality.judged(frame.drop("quality"), both).where("kept").count() == 340
+    assert quality.judged(docs.limit(0), labels).count() == 0
+
+
+def test_quality_guarantee(spark, monkeypatch):
+    """200 draws, as strata: each rule fails its share of the good documents; the rules together may not pass the risk too often."""
+    rng, share = np.random.default_rng(8), 0.018
+    plain = " ".join(f"word{j}" for j in range(10))
+    kinds = ["a# " * 20, "AB " * 20, "a! " * 20, "same\n" * 20, "x" * 40 + " y" * 2]
+    rows = []
+    for draw in range(200):
+        for i in range(600):
+            kind = int(rng.random() / share) if i < 500 else i % 5
+            rows.append((len(rows), kinds[kind] if kind < 5 else plain, f"s{draw}", int(i < 500)))
+    frame = spark.createDataFrame(pd.DataFrame(rows, columns=["doc_id", "text", "lang", "quality"]))
+    monkeypatch.setattr(quality, "GOOD_WEIGHT", 1)
+    cuts = quality.cutoffs(frame.drop("quality"), frame.select("doc_id", "quality"), risk=0.05, error=0.1 * 200).collect()
+    used = [sum(r[f"cut_{k}"] is not None for k in quality.RULES) for r in cuts]
+    assert max(used) > 0 and sum(n * share > 0.05 for n in used) <= 0.1 * 200 + 8
 
 
 def test_packing(spark, docs):
