@@ -184,6 +184,66 @@ def test_html_template_that_the_first_page_lacks(spark):
     assert "story 1" in got[12]
 
 
+def test_html_names_are_hints(spark):
+    wide = "<body><div class='page has-sidebar'><article><p>story {0}</p><section class='search-results-explained'>explained {0}</section><figure><figcaption>figure {0}</figcaption></figure><math>x{0}</math></article></div><div class=ad>buy {0}</div>"
+    rows = [(i, "http://w/x", wide.format(i)) for i in range(5)] + [(9, "http://v/x", wide.format(9)), (9, "http://v/x", wide.format(9)), (None, "http://v/y", None), (10, "http://v/y", "")]
+    frame = spark.createDataFrame([(*r, "clash") for r in rows], "page_id long, url string, html string, text string")
+    got = html.extracted(frame).collect()
+    assert len(got) == len(rows) and html.extracted(frame.limit(0)).count() == 0
+    for r in got:
+        assert r["text"] == ("" if r["page_id"] in (None, 10) else "story {0} explained {0} figure {0} x{0}".format(r["page_id"]))
+
+
+def test_html_deep_and_long_pages(spark):
+    deep = "<div>" * 5000 + "story {}" + "</div>" * 5000
+    long = "<p>{0} a</p><div><p>b</p></div>" * 3000
+    rows = [(4 * k + i, f"http://{k}/x", page.format(i)) for k, page in enumerate((deep, long)) for i in range(4)]
+    got = {r["page_id"]: r["text"] for r in html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(4)] == [f"story {i}" for i in range(4)] and got[5] == " ".join(["1 a"] * 3000)
+    for hostile in ("<a" * 500_000, "<script" * 100_000, "<a '" * 100_001, "<p>" * 100_000, "<!" * 100_000, "<td><p>" * 50_000):
+        began = time.process_time()
+        html.parse(hostile)
+        assert time.process_time() - began < 10
+
+
+def brute_matching(a, b):
+    if a.label != b.label:
+        return 0
+    m = [[0] * (len(b.children) + 1) for _ in range(len(a.children) + 1)]
+    for i, x in enumerate(a.children, 1):
+        for j, y in enumerate(b.children, 1):
+            m[i][j] = max(m[i - 1][j], m[i][j - 1], m[i - 1][j - 1] + brute_matching(x, y))
+    return 1 + m[-1][-1]
+
+
+TREES = st.recursive(st.just(""), lambda t: st.lists(st.tuples(st.sampled_from(["div", "ul", "section"]), t), max_size=4).map(lambda xs: "".join(f"<{n}>{x or 'text'}</{n}>" for n, x in xs)), max_leaves=12)
+
+
+@settings(max_examples=150, deadline=None)
+@given(TREES, TREES)
+def test_tree_matching(a, b):
+    a, b = html.parse(a), html.parse(b)
+    assert html.Matching().size(a, b) == brute_matching(a, b)
+    pairs = html.align(a, b)
+    assert len(pairs) == brute_matching(a, b)
+
+
+def test_html_without_telling_names(spark):
+    """Pages of the given shape with all names made plain: the wrapper alone finds the article."""
+    rng = np.random.default_rng(4)
+    pool = [" ".join(rng.choice(WORDS, 6)) for _ in range(8)]
+    page = "<body><div><div><a>{0}</a></div><div><a>{1}</a></div></div><section>{2}</section><div><h1>{3}</h1><p>{4}</p><p>{5}</p></div><p>&copy; {6}</p>"
+    rows, want = [], {}
+    for i in range(60):
+        own = [" ".join(rng.choice(WORDS, n)) for n in (5, 40, 30)]
+        rows.append((i, "http://plain/x", page.format(*rng.choice(WORDS[:5], 2), rng.choice(pool), *own, rng.choice(pool))))
+        want[i] = " ".join(own)
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r["page_id"]: r["text"] for r in html.extracted(frame).collect()} == want
+    off = {r["page_id"]: r["text"] for r in html.extracted(frame, least_pages=10**9).collect()}
+    assert not any(off[i] == want[i] for i in want)
+
+
 def test_alignment_and_leaks(spark):
     item = [f"b{i}" for i in range(30)]
     edited = [w if i % 6 else "zz" for i, w in enumerate(item)]
