@@ -10,6 +10,7 @@ from pathlib import Path
 from relgen import __version__
 
 log = logging.getLogger("relgen")
+MAX_ROWS = 100_000
 CONFIG = "verbose: false\ngenerate:\n  input: schema.sql\n  rows: 10\n  seed: 42\n  format: sql\ninspect:\n  input: schema.sql\n  graph: false\n  semantic: false\n"
 
 
@@ -77,8 +78,9 @@ def main(argv: list[str] | None = None) -> int:
         return 0
     if args.command == "serve":
         return _serve(args)
-    config = load_config(args.config).get(args.command, {})
-    logging.basicConfig(level=logging.DEBUG if args.verbose else logging.WARNING, stream=sys.stderr)
+    whole = load_config(args.config)
+    config = whole.get(args.command) or {}
+    logging.basicConfig(level=logging.DEBUG if args.verbose or whole.get("verbose") or config.get("verbose") else logging.WARNING, stream=sys.stderr)
     path = args.input or config.get("input")
     if not path:
         log.error("--input is missing")
@@ -119,8 +121,8 @@ def _generate(spark, model, args, config: dict) -> int:
 
     pick = lambda given, name, default: given if given is not None else config.get(name, default)
     rows, seed, kind = pick(args.rows, "rows", 10), pick(args.seed, "seed", 42), pick(args.format, "format", "sql")
-    if rows < 0:
-        raise ValueError("rows must not be negative")
+    if not 0 <= rows <= MAX_ROWS:
+        raise ValueError(f"rows must be between 0 and {MAX_ROWS}")
     data = generate(spark, model, rows, seed, progress=lambda t, i, n: log.info("%s (%d/%d)", t, i, n))
     for table, message in data.errors:
         log.error("%s: %s", table, message)
@@ -140,6 +142,15 @@ def _generate(spark, model, args, config: dict) -> int:
     return 0
 
 
+def catalog_semantics(cat):
+    """(table, ord, column, semantic) of the columns whose name has a meaning."""
+    from pyspark.sql import functions as F
+
+    from relgen.functions.semantics import column_semantic
+
+    return cat["columns"].select("table", "ord", "column", column_semantic(F.col("column")).alias("semantic")).where("semantic is not null")
+
+
 def _inspect(spark, model, args, config: dict) -> int:
     from relgen.plans import graph
     from relgen.sources.model import catalog
@@ -148,7 +159,17 @@ def _inspect(spark, model, args, config: dict) -> int:
     for t in model.tables:
         print(f"{t.name}: {len(t.columns)} columns, {len(t.foreign_keys)} foreign keys, {len(t.unique)} unique, {len(t.checks)} checks")
         for c in t.columns:
-            print(f"  {c.name} {display_type(c.type, c.length, c.scale)}{'' if c.nullable else ' not null'}")
+            print(f"  {c.name} {display_type(c.type, c.length, c.scale)}{'' if c.nullable else ' not null'}{f' default {c.default}' if c.default is not None else ''}")
+        if t.primary_key:
+            print(f"  primary key ({', '.join(t.primary_key)})")
+        for u in t.unique:
+            print(f"  unique ({', '.join(u)})")
+        for f in t.foreign_keys:
+            print(f"  foreign key ({', '.join(f.columns)}) -> {f.ref_table}({', '.join(model.ref_columns(f))}) on delete {f.on_delete.lower()} on update {f.on_update.lower()}")
+        for c in t.checks:
+            print(f"  check {c.expression}")
+    for e in model.enums:
+        print(f"enum {e.name}: {', '.join(e.values)}")
     print(f"{len(model.tables)} tables, {len(model.enums)} enums")
     cat = catalog(spark, model)
     if args.graph or config.get("graph"):
@@ -158,6 +179,12 @@ def _inspect(spark, model, args, config: dict) -> int:
     if args.semantic or config.get("semantic"):
         for r in graph.table_roles(cat).orderBy("table", "role").collect():
             print(f"{r['table']}: {r['role']} {r['score'] / 100:.2f}")
+            for line in r["evidence"]:
+                print(f"  {line}")
+        for r in graph.relationship_kinds(cat).orderBy("table", "ref_table", "columns").collect():
+            print(f"{r['table']}({', '.join(r['columns'])}) -> {r['ref_table']}: {r['kind']}")
+        for r in catalog_semantics(cat).orderBy("table", "ord").collect():
+            print(f"{r['table']}.{r['column']}: {r['semantic']}")
     return 0
 
 

@@ -32,12 +32,31 @@ def sql_literal(value: Column, kind: T.DataType, target: str = "", compatible: b
     return F.when(value.isNull(), "NULL").otherwise(out)
 
 
+def shortest(value: Column) -> Column:
+    """A double's shortest decimal text, with an exponent below 1e-4 and from 1e6 on."""
+    text = value.cast("double").cast("string")
+    part = lambda i: F.regexp_extract(text, "^-?([0-9]+)[.]([0-9]+)(?:E(-?[0-9]+))?$", i)
+    digits = F.concat(part(1), part(2))
+    plain = F.regexp_replace(digits, "^0+|0+$", "")
+    lead = F.length(F.regexp_extract(digits, "^0*", 0))
+    power = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) - lead - 1
+    more = lambda from_: F.when(F.length(plain) >= from_, F.concat(F.lit("."), F.substr(plain, from_))).otherwise("")
+    exponent = F.concat(F.substring(plain, 1, 1), more(F.lit(2)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
+    whole = F.concat(F.rpad(F.substr(plain, F.lit(1), power + 1), 6, "0").substr(F.lit(1), power + 1), more(power + 2))
+    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), plain)
+    made = F.when(plain == "", "0").when((power < -4) | (power >= 6), exponent).when(power >= 0, whole).otherwise(small)
+    special = F.when(F.isnan(value), "NaN").when(value == F.lit(float("inf")), "+Inf").when(value == F.lit(float("-inf")), "-Inf")
+    return F.coalesce(special, F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), made))
+
+
 def csv_field(value: Column, kind: T.DataType) -> Column:
-    """Null is empty, text is always quoted, numbers and booleans are plain."""
+    """Null is empty, text is always quoted, numbers and booleans are plain; no digit of a number is lost."""
     if isinstance(kind, T.BooleanType):
         out = F.when(value, "true").otherwise("false")
+    elif isinstance(kind, (T.FloatType, T.DoubleType)):
+        out = shortest(value)
     elif isinstance(kind, T.NumericType):
-        out = _number(value, kind)
+        out = value.cast("string")
     else:
         out = F.concat(F.lit('"'), F.replace(value.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(value.isNull(), "").otherwise(out)
