@@ -2,36 +2,41 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+SAMPLES = 3
+
 
 def profile(df: DataFrame, columns: list[str] | None = None, order_by: str | None = None) -> DataFrame:
-    """(column, total, nulls, n_distinct, type, samples): one scan, no shuffle of whole rows.
+    """(column, total, nulls, n_distinct, type, samples) of each column.
 
-    Empty texts and the word null count as nulls; type is integer, decimal or text; samples are the first
-    three values by ``order_by``, where it is given.
+    Empty texts and the word null count as nulls; type is integer (numbers without a point), decimal or
+    text; samples are the first three values that are not null, by ``order_by`` and among equals by value,
+    or in the order of the rows as they are read.  Values are counted as (column, value) pairs, which are
+    aggregated before they are shuffled; the first values of each task alone travel for the samples.
     """
     columns = columns or df.columns
-    aggs = []
-    for i, c in enumerate(columns):
-        text = F.trim(F.col(c).cast("string"))
-        value = F.when(text.isNull() | text.isin("", "NULL", "null"), None).otherwise(F.col(c))
-        whole, number = text.rlike("^[-+]?[0-9]+$"), text.try_cast("double").isNotNull()
-        aggs += [
-            F.sum(value.isNull().cast("bigint")).alias(f"nulls_{i}"),
-            F.countDistinct(value).alias(f"distinct_{i}"),
-            F.bool_and(F.when(value.isNotNull(), whole)).alias(f"whole_{i}"),
-            F.bool_and(F.when(value.isNotNull(), number)).alias(f"number_{i}"),
-        ]
-        if order_by:
-            first = F.slice(F.sort_array(F.collect_list(F.when(F.col("__at") <= 3, F.struct(F.col(order_by).alias("o"), text.alias("v"))))), 1, 3)
-            aggs.append(F.transform(first, lambda x: x["v"]).alias(f"samples_{i}"))
-    if order_by:
-        # rows that can hold the first three values of some column: a bounded number
-        head = df.orderBy(order_by).limit(3).select(order_by, F.lit(1).alias("__in"))
-        df = df.join(F.broadcast(head), order_by, "left").withColumn("__at", F.when(F.col("__in") == 1, F.lit(1)).otherwise(9))
-    row = df.agg(F.count("*").alias("total"), *aggs)
-    empty = F.expr("cast(array() as array<string>)")
-    items = F.array(*(F.struct(F.lit(c).alias("column"), F.coalesce(F.col(f"nulls_{i}"), F.lit(0)).alias("nulls"), F.col(f"distinct_{i}").alias("n_distinct"), F.when(F.col(f"whole_{i}"), "integer").when(F.col(f"number_{i}"), "decimal").otherwise("text").alias("type"), (F.col(f"samples_{i}") if order_by else empty).alias("samples")) for i, c in enumerate(columns)))
-    return row.select("total", F.explode(items).alias("p")).select("p.column", "total", "p.nulls", "p.n_distinct", "p.type", "p.samples")
+    name = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    text = lambda c: F.trim(name(c).cast("string"))
+    at = name(order_by) if order_by else F.monotonically_increasing_id()
+    pairs = F.explode(F.array(*(F.struct(F.lit(i).alias("i"), F.when(~text(c).isin("", "NULL", "null"), text(c)).alias("value")) for i, c in enumerate(columns))))
+    rows = df.select(at.alias("at"), pairs.alias("p")).select("at", "p.*")
+    number = F.col("value").try_cast("double")
+    numeric = F.coalesce(number.isNotNull() & ~F.isnan(number) & (F.abs(number) != F.lit(float("inf"))), F.lit(False))
+    counted = rows.groupBy("i", "value").agg(F.count("*").alias("n"))
+    known = F.col("value").isNotNull()
+    found = counted.groupBy("i").agg(
+        F.sum("n").alias("total"),
+        F.sum(F.when(known, 0).otherwise(F.col("n"))).alias("nulls"),
+        F.count("value").alias("n_distinct"),
+        F.bool_and(F.when(known, numeric)).alias("number"),
+        F.bool_and(F.when(known, numeric & ~F.contains("value", F.lit(".")))).alias("whole"),
+    )
+    first = rows.where(known).withColumn("k", F.row_number().over(Window.partitionBy("i").orderBy("at", "value"))).where(F.col("k") <= SAMPLES)
+    samples = first.groupBy("i").agg(F.sort_array(F.collect_list(F.struct("k", "value"))).alias("s")).select("i", F.transform("s", lambda x: x["value"]).alias("samples"))
+    names = df.sparkSession.createDataFrame(list(enumerate(columns)), "i int, column string")
+    out = names.join(found, "i", "left").join(samples, "i", "left")
+    kind = F.when(F.col("whole"), "integer").when(F.col("number"), "decimal").otherwise("text")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
+    return out.select("column", *map(zero, ("total", "nulls", "n_distinct")), kind.alias("type"), F.coalesce("samples", F.expr("cast(array() as array<string>)")).alias("samples"))

@@ -1,8 +1,11 @@
-"""Constraint checks as DataFrames of violations."""
+"""Constraint checks as DataFrames of violations, and their counts."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -13,55 +16,93 @@ RULES = ("NOT_NULL", "PK_UNIQUE", "UNIQUE", "ENUM", "LENGTH", "FK")
 ROW = "row_index"
 
 
+def col(name: str) -> Column:
+    """A column by its whole name, dots and backticks included."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def display_key(columns: list[str]) -> Column:
-    return F.concat_ws("::", *(F.coalesce(F.col(c).cast("string"), F.lit("<nil>")) for c in columns))
+    return F.concat_ws("::", *(F.coalesce(col(c).cast("string"), F.lit("<nil>")) for c in columns))
 
 
 def _out(table: str, df: DataFrame, column: Column, value: Column, rule: str, message: Column) -> DataFrame:
     return df.select(F.lit(table).alias("table"), column.cast("string").alias("column"), F.col(ROW).cast("bigint").alias("row_index"), value.cast("string").alias("value"), F.lit(rule).alias("rule"), message.alias("message"))
 
 
+@dataclass
+class Single:
+    """A check of one row: whether it fails, and what to say."""
+
+    rule: str
+    column: str
+    fails: Column
+    value: Column
+    message: Column
+
+
+def single_checks(table: Table, model: Model, columns: list[str]) -> list[Single]:
+    """Checks of single rows in the order NOT_NULL, ENUM, LENGTH; a column that the data lacks has no value in any row."""
+    # fixed values: the messages
+    out, none = [], F.lit(None).cast("string")
+    for c in table.columns:
+        if not c.nullable:
+            there = c.name in columns
+            what = "nil" if there else "no"
+            text = f"has {what} value"
+            out.append(Single("NOT_NULL", c.name, col(c.name).isNull() if there else F.lit(True), none, F.concat(F.lit(f'column "{c.name}" is NOT NULL but row '), F.col(ROW).cast("string"), F.lit(f" {text}"))))
+    for c in table.columns:
+        if (e := model.enum(c.type)) and c.name in columns:
+            value = col(c.name).cast("string")
+            out.append(Single("ENUM", c.name, value.isNotNull() & ~value.isin(e.values), value, F.concat(F.lit('value "'), value, F.lit(f'" is not a valid enum value for type "{e.name}"'))))
+    for c in table.columns:
+        if c.length and c.type in ("varchar", "char") and c.name in columns:
+            size = F.octet_length(col(c.name))
+            out.append(Single("LENGTH", c.name, F.coalesce(size > c.length, F.lit(False)), col(c.name).cast("string"), F.concat(F.lit("string length "), size.cast("string"), F.lit(f" exceeds column limit {c.length}"))))
+    return out
+
+
+def failing(table: str, df: DataFrame, checks: list[Single]) -> DataFrame:
+    """The rows that fail single-row checks, all in one scan."""
+    made = F.array(*(F.when(c.fails, F.struct(F.lit(c.column).alias("column"), c.value.alias("value"), F.lit(c.rule).alias("rule"), c.message.alias("message"))) for c in checks))
+    rows = df.select(ROW, F.explode(F.filter(made, lambda x: x.isNotNull())).alias("x"))
+    return rows.select(F.lit(table).alias("table"), "x.column", F.col(ROW).cast("bigint").alias("row_index"), "x.value", "x.rule", "x.message")
+
+
 def not_null(table: Table, df: DataFrame) -> DataFrame | None:
-    names = [c.name for c in table.columns if not c.nullable and c.name in df.columns]
-    if not names:
-        return None
-    missing = F.filter(F.array(*(F.when(F.col(n).isNull(), F.lit(n)) for n in names)), lambda x: x.isNotNull())
-    rows = df.select(ROW, F.explode(missing).alias("__c"))
-    return _out(table.name, rows, F.col("__c"), F.lit(None), "NOT_NULL", F.format_string('column "%s" is NOT NULL but row %d has nil value', "__c", ROW))
+    checks = [c for c in single_checks(table, Model(), df.columns) if c.rule == "NOT_NULL"]
+    return failing(table.name, df, checks) if checks else None
 
 
 def duplicates(table: str, df: DataFrame, key: list[str], rule: str) -> DataFrame:
     """Every row after the first with its key; null equals null."""
     what = "primary key" if rule == "PK_UNIQUE" else "unique value"
-    w = Window.partitionBy(*key)
-    # only keys that repeat reach the window, so that its sort is over duplicates alone
-    often = df.groupBy(*key).agg(F.count("*").alias("__n")).where("__n > 1").drop("__n")
-    same = [df[k].eqNullSafe(often[k]) for k in key]
-    rows = df.select(*key, ROW).join(often.select(*(F.col(k).alias(k) for k in key)), same, "left_semi")
-    rows = rows.withColumns({"__first": F.min(ROW).over(w), "__k": F.row_number().over(w.orderBy(ROW))}).where("__k > 1").withColumn("__key", display_key(key))
+    names = [f"__k{i}" for i in range(len(key))]
+    first = df.groupBy(*(col(k).alias(n) for k, n in zip(key, names, strict=True))).agg(F.min(ROW).alias("__first"), F.count("*").alias("__n")).where("__n > 1")
+    same = [col(k).eqNullSafe(F.col(n)) for k, n in zip(key, names, strict=True)]
+    rows = df.select(*map(col, key), ROW).join(first, same).where(F.col(ROW) > F.col("__first")).withColumn("__key", display_key(key))
     return _out(table, rows, F.lit(None), F.col("__key"), rule, F.format_string(f'duplicate {what} "%s" (first seen at row %d)', "__key", "__first"))
 
 
 def enum(table: str, df: DataFrame, column: str, name: str, values: list[str]) -> DataFrame:
-    bad = df.where(F.col(column).isNotNull() & ~F.col(column).cast("string").isin(values))
-    return _out(table, bad, F.lit(column), F.col(column), "ENUM", F.format_string(f'value "%s" is not a valid enum value for type "{name}"', F.col(column).cast("string")))
+    bad = df.where(col(column).isNotNull() & ~col(column).cast("string").isin(values))
+    return _out(table, bad, F.lit(column), col(column), "ENUM", F.format_string(f'value "%s" is not a valid enum value for type "{name}"', col(column).cast("string")))
 
 
 def length(table: str, df: DataFrame, column: str, limit: int) -> DataFrame:
     """Length is in bytes."""
-    bad = df.where(F.octet_length(column) > limit)
-    return _out(table, bad, F.lit(column), F.col(column), "LENGTH", F.format_string(f"string length %d exceeds column limit {limit}", F.octet_length(column)))
+    bad = df.where(F.octet_length(col(column)) > limit)
+    return _out(table, bad, F.lit(column), col(column), "LENGTH", F.format_string(f"string length %d exceeds column limit {limit}", F.octet_length(col(column))))
 
 
 def orphans(child: DataFrame, parent: DataFrame, columns: list[str], ref_columns: list[str]) -> DataFrame:
     """Rows whose key the parent lacks.  A null single key is no reference; composite keys compare nulls as values."""
     refs = [f"__ref{i}" for i in range(len(ref_columns))]
-    keys = parent.select(*(F.col(c).alias(r) for c, r in zip(ref_columns, refs, strict=True))).distinct()
+    keys = parent.select(*(col(c).alias(r) for c, r in zip(ref_columns, refs, strict=True)))
     if len(columns) == 1:
-        child = child.where(F.col(columns[0]).isNotNull())
+        child = child.where(col(columns[0]).isNotNull())
     same = []
     for c, r in zip(columns, refs, strict=True):
-        a, b = child[c], keys[r]
+        a, b = col(c), F.col(r)
         if child.schema[c].dataType != keys.schema[r].dataType and not (isinstance(child.schema[c].dataType, T.NumericType) and isinstance(keys.schema[r].dataType, T.NumericType)):
             a, b = a.cast("string"), b.cast("string")
         same.append(a == b if len(columns) == 1 else a.eqNullSafe(b))
@@ -75,68 +116,89 @@ def foreign_key(table: str, child: DataFrame, parent: DataFrame, fk: ForeignKey,
     return _out(table, bad, column, F.col("__key"), "FK", F.format_string(f'foreign key {text} "%s" not found in referenced table "{fk.ref_table}" PK values', "__key"))
 
 
+@dataclass
+class Keyed:
+    """A check that compares rows: its violations, and their number in a column n."""
+
+    rule: str
+    rows: Callable[[], DataFrame]
+    count: Callable[[], DataFrame]
+
+
+def _whole(df: DataFrame, names: list[str]) -> DataFrame:
+    """``df`` with nulls for the named columns that it lacks."""
+    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+
+
+def keyed_checks(table: Table, tables: dict[str, DataFrame], model: Model, strict_compat: bool) -> list[Keyed]:
+    out = []
+    for rule, keys in (("PK_UNIQUE", [table.primary_key] if table.primary_key else []), ("UNIQUE", table.unique)):
+        for key in keys:
+            df = _whole(tables[table.name], key)
+            count = lambda df=df, key=key: df.groupBy(*map(col, key)).agg(F.count("*").alias("__c")).agg(F.sum(F.col("__c") - 1).alias("n"))
+            out.append(Keyed(rule, lambda df=df, key=key, rule=rule: duplicates(table.name, df, key, rule), count))
+    for fk in table.foreign_keys:
+        parent, refs = model.table(fk.ref_table), model.ref_columns(fk)
+        if fk.ref_table not in tables or parent is None or (strict_compat and fk.ref_columns != parent.primary_key):
+            continue
+        child, other = _whole(tables[table.name], fk.columns), _whole(tables[fk.ref_table], refs)
+        # each different key is looked up once
+        count = lambda child=child, other=other, fk=fk, refs=refs: orphans(child.groupBy(*map(col, fk.columns)).agg(F.count("*").alias("__c")), other, fk.columns, refs).agg(F.sum("__c").alias("n"))
+        out.append(Keyed("FK", lambda child=child, other=other, fk=fk, refs=refs: foreign_key(table.name, child, other, fk, refs), count))
+    return out
+
+
+def _union(parts: list[DataFrame], schema: str, tables: dict[str, DataFrame]) -> DataFrame:
+    if not parts:
+        spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+        return spark.createDataFrame([], schema)
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def _required(tables: dict[str, DataFrame] | None, model: Model | None) -> None:
+    if tables is None or model is None:
+        raise ValueError("dataset is nil" if tables is None else "model is nil")
+
+
 def violations(tables: dict[str, DataFrame], model: Model, strict_compat: bool = False) -> DataFrame:
     """All violations, table by table.  Each DataFrame needs a row_index column that orders its rows.
 
-    ``strict_compat``: foreign keys that don't name the parent's primary key are not checked.
+    A column that a table lacks counts as null in every row.  Foreign keys to tables that are not given are
+    not checked.  ``strict_compat``: nor are those that don't name the parent's primary key.
     """
-    if tables is None or model is None:
-        raise ValueError("dataset is nil" if tables is None else "model is nil")
+    _required(tables, model)
     parts: list[DataFrame] = []
-    spark = next(iter(tables.values())).sparkSession if tables else None
     for name, df in tables.items():
         t = model.table(name)
         if t is None:
             parts.append(df.sparkSession.createDataFrame([(name, None, None, None, "INTERNAL", f'table "{name}" not found in schema model')], SCHEMA))
             continue
-        parts += [x for x in [not_null(t, df)] if x is not None]
-        if t.primary_key:
-            parts.append(duplicates(name, df, t.primary_key, "PK_UNIQUE"))
-        parts += [duplicates(name, df, u, "UNIQUE") for u in t.unique]
-        for c in t.columns:
-            if e := model.enum(c.type):
-                parts.append(enum(name, df, c.name, e.name, e.values))
-            if c.length and c.type in ("varchar", "char"):
-                parts.append(length(name, df, c.name, c.length))
-        for fk in t.foreign_keys:
-            parent = model.table(fk.ref_table)
-            refs = model.ref_columns(fk)
-            if fk.ref_table in tables and not (strict_compat and fk.ref_columns != parent.primary_key):
-                parts.append(foreign_key(name, df, tables[fk.ref_table], fk, refs))
-    if not parts:
-        from pyspark.sql import SparkSession
-
-        return (spark or SparkSession.getActiveSession()).createDataFrame([], SCHEMA)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        if single := single_checks(t, model, df.columns):
+            parts.append(failing(name, df, single))
+        parts += [c.rows() for c in keyed_checks(t, tables, model, strict_compat)]
+    return _union(parts, SCHEMA, tables)
 
 
-def summary(tables: dict[str, DataFrame], model: Model) -> DataFrame:
-    """(table, rule, violations) with zero counts; one aggregation for each check and no windows."""
+def summary(tables: dict[str, DataFrame], model: Model, strict_compat: bool = False) -> DataFrame:
+    """(table, rule, violations): the number of violations of each kind that is checked, zero counts too."""
+    _required(tables, model)
     parts: list[DataFrame] = []
-
-    def add(table: str, rule: str, count: DataFrame) -> None:
-        parts.append(count.select(F.lit(table).alias("table"), F.lit(rule).alias("rule"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n")))
-
     for name, df in tables.items():
         t = model.table(name)
-        flags = [F.sum(F.col(c.name).isNull().cast("bigint")) for c in t.columns if not c.nullable]
-        enums = [F.sum((F.col(c.name).isNotNull() & ~F.col(c.name).isin(model.enum(c.type).values)).cast("bigint")) for c in t.columns if model.enum(c.type)]
-        lengths = [F.sum(F.coalesce((F.octet_length(c.name) > c.length).cast("bigint"), F.lit(0))) for c in t.columns if c.length and c.type in ("varchar", "char")]
-        # one scan for all checks of single rows
-        single = {r: x for r, x in (("NOT_NULL", flags), ("ENUM", enums), ("LENGTH", lengths)) if x}
-        if single:
-            both = df.agg(*(sum(x[1:], x[0]).alias(r) for r, x in single.items()))
-            stack = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in single))).alias("s")
-            parts.append(both.select(stack).select(F.lit(name).alias("table"), "s.rule", F.coalesce("s.n", F.lit(0)).cast("bigint").alias("n")))
-        for rule, keys in (("PK_UNIQUE", [t.primary_key] if t.primary_key else []), ("UNIQUE", t.unique)):
-            for key in keys:
-                add(name, rule, df.groupBy(*key).agg(F.count("*").alias("__c")).agg(F.sum(F.col("__c") - 1).alias("n")))
-        for fk in t.foreign_keys:
-            add(name, "FK", orphans(df, tables[fk.ref_table], fk.columns, model.ref_columns(fk)).agg(F.count("*").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out.groupBy("table", "rule").agg(F.sum("n").alias("violations"))
+        if t is None:
+            parts.append(df.sparkSession.createDataFrame([(name, "INTERNAL", 1)], "table string, rule string, n bigint"))
+            continue
+        single = single_checks(t, model, df.columns)
+        rules = [r for r in RULES if any(c.rule == r for c in single)]
+        if rules:
+            # one scan for all checks of single rows
+            sums = df.agg(*(F.sum(sum(c.fails.cast("bigint") for c in single if c.rule == r)).alias(r) for r in rules))
+            stack = F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("n")) for r in rules))).alias("s")
+            parts.append(sums.select(stack).select(F.lit(name).alias("table"), "s.rule", "s.n"))
+        for c in keyed_checks(t, tables, model, strict_compat):
+            parts.append(c.count().select(F.lit(name).alias("table"), F.lit(c.rule).alias("rule"), "n"))
+    counted = _union(parts, "table string, rule string, n bigint", tables)
+    return counted.groupBy("table", "rule").agg(F.sum(F.coalesce("n", F.lit(0))).cast("bigint").alias("violations"))
