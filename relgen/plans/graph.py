@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import re
+from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 EDGE_KINDS = ("contains", "references", "referenced_by", "depends_on", "uses_enum")
@@ -161,8 +165,46 @@ def relationship_kinds(cat: dict[str, DataFrame]) -> DataFrame:
     return rows.select("table", "ref_table", "columns", kind.alias("kind"))
 
 
-def table_roles(cat: dict[str, DataFrame]) -> DataFrame:
-    """(table, role, score): roles with a confidence in hundredths."""
+@dataclass(frozen=True)
+class Rule:
+    """How a role is inferred: parts that each add to the score where they hold, with their evidence.
+
+    ``parts``: functions of the facts of ``table_facts`` that give (condition, hundredths, evidence); a
+    condition or an evidence may be a Column.  The role is given from ``least`` hundredths on; ``extra``
+    gives more evidence as an array.
+    """
+
+    role: str
+    parts: tuple[Callable[[], tuple[Column, int, Column]], ...]
+    least: int = 1
+    extra: Callable[[], Column] | None = None
+
+
+def _part(condition: str, score: int, evidence: str) -> Callable[[], tuple[Column, int, Column]]:
+    """``evidence`` with {facts} in braces."""
+
+    def made() -> tuple[Column, int, Column]:
+        pieces = re.split(r"\{(\w+)\}", evidence)
+        return F.expr(condition), score, F.concat(*(F.col(x).cast("string") if i % 2 else F.lit(x) for i, x in enumerate(pieces)))
+
+    return made
+
+
+# fixed values: roles, their conditions, confidence in hundredths and evidence
+RULES = (
+    Rule("junction", (_part("junction", 95, "composite primary key has {n_pk} columns, all of which are foreign keys"),), extra=lambda: F.transform("pk", lambda c: F.concat(F.lit('primary key column "'), c, F.lit('" is also a foreign key column')))),
+    Rule("hierarchical", (_part("n_self > 0", 95, "table has {n_self} self-referencing foreign key(s), forming a hierarchical structure"),)),
+    Rule("lookup", (_part("n_outgoing = 0", 40, "has no outgoing foreign keys (does not depend on other tables)"), _part("n_incoming >= 2", 30, "referenced by {n_incoming} other tables (frequently used reference)"), _part("n_columns <= 6", 20, "has only {n_columns} column(s) — small, focused table"), _part("created_at = 0 and updated_at = 0", 10, "has no temporal tracking columns (stable, infrequently modified)")), 50),
+    Rule("transactional", (_part("created_at = 1", 40, 'has a "created_at" column indicating event timestamping'), _part("n_outgoing >= 1", 30, "has {n_outgoing} outgoing foreign key(s) referencing domain entities"), _part("updated_at = 1", 15, 'has an "updated_at" column indicating lifecycle tracking'), _part("not junction", 15, "is not a junction table — has an independent identity")), 55),
+    Rule("entity", (_part("true", 50, "every table is a domain entity by default"),)),
+    Rule("temporal", tuple(_part(f"{n} = 1", s, f"has {n}") for n, s in (("created_at", 100), ("updated_at", 100), ("deleted_at", 100)))),
+    Rule("soft_delete", (_part("deleted_at = 1", 100, "has deleted_at"),)),
+    Rule("audit", tuple(_part(f"{n} = 1", 100, f"has {n}") for n in ("created_by", "updated_by", "deleted_by"))),
+)
+
+
+def table_facts(cat: dict[str, DataFrame]) -> DataFrame:
+    """What rules may ask: degrees, pk, n_pk, junction, and 0 or 1 for each name of a moment or an author."""
     named = lambda n: F.max((F.lower("column") == n).cast("int")).alias(n)
     names = ("created_at", "updated_at", "deleted_at", "created_by", "updated_by", "deleted_by")
     flags = cat["columns"].groupBy("table").agg(*map(named, names))
@@ -170,22 +212,20 @@ def table_roles(cat: dict[str, DataFrame]) -> DataFrame:
     foreign = cat["fks"].select("table", F.explode("columns").alias("c")).groupBy("table").agg(F.collect_set("c").alias("foreign"))
     rows = degrees(cat).join(flags, "table").join(pk, "table", "left").join(foreign, "table", "left")
     junction = F.coalesce((F.size("pk") >= 2) & (F.size(F.array_except("pk", F.coalesce("foreign", F.expr("cast(array() as array<string>)")))) == 0), F.lit(False))
-    yes = lambda c, n: F.when(c, n).otherwise(0)
-    col = F.col
-    lookup = yes(col("n_outgoing") == 0, 40) + yes(col("n_incoming") >= 2, 30) + yes(col("n_columns") <= 6, 20) + yes((col("created_at") == 0) & (col("updated_at") == 0), 10)
-    moving = yes(col("created_at") == 1, 40) + yes(col("n_outgoing") >= 1, 30) + yes(col("updated_at") == 1, 15) + yes(~junction, 15)
-    roles = (
-        ("junction", yes(junction, 95), 1),
-        ("hierarchical", yes(col("n_self") > 0, 95), 1),
-        ("lookup", lookup, 50),
-        ("transactional", moving, 55),
-        ("entity", F.lit(50), 1),
-        ("temporal", yes(col("created_at") + col("updated_at") + col("deleted_at") > 0, 100), 1),
-        ("soft_delete", yes(col("deleted_at") == 1, 100), 1),
-        ("audit", yes(col("created_by") + col("updated_by") + col("deleted_by") > 0, 100), 1),
-    )
-    scores = F.array(*(F.struct(F.lit(r).alias("role"), s.alias("score"), F.lit(n).alias("least")) for r, s, n in roles))
-    return rows.select("table", F.explode(scores).alias("s")).where("s.score >= s.least").select("table", "s.role", "s.score")
+    return rows.withColumns({"junction": junction, "n_pk": F.size("pk")})
+
+
+def table_roles(cat: dict[str, DataFrame], rules: Sequence[Rule] = RULES) -> DataFrame:
+    """(table, role, score, evidence): roles with a confidence in hundredths, 100 at most, and what speaks for each."""
+    found = []
+    for rule in rules:
+        parts = [p() for p in rule.parts]
+        score = F.least(F.lit(100), sum((F.when(c, n).otherwise(0) for c, n, _ in parts), F.lit(0)))
+        said = F.filter(F.array(*(F.when(c, e) for c, _, e in parts)), lambda x: x.isNotNull())
+        if rule.extra:
+            said = F.concat(F.coalesce(rule.extra(), F.expr("cast(array() as array<string>)")), said)
+        found.append(F.struct(F.lit(rule.role).alias("role"), score.alias("score"), F.lit(rule.least).alias("least"), said.alias("evidence")))
+    return table_facts(cat).select("table", F.explode(F.array(*found)).alias("s")).where("s.score >= s.least").select("table", "s.role", "s.score", "s.evidence")
 
 
 def badges(cat: dict[str, DataFrame]) -> DataFrame:

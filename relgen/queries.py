@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgen import jobs, star
+from relgen import jobs, library, star
 from relgen.functions.formatting import fingerprint
 from relgen.functions.generators import DOMAINS, FIRST, LAST, PLACES
 from relgen.functions.semantics import column_semantic, tokens
 from relgen.operators import sinks
 from relgen.operators.generate import Generator
 from relgen.operators.profile import profile
-from relgen.operators.validate import enum, length, orphans, summary
+from relgen.operators.validate import duplicates, enum, length, not_null, orphans, summary
 from relgen.plans import graph
 from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
+from relgen.sources.delimited import from_csv
 from relgen.sources.model import Model, catalog
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -62,12 +63,12 @@ def fk_composite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pk_duplicates_lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _t(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.count("*").alias("n")).where("n > 1").select("l_orderkey", "l_linenumber", (F.col("n") - 1).alias("surplus"))
+    """Lines that repeat an order's supplier, as duplicates of a composite key."""
+    rows = _t(spark, sf_dir, "lineitem").withColumn("row_index", F.col("l_orderkey") * 100 + F.col("l_linenumber"))
+    return duplicates("lineitem", rows, ["l_orderkey", "l_suppkey"], "PK_UNIQUE").select("row_index", "value", "rule", "message")
 
 
 def unique_part_name(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from relgen.operators.validate import duplicates
-
     rows = _t(spark, sf_dir, "part").withColumn("row_index", F.col("p_partkey"))
     return duplicates("part", rows, ["p_name"], "UNIQUE").select("row_index", "value", "message")
 
@@ -80,8 +81,27 @@ def _enum(table: str, column: str, values: list[str], key: str) -> Query:
     return run
 
 
-def _profile(table: str, columns: list[str]) -> Query:
-    return lambda spark, sf_dir: profile(_t(spark, sf_dir, table), columns).select("column", "total", "nulls", "n_distinct", "type")
+def _profile(table: str, columns: list[str], order_by: str) -> Query:
+    return lambda spark, sf_dir: profile(_t(spark, sf_dir, table), columns, order_by).withColumn("samples", F.array_join("samples", "|"))
+
+
+def not_null_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a label, as a column that may not be null; and a column that the data lacks."""
+    table = parse("CREATE TABLE labelled (doc_id BIGINT NOT NULL, quality INT NOT NULL, lacking INT NOT NULL);").tables[0]
+    rows = _t(spark, sf_dir, "documents").select("doc_id").join(_t(spark, sf_dir, "labels"), "doc_id", "left").select(F.col("doc_id").alias("row_index"), "doc_id", "quality")
+    return not_null(table, rows).select("column", "row_index", "message")
+
+
+def export_csv_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Doubles as CSV fields, with all their digits."""
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_index"), "l_quantity", "l_discount", (F.col("l_tax") / 8).alias("share"))
+    return sinks.csv_rows(rows)
+
+
+def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Exported lines read back, with commas and quotation marks in them."""
+    rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.concat(F.lit("a, "), "p_name").alias("name"), "p_brand", "p_size")
+    return from_csv(sinks.csv_rows(rows), ["name", "brand", "size", "more"])
 
 
 def catalog_columns_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -139,12 +159,15 @@ def queries() -> dict[str, Query]:
         "pk_duplicates_lineitem": pk_duplicates_lineitem,
         "unique_part_name": unique_part_name,
         "not_null_left_join": lambda s, d: _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels"), "doc_id", "left").where("quality is null").select("doc_id"),
+        "not_null_labels": not_null_labels,
+        "export_csv_doubles": export_csv_doubles,
+        "csv_fields": csv_fields,
         "enum_event_type": _enum("events", "event_type", ["click", "purchase", "signup", "view"], "event_id"),
         "enum_segment": _enum("customer", "c_mktsegment", ["BUILDING", "MACHINERY"], "c_custkey"),
         "length_part_name": lambda s, d: length("part", _t(s, d, "part").withColumn("row_index", F.col("p_partkey")), "p_name", 10).select("row_index", "value", "message"),
         "violation_summary": lambda s, d: summary(star.tables(s, d), star.model()),
-        "profile_orders": _profile("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"]),
-        "profile_events": _profile("events", ["event_id", "user_id", "event_type", "props"]),
+        "profile_orders": _profile("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey"),
+        "profile_events": _profile("events", ["event_id", "user_id", "event_type", "props"], "event_id"),
         "catalog_columns_semantic": catalog_columns_semantic,
         "graph_edges": strip(lambda c: graph.edges(c).select("src", "dst", "kind", F.array_join("local", ",").alias("local"), "cardinality")),
         "graph_node_counts": strip(lambda c: graph.nodes(c).groupBy("kind").agg(F.count("*").alias("n"))),
@@ -152,7 +175,7 @@ def queries() -> dict[str, Query]:
         "graph_degrees": strip(graph.degrees),
         "fk_cardinality": strip(lambda c: graph.cardinalities(c).select("table", F.array_join("columns", ",").alias("fk"), "cardinality")),
         "relationship_kind": strip(lambda c: graph.relationship_kinds(c).select("table", "ref_table", F.array_join("columns", ",").alias("fk"), "kind")),
-        "table_roles": strip(graph.table_roles),
+        "table_roles": strip(lambda c: graph.table_roles(c).drop("evidence")),
         "topo_levels": topo_levels,
         "transitive_dependencies": strip(graph.closure),
         "graph_roots": strip(graph.roots),
@@ -184,7 +207,7 @@ def queries() -> dict[str, Query]:
         "optional_references": strip(lambda c: graph.optional_references(c).select("table", "ref_table", F.array_join("columns", ",").alias("fk"))),
         "column_types": strip(graph.column_types),
         "rate_limit": rate_limit,
-    }
+    } | library.queries()
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -261,8 +284,10 @@ def oracle_sql() -> dict[str, str]:
             counts.setdefault((t.name, "FK"), []).append(orphan(t.name, f.columns[0], f.ref_table, m.ref_columns(f)[0]))
     violation = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{r}' AS rule, CAST({' + '.join(f'({q})' for q in qs)} AS BIGINT) AS violations" for (t, r), qs in counts.items())
 
-    def profiled(table: str, columns: dict[str, str]) -> str:
-        return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER ({c} IS NULL) AS nulls, count(DISTINCT {c}) AS n_distinct, '{kind}' AS type FROM {table}" for c, kind in columns.items())
+    def profiled(table: str, columns: dict[str, str], key: str) -> str:
+        known = lambda c: f"trim(CAST({c} AS VARCHAR)) NOT IN ('', 'NULL', 'null')"
+        samples = lambda c: f"(SELECT string_agg(trim(CAST({c} AS VARCHAR)), '|' ORDER BY {key}) FROM (SELECT {key}, {c} FROM {table} WHERE {known(c)} ORDER BY {key} LIMIT 3))"
+        return " UNION ALL ".join(f"SELECT '{c}' AS \"column\", count(*) AS total, count(*) FILTER (({known(c)}) IS NOT TRUE) AS nulls, count(DISTINCT {c}) FILTER ({known(c)}) AS n_distinct, '{kind}' AS type, coalesce({samples(c)}, '') AS samples FROM {table}" for c, kind in columns.items())
 
     from relgen.functions.semantics import semantic_of
 
@@ -296,15 +321,18 @@ def oracle_sql() -> dict[str, str]:
         "fk_orphans_documents_labels": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "fk_integrity_star": " UNION ALL ".join(f"SELECT '{t}' AS child, '{c}' AS fk, ({orphan(t, c, p, r)}) AS orphans" for t, c, p, r in fks),
         "fk_composite_check": "SELECT conv_id, turn + 1 AS following FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.turn IS NOT DISTINCT FROM a.turn + 1)",
-        "pk_duplicates_lineitem": "SELECT l_orderkey, l_linenumber, count(*) - 1 AS surplus FROM lineitem GROUP BY ALL HAVING count(*) > 1",
+        "pk_duplicates_lineitem": "SELECT r AS row_index, l_orderkey || '::' || l_suppkey AS value, 'PK_UNIQUE' AS rule, 'duplicate primary key \"' || l_orderkey || '::' || l_suppkey || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, l_orderkey * 100 + l_linenumber AS r, min(l_orderkey * 100 + l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM lineitem) WHERE r > f",
+        "not_null_labels": "SELECT 'quality' AS \"column\", doc_id AS row_index, 'column \"quality\" is NOT NULL but row ' || doc_id || ' has nil value' AS message FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL UNION ALL SELECT 'lacking', doc_id, 'column \"lacking\" is NOT NULL but row ' || doc_id || ' has no value' FROM documents",
+        "export_csv_doubles": "SELECT l_orderkey * 100 + l_linenumber AS row_index, " + " || ',' || ".join(f"regexp_replace(CAST({x} AS VARCHAR), '[.]0$', '')" for x in ("l_quantity", "l_discount", "l_tax / 8")) + " AS line FROM lineitem",
+        "csv_fields": "SELECT p_partkey AS row_index, 'a, ' || p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS more FROM part",
         "unique_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'duplicate unique value \"' || p_name || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_name) AS f FROM part) WHERE p_partkey > f",
         "not_null_left_join": "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL",
         "enum_event_type": "SELECT event_id AS row_index, event_type AS value, 'ENUM' AS rule FROM events WHERE event_type NOT IN ('click', 'purchase', 'signup', 'view')",
         "enum_segment": "SELECT c_custkey AS row_index, c_mktsegment AS value, 'ENUM' AS rule FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
         "length_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'string length ' || strlen(p_name) || ' exceeds column limit 10' AS message FROM part WHERE strlen(p_name) > 10",
         "violation_summary": violation,
-        "profile_orders": profiled("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderpriority": "text"}),
-        "profile_events": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}),
+        "profile_orders": profiled("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderpriority": "text"}, "o_orderkey"),
+        "profile_events": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}, "event_id"),
         "catalog_columns_semantic": f"SELECT * FROM {semantic}",
         "graph_edges": f"{cat}, {_CARD}, {_EDGES} SELECT * FROM edges",
         "graph_node_counts": f"{cat} SELECT 'table' AS kind, count(*) AS n FROM tabs UNION ALL SELECT 'enum', count(*) FROM enums UNION ALL SELECT 'column', count(*) FROM cols",
@@ -345,4 +373,5 @@ def oracle_sql() -> dict[str, str]:
         "optional_references": f'{cat} SELECT f.tab AS "table", f.ref AS ref_table, f.col AS fk FROM fks f JOIN cols c ON c.tab = f.tab AND c.col = f.col WHERE c.nullable',
         "column_types": f"SELECT * FROM {shown}",
         "rate_limit": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3",
-    }
+        "plan_order": "SELECT * FROM (VALUES (0, 'part'), (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'supplier'), (5, 'orders'), (6, 'events'), (7, 'lineitem')) v(ord, \"table\")",
+    } | library.oracle_sql()

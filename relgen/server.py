@@ -8,7 +8,7 @@ import logging
 import threading
 import time
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import asdict
 from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
 from urllib.parse import parse_qsl, urlsplit
@@ -46,12 +46,12 @@ class RequestError(ValueError):
 class RateLimiter:
     """So many requests of each visitor in a fixed window."""
 
-    def __init__(self, limit: int = 60, seconds: float = 60) -> None:
-        self.limit, self.seconds, self.lock = limit, seconds, threading.Lock()
+    def __init__(self, limit: int = 60, seconds: float = 60, clock: Callable[[], float] = time.time) -> None:
+        self.limit, self.seconds, self.clock, self.lock = limit, seconds, clock, threading.Lock()
         self.window, self.seen = 0, Counter()
 
     def allow(self, visitor: str, now: float | None = None) -> bool:
-        window = int((time.time() if now is None else now) // self.seconds)
+        window = int((self.clock() if now is None else now) // self.seconds)
         with self.lock:
             if window != self.window:
                 self.window, self.seen = window, Counter()
@@ -287,6 +287,6 @@ def _handler(service: Service, limiter: RateLimiter) -> type[BaseHTTPRequestHand
     return Handler
 
 
-def server(spark: SparkSession, port: int = 8080, job_file: str | None = None, limit: int = 60, host: str = "127.0.0.1") -> ThreadingHTTPServer:
+def server(spark: SparkSession, port: int = 8080, job_file: str | None = None, limit: int = 60, host: str = "127.0.0.1", clock: Callable[[], float] = time.time) -> ThreadingHTTPServer:
     """A server that is bound but not yet running; ``serve_forever`` runs it, ``shutdown`` ends it."""
-    return ThreadingHTTPServer((host, port), _handler(Service(spark, JobStore(job_file)), RateLimiter(limit)))
+    return ThreadingHTTPServer((host, port), _handler(Service(spark, JobStore(job_file)), RateLimiter(limit, clock=clock)))

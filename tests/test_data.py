@@ -3,11 +3,14 @@ from pyspark.sql import functions as F
 
 from relgen import jobs, queries, star
 from relgen.functions.generators import ExhaustedError
+from relgen.functions.formatting import shortest
 from relgen.operators import sinks
 from relgen.operators.generate import Generator, generate, stream_events
 from relgen.operators.profile import profile
 from relgen.operators.validate import summary, violations
+from relgen.plans import graph
 from relgen.sources.ddl import parse
+from relgen.sources.model import catalog
 from relgen.streaming.monitor import row_violations
 
 DDL = """
@@ -58,7 +61,7 @@ def test_sinks(spark, tmp_path):
     m = parse("CREATE TABLE t (id INT PRIMARY KEY, name TEXT, ok BOOLEAN, x DOUBLE PRECISION);")
     df = spark.createDataFrame([(0, 1, "it's", True, 1.5), (1, 2, None, None, None)], "row_index long, id int, name string, ok boolean, x double")
     assert "".join(sinks.sql_text({"t": df}, m, "public")) == 'INSERT INTO public.t ("id", "name", "ok", "x") VALUES\n(1, \'it\'\'s\', TRUE, 1.50),\n(2, NULL, NULL, NULL);\n\n'
-    assert "".join(sinks.csv_text({"t": df, "u": df.limit(0)})) == '"id","name","ok","x"\n1,"it\'s",true,1.50\n2,,,\n\n"id","name","ok","x"\n'
+    assert "".join(sinks.csv_text({"t": df, "u": df.limit(0)})) == '"id","name","ok","x"\n1,"it\'s",true,1.5\n2,,,\n\n"id","name","ok","x"\n'
     assert "".join(sinks.sql_text({"t": df.limit(0)}, m)) == ""
     sinks.write({"t": df}, str(tmp_path))
     assert spark.read.parquet(f"{tmp_path}/t").count() == 2
@@ -68,7 +71,32 @@ def test_sinks(spark, tmp_path):
 def test_profile(spark):
     df = spark.createDataFrame([(1, "5", ""), (2, "6.5", "b"), (3, "5", "null"), (4, None, "c")], "k int, a string, b string")
     got = {r["column"]: (r["nulls"], r["n_distinct"], r["type"], r["samples"]) for r in profile(df, order_by="k").collect()}
-    assert got["a"] == (1, 2, "decimal", ["5", "6.5", "5"]) and got["b"][:3] == (2, 2, "text") and got["k"][2] == "integer"
+    assert got["a"] == (1, 2, "decimal", ["5", "6.5", "5"]) and got["b"] == (2, 2, "text", ["b", "c"]) and got["k"][2] == "integer"
+    tied = spark.createDataFrame([(1, ""), (1, None), (1, "y"), (1, "x"), (2, "1e5")], "`k.x` int, v string")
+    got = {r["column"]: r for r in profile(tied, order_by="k.x").collect()}
+    assert got["v"]["samples"] == ["x", "y", "1e5"] and got["v"]["total"] == 5 and got["v"]["nulls"] == 2 and got["k.x"]["n_distinct"] == 2
+    assert {r["total"] for r in profile(tied.limit(0)).collect()} == {0}
+
+
+def test_shortest_numbers(spark):
+    want = {0.001: "0.001", 0.0: "0", 100.0: "100", 1234567.0: "1.234567e+06", 1e-05: "1e-05", 0.0001: "0.0001", -2.5: "-2.5", 1e300: "1e+300", 99999.99: "99999.99"}
+    got = {r["x"]: r["s"] for r in spark.createDataFrame([(x,) for x in want], "x double").select("x", shortest(F.col("x")).alias("s")).collect()}
+    assert got == want and all(float(s) == x for x, s in got.items())
+
+
+def test_hostile_tables(spark):
+    m = parse('CREATE TABLE p (id INT PRIMARY KEY); CREATE TABLE c ("a.b" INT UNIQUE, n INT NOT NULL, p INT REFERENCES p(id), u VARCHAR(2), UNIQUE (n, u));')
+    c = spark.createDataFrame([(0, 1), (1, 1)], "row_index long, `a.b` int")
+    for tables in ({"c": c}, {"c": c, "p": spark.createDataFrame([(0, 1)], "row_index long, id int")}, {"z": c}, {"c": c.limit(0)}, {}):
+        found = {(r["table"], r["rule"]): r["n"] for r in violations(tables, m).groupBy("table", "rule").agg(F.count("*").alias("n")).collect()}
+        assert {(r["table"], r["rule"]): r["violations"] for r in summary(tables, m).where("violations > 0").collect()} == found
+    assert violations({"c": c}, m).where("rule = 'NOT_NULL'").first()["message"] == 'column "n" is NOT NULL but row 0 has no value'
+
+
+def test_custom_rules(spark):
+    m = parse("CREATE TABLE a (id INT PRIMARY KEY, x INT, y INT);")
+    rule = graph.Rule("wide", (graph._part("n_columns > 2", 70, "has {n_columns} columns"),))
+    assert [tuple(r) for r in graph.table_roles(catalog(spark, m), (rule,)).collect()] == [("a", "wide", 70, ["has 3 columns"])]
 
 
 def test_jobs(tmp_path, spark):

@@ -53,7 +53,7 @@ def test_events_and_jobs(service):
 
 
 def test_http(spark, tmp_path):
-    running = server(spark, 0, str(tmp_path / "jobs.json"), limit=5)
+    running = server(spark, 0, str(tmp_path / "jobs.json"), limit=5, clock=lambda: 0)
     threading.Thread(target=running.serve_forever, daemon=True).start()
     base = f"http://127.0.0.1:{running.server_address[1]}"
     try:
