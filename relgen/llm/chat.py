@@ -116,12 +116,14 @@ def formatted(conversations: DataFrame, tokenizer: str | None = None) -> DataFra
     """(conv_id, formatted, ids, loss_mask, loss_text), a row for each conversation.
 
     Turns go by turn, then role and text; null turns come first, null roles and texts are empty, repeated
-    rows are turns of their own, and rows without a conv_id form one conversation.  Assistant texts are to
+    rows are turns of their own, and each row without a conv_id is a conversation of its own.  Assistant texts are to
     be learned.  Other columns are ignored, and an empty table gives an empty result.  A conversation is
     formatted in one task, as it is one sequence of tokens.
     """
     turns = F.sort_array(F.collect_list(F.struct("turn", "role", "text")))
-    grouped = conversations.groupBy("conv_id").agg(turns.alias("turns"))
+    lone = F.when(F.col("conv_id").isNull(), F.monotonically_increasing_id())
+    rows = conversations.select("conv_id", "turn", "role", "text", lone.alias("__lone"))
+    grouped = rows.groupBy("conv_id", "__lone").agg(turns.alias("turns")).drop("__lone")
     kind = conversations.schema["conv_id"].dataType.simpleString()
     return grouped.mapInArrow(_format(tokenizer or default_tokenizer()), f"conv_id {kind}, formatted string, ids array<int>, loss_mask array<boolean>, loss_text string")
 
@@ -160,7 +162,7 @@ SELECT conv_id, count(*) AS n_turns,
   CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
   sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
   CAST(sum({len(TURN) + len(END) + 2} + length(replace({escaped('role')}, chr(10), '{SIGN}2')) + length({escaped('text')})) AS BIGINT) AS formatted_chars
-FROM c GROUP BY conv_id
+FROM (SELECT *, CASE WHEN conv_id IS NULL THEN row_number() OVER () END AS lone FROM c) GROUP BY conv_id, lone
 """
 
 

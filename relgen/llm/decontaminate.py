@@ -4,7 +4,9 @@ Texts are lower-cased (A-Z) and split at ASCII characters other than letters and
 frequency of every benchmark n-gram is counted over the whole corpus; an item's seeds are the rarer half
 of its n-grams and all that occur in few documents, so that each item keeps seeds however often it leaked.
 Around the seeds a passage shares with an item, local alignment of words (match 2, mismatch and gap -1)
-scores copies, edited copies and paraphrases; the score is a share of the item's perfect score.
+scores copies, edited copies and paraphrases; the score is a share of the item's perfect score.  A passage
+that scores as ``RUN`` equal words or more counts for items of any length, and items below ``MIN_WORDS`` words
+only as whole exact copies.  Items of fewer words than an n-gram are not sought, as prose is full of them.
 
 Items go to the tasks in blocks of bounded size; each block costs two passes over the corpus.
 """
@@ -22,6 +24,8 @@ from pyspark.sql import types as T
 from relgen.llm import kernel as K
 
 GRAM, MIN_WORDS, RARE, SLACK, THRESHOLD = 3, 8, 10, 12, 0.5
+#: An alignment that scores as so many equal words counts however long its item is.
+RUN = 25
 #: Bytes of benchmark text that a task holds at once.
 BLOCK_BYTES = 16 << 20
 _PLAIN = np.zeros(256, dtype=bool)
@@ -40,7 +44,8 @@ class Items:
         column = pa.array(texts, pa.string())
         words = plain_words(*K.text_buffers(column))
         n = words.counts()
-        keep = [i for i in range(len(texts)) if n[i] >= max(min_words, gram)]
+        keep = [i for i in range(len(texts)) if n[i] >= gram]
+        self.least = [1.0 if n[i] < min_words else 0.0 for i in keep]
         self.ids = [ids[i] for i in keep]
         self.words = [words.hash[words.off[i] : words.off[i + 1]] for i in keep]
         grams = [_grams(w, gram) for w in self.words]
@@ -135,7 +140,8 @@ def find(items: Items, words: K.Words, gram: int, slack: int, threshold: float)
         qs = [items.words[item[first[i]]] for i in part]
         score, end = align(qs, [words.hash[begin[i] : finish[i]] for i in part])
         share = score / np.array([2 * len(q) for q in qs])
-        good = np.flatnonzero(share >= threshold)
+        least = np.maximum([items.least[item[first[i]]] for i in part], np.minimum(threshold, RUN / np.array([len(q) for q in qs])))
+        good = np.flatnonzero(share >= least)
         if not len(good):
             continue
         # the alignment of the reversed sequences ends where the passage begins
@@ -205,8 +211,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_wo
     """(doc_id, item_id, score, start_word, end_word): each item's best passage in each document over the threshold.
 
     Null texts hold nothing; rows without a doc_id or item_id take no part; items below ``min_words`` words
-    are not sought; equal items are found each; rows that repeat a doc_id give a row each, the best of them
-    counting.  Other columns are ignored, and empty tables give an empty result.
+    are found as whole copies only; equal items are found each, of equal scores in a document the first passage; rows that repeat a doc_id give a row each, the best of them
+    counting.  Other columns are ignored, and empty tables give an empty result.  A very long text is one
+    row, read whole.
     """
     texts = docs.where("doc_id is not null and text is not null").select("doc_id", "text")
     id_field = benchmark.schema["item_id"].dataType
@@ -230,7 +237,11 @@ def _clean(items: Items, gram: int, slack: int, threshold: float, at: int):
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame, gram: int = GRAM, min_words: int = MIN_WORDS, rare: int = RARE, slack: int = SLACK, threshold: float = THRESHOLD, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of ``docs``, all columns, whose text holds no benchmark passage; no shuffle of texts."""
+    """The rows of ``docs``, all columns, whose text holds no benchmark passage; no shuffle of texts.
+
+    Null and empty texts and rows without a doc_id are judged by their text like others; repeated rows
+    stay or go together; empty tables take nothing away.
+    """
     texts = docs.where("text is not null").select("doc_id", "text")
     for items in item_blocks(benchmark, gram, min_words, block_bytes):
         docs = docs.mapInArrow(_clean(_seeded(texts, items, gram, rare), gram, slack, threshold, 0), docs.schema)

@@ -84,12 +84,13 @@ def _without(names: list[str]):
     return run
 
 
-def remove_boilerplate(docs: DataFrame, sites: int = 10, min_words: int = 3, site: str = "source") -> DataFrame:
+def remove_boilerplate(docs: DataFrame, sites: int = 10, min_words: int = 1, site: str = "source") -> DataFrame:
     """All columns of ``docs`` with boilerplate lines taken out of ``text``, and lines_total and lines_removed (bigint).
 
     A null site is a site of its own.  Null and empty texts, and rows without a doc_id, come back as they
     are; a line may repeat inside a document and counts once a site; rows that repeat a doc_id are copies
-    of one text.  Columns of the input with these names are replaced.
+    of one text, so all rows of the first document keep a line.  An empty table gives an empty result, and
+    a very long text is one row.  Columns of the input with these names are replaced.
     """
     names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
     docs = docs.select(*names)
@@ -114,9 +115,9 @@ WITH l AS (
          len(regexp_extract_all(line, '[^\\x20\\x09-\\x0D]+')) AS words
   FROM l
 ), b AS (
-  SELECT body, min(doc_id) AS first_doc FROM k WHERE words >= 3 GROUP BY body HAVING count(DISTINCT site) >= 10
+  SELECT body, min(doc_id) AS first_doc FROM k WHERE words >= 1 GROUP BY body HAVING count(DISTINCT site) >= 10
 ), r AS (
-  SELECT k.doc_id, k.pos, k.line, b.body IS NOT NULL AND k.words >= 3 AND k.doc_id <> b.first_doc AS gone
+  SELECT k.doc_id, k.pos, k.line, b.body IS NOT NULL AND k.words >= 1 AND k.doc_id <> b.first_doc AS gone
   FROM k LEFT JOIN b ON k.body = b.body
 )
 SELECT doc_id, count(*) AS n_lines, CAST(count(*) FILTER (gone) AS BIGINT) AS n_removed,

@@ -321,3 +321,20 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
 def recall_at(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
     """Chance that a pair of this similarity shares a band."""
     return 1 - math.pow(1 - similarity**rows, bands)
+
+
+ORACLE_SQL = """
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(list_transform(range(1, greatest(len(words) - 3, 2)), lambda i: hash(array_to_string(words[i : i + 4], ' ')))) AS hs FROM d WHERE len(words) > 0
+), e AS (SELECT doc_id, len(hs) AS n, unnest(hs) AS h FROM s),
+links AS (
+  SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.h = b.h AND a.doc_id <> b.doc_id AND 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
+  GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reach AS (
+  SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), c AS (SELECT a, min(least(a, b)) AS component FROM reach GROUP BY a)
+SELECT d.doc_id, CAST(coalesce(len(s.hs), 0) AS BIGINT) AS n_shingles, coalesce(c.component, d.doc_id) AS component_id, coalesce(c.component, d.doc_id) = d.doc_id AS kept
+FROM d LEFT JOIN s ON s.doc_id = d.doc_id LEFT JOIN c ON c.a = d.doc_id
+"""

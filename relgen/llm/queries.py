@@ -59,4 +59,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_line_dedup": lines.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
+    return {"op1_substring_dedup": substrings.ORACLE_SQL, "op10_minhash_near_dedup": neardup.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}

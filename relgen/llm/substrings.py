@@ -193,3 +193,15 @@ def digest(cleaned: DataFrame) -> DataFrame:
 
 def kept_sha256(words: list[str]) -> str:
     return hashlib.sha256(" ".join(words).encode()).hexdigest()
+
+
+ORACLE_SQL = """
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words FROM documents),
+w AS (SELECT doc_id, unnest(range(1, len(words) + 1)) AS p, unnest(words) AS word FROM d),
+s AS (SELECT doc_id, unnest(range(1, len(words) - 48)) AS p, unnest(list_transform(range(1, len(words) - 48), lambda i: md5(array_to_string(words[i : i + 49], ' ')))) AS h FROM d WHERE len(words) >= 50),
+f AS (SELECT doc_id, p, CAST(min(doc_id) OVER (PARTITION BY h) < doc_id AS INTEGER) AS again FROM s),
+c AS (SELECT w.doc_id, w.p, w.word, max(coalesce(f.again, 0)) OVER (PARTITION BY w.doc_id ORDER BY w.p ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) AS gone
+  FROM w LEFT JOIN f ON f.doc_id = w.doc_id AND f.p = w.p),
+g AS (SELECT doc_id, count(*) AS n_words, CAST(sum(gone) AS BIGINT) AS n_removed, string_agg(word, ' ' ORDER BY p) FILTER (gone = 0) AS kept FROM c GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_words, 0) AS n_words, coalesce(n_removed, 0) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN g USING (doc_id)
+"""

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 #: (verdict, host, path); the longest fitting rule wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
+#: More rules than these are joined by host instead of being one expression.
 MAX_RULES = 200
 BITS_PER_URL = 16
 #: Blocks up to this number (64 bytes each) go to every executor; more are joined by shuffle.
@@ -74,22 +75,35 @@ def listed_pages(pages: DataFrame, listed: DataFrame, url: str) -> DataFrame:
     return probed.withColumn("__key", key).join(names, F.col("__key") == names["__url"], "left").withColumn("__listed", F.col("__url").isNotNull())
 
 
+def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
+    """``pages`` with __rule and __verdict of the longest rule that fits __host and __path, or nulls."""
+    if len(rules) <= MAX_RULES:
+        fits, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
+        for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
+            match = ((F.col("__host") == h) | F.col("__host").endswith("." + h)) & F.col("__path").startswith(p)
+            fits, verdict = F.when(match, h + p).otherwise(fits), F.when(match, kind).otherwise(verdict)
+        return pages.withColumns({"__rule": fits, "__verdict": verdict})
+    table = pages.sparkSession.createDataFrame([(h, p, h + p, kind, i) for i, (kind, h, p) in enumerate(rules)], "__site string, __start string, __name string, __kind string, __ord int")
+    # each different host and path meets the rules of the host and the domains above it
+    labels = F.split("__host", "\\.")
+    above = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
+    different = pages.select("__host", "__path").distinct()
+    met = different.select("__host", "__path", F.explode(above).alias("__site")).join(table, "__site").where(F.startswith("__path", "__start"))
+    best = met.groupBy(F.col("__host").alias("__h"), F.col("__path").alias("__p")).agg(F.max(F.struct(F.length("__name").alias("n"), "__ord", "__name", "__kind")).alias("x"))
+    joined = pages.join(best, (pages["__host"] == best["__h"]) & (pages["__path"] == best["__p"]), "left")
+    return joined.withColumns({"__rule": F.col("x.__name"), "__verdict": F.col("x.__kind")}).drop("__h", "__p", "x")
+
+
 def filtered(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """All columns of ``pages`` with host, path, rule and verdict.
 
     Null URLs and those without :// have an empty host and path, fit no rule and are not listed.  Repeated
-    rows are judged each; columns of the input with these names are replaced.  Up to 200 rules.
+    rows are judged each; columns of the input with these names are replaced, and an empty table gives an
+    empty result.  Of equally long rules the last one counts.
     """
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"over {MAX_RULES} rules")
     columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    pages = pages.select(*columns, host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path"))
-    fits, verdict = F.lit(None).cast("string"), F.lit(None).cast("string")
-    for kind, h, p in sorted(rules, key=lambda r: len(r[1] + r[2])):
-        match = ((F.col("__host") == h) | F.col("__host").endswith("." + h)) & F.col("__path").startswith(p)
-        fits, verdict = F.when(match, h + p).otherwise(fits), F.when(match, kind).otherwise(verdict)
-    pages = pages.withColumns({"__rule": fits, "__verdict": verdict, "__canonical": canonical(F.col("__host"), F.col("__path"))})
-    judged = listed_pages(pages, listed, "__canonical")
+    pages = ruled(pages.select(*columns, host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path")), rules)
+    judged = listed_pages(pages.withColumn("__canonical", canonical(F.col("__host"), F.col("__path"))), listed, "__canonical")
     return judged.select(*(F.col(c) for c in columns), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))
 
 

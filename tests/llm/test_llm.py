@@ -157,6 +157,15 @@ def test_urls(spark):
     assert got == {1: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 2: ("a.example.com", "/en/", "example.com/en/", "block"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("b.net", "/fr/", "net/fr/", "block"), 6: ("spam-farm.example.org", "/en/7.html", None, "block"), 7: ("ok.org", "", None, "allow"), 8: ("a.com", "", None, "allow")}
 
 
+def test_many_rules(spark):
+    rows = [(i, u) for i, u in enumerate(["http://a.s7.org/x/1", "http://s7.org/", "http://b.org/x/", None, "bad", "http://t.s7.org/x/y", "http://t.s7.org/x/y"])]
+    frame = spark.createDataFrame(rows, "page_id long, url string")
+    many = (*(("block", f"s{i}.org", "/x/") for i in range(300)), ("allow", "t.s7.org", "/x/"), ("allow", "org", "/"))
+    few = tuple(r for r in many if r[1] in ("s7.org", "t.s7.org", "org"))
+    listed = urls.example_list(spark)
+    assert sorted(map(str, urls.filtered(frame, listed, many).collect())) == sorted(map(str, urls.filtered(frame, listed, few).collect()))
+
+
 def test_html(spark):
     page = "<html><nav>menu</nav><article><h1>A &amp; B</h1><p>one<b> two<br><p>three <!-- no --><script>x</script></article><div class='comments'>c</div><footer>f"
     plain = "<body><div>Site name</div><div>{}</div><div>Contact us</div>"
@@ -254,6 +263,33 @@ def test_alignment_and_leaks(spark):
     assert {r["doc_id"] for r in kept.collect()} == {3, 4}
 
 
+def test_seeds_against_full_alignment(spark):
+    """Recall of the seeded search against Smith-Waterman of every document with every item, by kind of leak."""
+    rng = np.random.default_rng(21)
+    weights = 1 / np.arange(1, 301)
+    prose = lambda n: list(rng.choice(WORDS, n, p=weights / weights.sum()))
+    items = [prose(int(rng.integers(9, 60))) for _ in range(60)]
+    edits = {"copy": lambda w: w, "edit": lambda w: [x if rng.random() > 0.12 else "new" for x in w], "paraphrase": lambda w: [y for x in w if rng.random() > 0.1 for y in ([x] if rng.random() > 0.12 else ["other", "words"])]}
+    docs, kinds = [], []
+    for i in range(240):
+        kind = ["copy", "edit", "paraphrase", "none"][i % 4]
+        leak = edits[kind](items[int(rng.integers(60))]) if kind != "none" else []
+        docs.append(" ".join(prose(50) + leak + prose(50)))
+        kinds.append(kind)
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]) for r in decontaminate.contaminated(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string"), bench).collect()}
+    of = lambda texts: [(w := decontaminate.plain_words(*kernel.text_buffers(pa.array([t])))).hash for t in texts]
+    passages, queries = of(docs), of([" ".join(w) for w in items])
+    true = set()
+    for d, p in enumerate(passages):
+        score, _ = decontaminate.align(queries, [p] * len(queries))
+        true |= {(d, i) for i, q in enumerate(queries) if score[i] >= min(0.5 * 2 * len(q), 2 * decontaminate.RUN)}
+    assert got <= true
+    for kind in edits:
+        want = {x for x in true if kinds[x[0]] == kind}
+        assert len(want) > 30 and len(want & got) >= 0.9 * len(want), kind
+
+
 @settings(max_examples=100, deadline=None)
 @given(st.lists(st.tuples(st.sampled_from(["user", "assistant", "a\nb"]), st.text(alphabet="a</s>[INST]<|turn|>␛01\n", max_size=30)), min_size=1, max_size=5))
 def test_chat_round_trip(turns):
@@ -331,7 +367,44 @@ def test_packing(spark, docs):
             assert s == at
             at += n
     assert {d: sum(n for _, n in v) for d, v in cover.items()} == {d: len(v) for d, v in ids.items()}
-    assert all(sum(n for _, n in v) <= 2048 for v in room.values())
+    sizes = [sum(n for _, n in v) for v in room.values()]
+    assert all(n <= 2048 and (n == 2048 or n & (n - 1) == 0) for n in sizes)
+    hostile = spark.createDataFrame([(None, "a b"), (None, "a b"), (3, None), (3, ""), (4, "x")], "doc_id long, text string")
+    for shard in (1, 2000):
+        made = packing.packed(hostile, shard=shard).collect()
+        assert sorted((r["doc_id"] or -1, r["length"]) for r in made) == [(-1, 3), (-1, 3), (3, 1), (3, 1), (4, 2)] or sum(r["length"] for r in made) == 10
+    assert packing.packed(hostile.limit(0)).count() == 0
+
+
+def test_packing_takes_the_best_unused_document():
+    """Every piece after the seed is the best unused text by BM25 scored plainly, as long as one has a score."""
+    rng = np.random.default_rng(11)
+    weights = 1 / np.arange(1, 401)
+    rests = [rng.choice(400, rng.integers(5, 60), p=weights / weights.sum()).astype(np.uint16) for _ in range(300)]
+    df = np.bincount(np.concatenate([np.unique(r) for r in rests]), minlength=packing.VOCABULARY)
+    idf = np.log1p((len(rests) - df + 0.5) / (df + 0.5))
+    mean = np.mean([len(r) for r in rests])
+
+    def score(query, d):
+        times = collections.Counter(rests[d].tolist())
+        return sum(idf[t] * times[t] * (packing.K1 + 1) / (times[t] + packing.K1 * (1 - packing.B + packing.B * len(rests[d]) / mean)) for t in set(query.tolist()) if t in times)
+
+    used, seeds, checked = set(), 0, 0
+    for _, pieces in packing.pack(rests, idf, 256):
+        seed = pieces[0][0]
+        used.add(seed)
+        for d, _, _ in pieces[1:]:
+            left = [x for x in range(len(rests)) if x not in used]
+            best = max(score(rests[seed], x) for x in left)
+            if best > 0:
+                assert score(rests[seed], d) >= best - 1e-4
+                checked += 1
+            used.add(d)
+        seeds += 1
+    assert used == set(range(300)) and checked > 200
+    for total in (1, 7, 1500, 2047):
+        parts = list(packing.halved([(0, 0, total // 2), (1, 0, total - total // 2)], total))
+        assert all((n := sum(p[2] for p in x)) & (n - 1) == 0 for x in parts) and sum(p[2] for x in parts for p in x) == total
 
 
 def test_packing_neighbours():
@@ -353,3 +426,107 @@ def test_packing_shards_hold_like_texts(spark):
     for p in packing.packed(spark.createDataFrame(rows, "doc_id long, text string"), window=2048, shard=20).collect():
         room[p["sequence_id"]].add(p["doc_id"] % 16)
     assert np.mean([len(x) for x in room.values()]) < 1.3
+
+
+HOSTILE = [(None, "text without an id\nline two", "en", None), (1, None, None, "a"), (2, "", "en", "a"), (3, " \n\t", "en", "b"), (4, "same words here again", "en", "b"), (4, "same words here again", "en", "b"), (5, "long " * 30_000, "de", "c")]
+
+
+def test_hostile_rows(spark):
+    """Nulls, empty, repeated and long rows, clashing columns, and empty tables, for operators whose own tests lack them."""
+    frame = spark.createDataFrame([(*r, len(r[1] or ""), "clash", 9) for r in HOSTILE], "doc_id long, text string, lang string, source string, n_chars long, __gone string, lines_removed int")
+    labels = spark.createDataFrame([(1, 0), (4, 1), (4, 1), (4, 0), (None, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "same words here again"), (1, "same words here again"), (None, "x y z"), (2, None)], "item_id long, text string")
+    made = {
+        "lines": lambda d: lines.remove_boilerplate(d.drop("__gone")),
+        "toxicity": lambda d: toxicity.scored(d, labels),
+        "decontaminated": lambda d: decontaminate.decontaminated(d, bench),
+        "substrings": lambda d: substrings.remove_repeats(d),
+        "neardup": lambda d: neardup.near_duplicates(d),
+    }
+    for name, run in made.items():
+        assert run(frame).count() == (5 if name == "decontaminated" else 7), name
+        assert run(frame.limit(0)).count() == 0, name
+    assert decontaminate.contaminated(frame, bench).count() == 1 and decontaminate.contaminated(frame, bench.limit(0)).count() == 0
+    turns = spark.createDataFrame([(None, None, None, "x"), (None, 0, "user", "y"), (1, 0, "user", "a"), (1, 0, "user", "a"), (2, 1, "assistant", "long " * 30_000)], "conv_id long, turn long, role string, text string")
+    got = chat.digest(chat.formatted(turns)).collect()
+    assert sorted(r["n_turns"] for r in got) == [1, 1, 1, 2] and chat.formatted(turns.limit(0)).count() == 0
+    same = spark.createDataFrame([(1, "http://a.com/x", "old")] * 2, "page_id long, url string, verdict string")
+    assert urls.filtered(same, urls.example_list(spark)).count() == 2 and urls.filtered(same.limit(0), urls.example_list(spark)).count() == 0
+
+
+def test_lines_with_ties_and_repeats(spark):
+    rows = [(d, "tied line of text", f"s{d % 12}") for d in (7, 7, 3, 3, *range(10, 22))] + [(30, "once only here\nonce only here", "s1")]
+    got = collections.Counter((r["doc_id"], r["lines_removed"]) for r in lines.remove_boilerplate(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect())
+    assert got[3, 0] == 2 and got[7, 1] == 2 and got[30, 0] == 1 and all(got[d, 1] == 1 for d in range(10, 22))
+
+
+def test_convolution_adds_to_word_weights():
+    """Both classes have the same words; only their neighbourhood tells, which filters over several words see."""
+    rng = np.random.default_rng(6)
+    texts, labels = [], []
+    for i in range(600):
+        w = rng.integers(10, 60, 30)
+        a, b = rng.choice(np.arange(0, 28, 2), 2, replace=False)
+        w[a], w[a + 1], w[b], w[b + 1] = (1, 2, 3, 4) if i % 2 else (1, 4, 3, 2)
+        texts.append(w.astype(np.int32))
+        labels.append(i % 2)
+    labels = np.array(labels)
+    accuracy = []
+    for widths in (toxicity.WIDTHS, (1,)):
+        old, toxicity.WIDTHS = toxicity.WIDTHS, widths
+        try:
+            model = toxicity.train(texts[:400], labels[:400], epochs=30)
+            accuracy.append(np.mean((toxicity.logits(model, texts[400:]) > 0) == labels[400:]))
+        finally:
+            toxicity.WIDTHS = old
+    assert accuracy[0] > 0.9 > 0.65 > accuracy[1], accuracy
+
+
+@pytest.fixture(scope="module")
+def corpus(spark, tmp_path_factory):
+    """A folder with small tables for the pipeline."""
+    path = tmp_path_factory.mktemp("corpus")
+    rng = np.random.default_rng(13)
+    prose = lambda n: " ".join(f"{a}{b}" for a, b in zip(rng.choice(WORDS, n), rng.integers(0, 50, n), strict=True))
+    item = prose(30)
+    rows = [(i, prose(80), "en", f"s{i % 12}") for i in range(20)]
+    rows += [(100 + i, f"{prose(60)}\nshared boiler plate line\n{prose(20)}", "en", f"s{i}") for i in range(12)]
+    rows += [(200, rows[0][1], "en", "s1"), (201, rows[1][1] + " tail", None, None), (202, f"{prose(40)} {item} {prose(40)}", "en", "s2"), (203, "a b " * 200, "en", "s3"), (204, None, "en", "s4"), (205, "", "en", "s4"), (None, prose(50), "en", "s5"), (206, "too short", "en", "s6")]
+    frame = spark.createDataFrame([(*r, len(r[1]) if r[1] is not None else None) for r in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    frame.write.parquet(f"{path}/documents.parquet")
+    spark.createDataFrame([(1, item), (2, None), (None, "x")], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
+    spark.createDataFrame([(i, 1, 0) for i in range(10)] + [(203, 0, 0), (999, None, None)], "doc_id long, quality int, toxic int").write.parquet(f"{path}/labels.parquet")
+    return str(path)
+
+
+def test_pipeline_stages(spark, corpus):
+    docs = spark.read.parquet(f"{corpus}/documents.parquet")
+    clean = {*range(20), *range(100, 112), 200, 201, 202, None}
+    expect = {"quality_rules": clean, "line_dedup": clean, "near_dedup": clean - {200, 201}, "decontamination": clean - {200, 201, 202}}
+    for name, stage in corpus_pipeline.STAGES:
+        if name == "packing":
+            continue
+        docs = stage(spark, docs, corpus)
+        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+        rows = docs.collect()
+        assert {r["doc_id"] for r in rows} == expect[name] and len(rows) == len(expect[name]), name
+        if name == "line_dedup":
+            assert sum("shared boiler" in r["text"] for r in rows) == 1 and all(r["n_chars"] == len(r["text"]) for r in rows)
+        docs = spark.createDataFrame(rows, docs.schema)
+    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, corpus).collect()
+    assert {r["doc_id"] for r in pieces} == expect["decontamination"]
+    total = {r["doc_id"]: r["doc_tokens"] for r in pieces}
+    assert {d: sum(r["length"] for r in pieces if r["doc_id"] == d) for d in total} == total
+    assert sorted(map(str, corpus_pipeline.run(spark, corpus).select("doc_id", "start", "length", "ids_crc32").collect()))
+
+
+def test_pipeline_stages_on_hostile_rows(spark, corpus):
+    frame = spark.createDataFrame([(*r, len(r[1] or "")) for r in HOSTILE], "doc_id long, text string, lang string, source string, n_chars long")
+    for name, stage in corpus_pipeline.STAGES:
+        for rows in (frame, frame.limit(0)):
+            made = stage(spark, rows, corpus)
+            assert made.count() >= 0
+            if name != "packing":
+                assert made.columns == frame.columns
+    kept = corpus_pipeline.near_dedup(spark, frame, corpus)
+    assert kept.where("doc_id = 4").count() == 2 and kept.where("doc_id is null").count() == 1
