@@ -6,8 +6,8 @@ minimiser occurs in two documents can hold a repeated window; each different one
 as a packed string with its first document, to the bucket of its minimiser, where sorting the windows
 finds the first document of each.  The verdicts return to all occurrences by the super-k-mer's hash.
 
-A minimiser shared by more than ``hot`` occurrences is split: its windows travel singly, dealt by the
-hash of the whole window.  Windows are told apart by 128 bits of hash, super-k-mers of one minimiser by 64
+A minimiser of more than ``hot`` different super-k-mers is split: its windows travel singly, dealt by the
+hash of the whole window; copies of one super-k-mer are no burden, as they travel once.  Windows are told apart by 128 bits of hash, super-k-mers of one minimiser by 64
 bits; neither is linear in words or bytes.  A text of any length is one row, and one numpy pass.
 """
 
@@ -127,18 +127,20 @@ def _sorted_windows(k: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 2000) -> DataFrame:
+def repeated_spans(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 10_000) -> DataFrame:
     """(doc_id, spans): word spans (start, length) of windows that also start in a document with a smaller doc_id."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
     every = written(docs.mapInArrow(_occurrences(k, m), "doc_id bigint, start int, n int, least bigint, whole bigint"), "super-k-mers")
-    shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("times"), (F.min("whole") == F.max("whole")).alias("alone")).where("lo < hi").select("least", "alone", (F.col("times") > hot).alias("hot"))
+    shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("whole") == F.max("whole")).alias("alone")).where("lo < hi").select("least", "alone")
     # a written table gets an exchange of its own in the join, so that the other side of a hot minimiser can be split
     shared = written(shared, "shared-minimisers")
     some = written(every.join(shared, "least"), "shared")
-    kinds = some.groupBy("least", "whole", "alone", "hot").agg(F.min(F.struct("doc_id", "start", "n")).alias("one"), F.max("doc_id").alias("hi")).select("least", "whole", "alone", "hot", "one.*", (F.col("hi") > F.col("one.doc_id")).alias("more"))
+    kinds = written(some.groupBy("least", "whole", "alone").agg(F.min(F.struct("doc_id", "start", "n")).alias("one"), F.max("doc_id").alias("hi")).select("least", "whole", "alone", "one.*", (F.col("hi") > F.col("one.doc_id")).alias("more")), "kinds")
+    split = written(kinds.where("not alone").groupBy("least").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("least", F.lit(True).alias("hot")), "hot-minimisers")
     # where a minimiser has one super-k-mer only, all its occurrences are the same and nothing need travel
     copies = kinds.where("alone").select("least", "whole", F.lit(0).alias("at"), F.col("n").alias("n_dup"), F.col("doc_id").alias("first_doc"))
-    go = kinds.where("not alone").groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least", "whole", "hot", "more")).alias("go"))
+    travelling = kinds.where("not alone").join(split, "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
+    go = travelling.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least", "whole", "hot", "more")).alias("go"))
     packed = docs.join(go, "doc_id").select("doc_id", "text", "go").mapInArrow(_packed(k), "route bigint, packed string, least bigint, whole bigint, at int, first_doc bigint, more boolean")
     runs = grouped_stream(packed, ["route"], _sorted_windows(k), "least bigint, whole bigint, at int, n_dup int, first_doc bigint")
     verdicts = written(runs.unionByName(copies), "verdicts")
@@ -175,7 +177,7 @@ def _rows(out: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.int64(), pa.int64(), pa.string()), strict=True)], ["doc_id", "n_words", "n_removed", "kept"])
 
 
-def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 2000) -> DataFrame:
+def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 10_000) -> DataFrame:
     """Removes each word covered by a ``k``-word window that also starts in a document with a smaller doc_id.
 
     Returns (doc_id, n_words, n_removed, kept): kept words joined by one space.  Null texts are empty;

@@ -51,7 +51,7 @@ def brute_repeats(rows, k=50):
     return collections.Counter(out)
 
 
-@pytest.mark.parametrize("hot", [2000, 1])
+@pytest.mark.parametrize("hot", [10_000, 1])
 def test_substrings(docs, hot):
     got = collections.Counter(tuple(r) for r in substrings.digest(substrings.remove_repeats(docs, hot=hot)).collect())
     assert got == brute_repeats([(r["doc_id"], r["text"]) for r in docs.collect()])
