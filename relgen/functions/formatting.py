@@ -33,20 +33,18 @@ def sql_literal(value: Column, kind: T.DataType, target: str = "", compatible: b
 
 
 def shortest(value: Column) -> Column:
-    """A double's shortest decimal text, with an exponent below 1e-4 and from 1e6 on."""
-    text = value.cast("double").cast("string")
-    part = lambda i: F.regexp_extract(text, "^-?([0-9]+)[.]([0-9]+)(?:E(-?[0-9]+))?$", i)
-    digits = F.concat(part(1), part(2))
-    plain = F.regexp_replace(digits, "^0+|0+$", "")
-    lead = F.length(F.regexp_extract(digits, "^0*", 0))
-    power = F.length(part(1)) + F.coalesce(F.nullif(part(3), F.lit("")).cast("int"), F.lit(0)) - lead - 1
-    more = lambda from_: F.when(F.length(plain) >= from_, F.concat(F.lit("."), F.substr(plain, from_))).otherwise("")
-    exponent = F.concat(F.substring(plain, 1, 1), more(F.lit(2)), F.lit("e"), F.when(power < 0, "-").otherwise("+"), F.when(F.abs(power) < 10, "0").otherwise(""), F.abs(power).cast("string"))
-    whole = F.concat(F.rpad(F.substr(plain, F.lit(1), power + 1), 6, "0").substr(F.lit(1), power + 1), more(power + 2))
-    small = F.concat(F.lit("0."), F.repeat(F.lit("0"), -power - 1), plain)
-    made = F.when(plain == "", "0").when((power < -4) | (power >= 6), exponent).when(power >= 0, whole).otherwise(small)
+    """A float's or double's shortest decimal text, with an exponent below 1e-4 and from 1e6 on.
+
+    Spark writes an exponent below 1e-3 and from 1e7 on; only the texts between the two rules are moved.
+    """
+    text, size = value.cast("string"), F.abs(value)
+    plain = F.regexp_replace(text, "[.]0$", "")
+    small = F.regexp_replace(F.regexp_replace(text, "^(-?)([0-9])[.]([0-9]+)E-4$", "$10.000$2$3"), "0$", "")
+    millions = F.concat(F.regexp_replace(F.regexp_replace(text, "^(-?[0-9])([0-9]{6})[.]([0-9]+)$", "$1.$2$3"), "[.]?0+$", ""), F.lit("e+06"))
+    exponent = F.regexp_replace(F.regexp_replace(text, "([.]0)?E", "E"), "E(-?)([0-9])$", "E$10$2")
+    exponent = F.regexp_replace(F.replace(exponent, F.lit("E-"), F.lit("e-")), "E", "e+")
     special = F.when(F.isnan(value), "NaN").when(value == F.lit(float("inf")), "+Inf").when(value == F.lit(float("-inf")), "-Inf")
-    return F.coalesce(special, F.concat(F.when(F.startswith(text, F.lit("-")), "-").otherwise(""), made))
+    return special.when((size == 0) | ((size >= 1e-3) & (size < 1e6)), plain).when((size >= 1e-4) & (size < 1e-3), small).when((size >= 1e6) & (size < 1e7), millions).otherwise(exponent)
 
 
 def csv_field(value: Column, kind: T.DataType) -> Column:
