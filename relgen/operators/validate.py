@@ -127,7 +127,8 @@ class Keyed:
 
 def _whole(df: DataFrame, names: list[str]) -> DataFrame:
     """``df`` with nulls for the named columns that it lacks."""
-    return df.withColumns({n: F.lit(None).cast("string") for n in names if n not in df.columns})
+    lacking = [n for n in names if n not in df.columns]
+    return df.withColumns({n: F.lit(None).cast("string") for n in lacking}) if lacking else df
 
 
 def keyed_checks(table: Table, tables: dict[str, DataFrame], model: Model, strict_compat: bool) -> list[Keyed]:
