@@ -1,8 +1,9 @@
 """URL filters: host and path rules, then a blocked Bloom filter of listed URLs with an exact check.
 
 Listed canonical URLs are folded into 512-bit blocks of eight words, one bit in each; ``bit_or`` merges a
-block's URLs by aggregation.  A page's canonical URL is tested against its block; only possible hits meet
-the list itself in a hash join, which removes false positives.
+block's URLs by aggregation.  A page's canonical URL and that of its site's root, which when listed stands for
+the whole site, are tested against their blocks; only possible hits meet the list itself in a hash join, which
+removes false positives.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from relgen.llm.tables import written
+
 #: (verdict, host, path); the longest fitting rule wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
 #: More rules than these are joined by host instead of being one expression.
@@ -18,8 +21,9 @@ BITS_PER_URL = 16
 #: Blocks up to this number (64 bytes each) go to every executor; more are joined by shuffle.
 MAX_BROADCAST_BLOCKS = 1 << 16
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Sites of the example list; each with its pages /language/number below ``LISTED_PAGES`` only, as the query's SQL has it.
-LISTED_SITES = ("cheap-pills.example.com", "free-bets.example.com", "adult-x.example.net", "spam-farm.example.org", "ads-track.example.org")
+#: The example list: whole sites by their root URL, and single pages /language/number below ``LISTED_PAGES`` of others.
+LISTED_ROOTS = ("cheap-pills.example.com", "free-bets.example.com", "adult-x.example.net", "spam-farm.example.org", "ads-track.example.org")
+LISTED_SITES = ("spam-farm.example.com", "ads-track.example.com")
 LISTED_LANGUAGES = ("de", "en", "es", "fr")
 LISTED_PAGES = 1000
 
@@ -40,7 +44,8 @@ def canonical(host: Column, path: Column) -> Column:
 def example_list(spark: SparkSession) -> DataFrame:
     sites = F.explode(F.array(*map(F.lit, LISTED_SITES)))
     languages = F.explode(F.array(*map(F.lit, LISTED_LANGUAGES)))
-    return spark.range(LISTED_PAGES).select("id", sites.alias("site")).select("id", "site", languages.alias("lang")).select(F.concat_ws("/", "site", "lang", F.col("id").cast("string")).alias("url"))
+    pages = spark.range(LISTED_PAGES).select("id", sites.alias("site")).select("id", "site", languages.alias("lang")).select(F.concat_ws("/", "site", "lang", F.col("id").cast("string")).alias("url"))
+    return pages.unionByName(spark.range(1).select(F.explode(F.array(*map(F.lit, LISTED_ROOTS))).alias("url")))
 
 
 def _block(url: str, blocks: int) -> Column:
@@ -58,21 +63,28 @@ def bloom(listed: DataFrame, blocks: int) -> DataFrame:
     return rows.groupBy("block").agg(*(F.expr(f"bit_or(m{i})").alias(f"w{i}") for i in range(8)))
 
 
-def listed_pages(pages: DataFrame, listed: DataFrame, url: str) -> DataFrame:
-    """``pages`` with a boolean __listed: whether the canonical URL in column ``url`` is in ``listed.url``."""
-    listed = listed.where("url is not null").select("url").distinct()
+def listed_pages(pages: DataFrame, listed: DataFrame, urls: dict[str, str]) -> DataFrame:
+    """``pages`` with a boolean for each of ``urls`` (column of canonical URLs to name of the boolean): whether ``listed.url`` has it.
+
+    The list is written, so that its side of the join has an exchange of its own and a hot site can be split.
+    """
+    listed = written(listed.where("url <> ''").select("url").distinct(), "listed")
     blocks = max(1, -(-listed.count() * BITS_PER_URL // 512))
-    table = bloom(listed, blocks)
+    table = written(bloom(listed, blocks), "bloom")
     table = F.broadcast(table) if blocks <= MAX_BROADCAST_BLOCKS else table
-    pages = pages.withColumns({"__block": _block(url, blocks), **{f"__m{i}": m for i, m in enumerate(_masks(url))}})
-    possible = F.lit(True)
-    for i in range(8):
-        possible = possible & (F.col(f"w{i}").bitwiseAND(F.col(f"__m{i}")) == F.col(f"__m{i}"))
-    probed = pages.join(table, pages["__block"] == table["block"], "left").withColumn("__maybe", F.coalesce(possible, F.lit(False)))
-    # the others get keys that no URL has, spread over all partitions
-    key = F.when(F.col("__maybe"), F.col(url)).otherwise(F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string")))
     names = listed.select(F.col("url").alias("__url"))
-    return probed.withColumn("__key", key).join(names, F.col("__key") == names["__url"], "left").withColumn("__listed", F.col("__url").isNotNull())
+    for url, flag in urls.items():
+        columns = pages.columns
+        pages = pages.withColumns({"__block": _block(url, blocks), **{f"__m{i}": m for i, m in enumerate(_masks(url))}})
+        possible = F.lit(True)
+        for i in range(8):
+            possible = possible & (F.col(f"w{i}").bitwiseAND(F.col(f"__m{i}")) == F.col(f"__m{i}"))
+        probed = pages.join(table, pages["__block"] == table["block"], "left").withColumn("__maybe", F.coalesce(possible, F.lit(False)))
+        # the others get keys that no URL has, spread over all partitions
+        key = F.when(F.col("__maybe"), F.col(url)).otherwise(F.concat(F.lit("\n"), F.monotonically_increasing_id().cast("string")))
+        probed = probed.select(*columns, key.alias("__key"))
+        pages = probed.join(names, F.col("__key") == names["__url"], "left").select(*columns, F.col("__url").isNotNull().alias(flag))
+    return pages
 
 
 def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFrame:
@@ -97,14 +109,16 @@ def ruled(pages: DataFrame, rules: tuple[tuple[str, str, str], ...]) -> DataFram
 def filtered(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, str], ...] = RULES) -> DataFrame:
     """All columns of ``pages`` with host, path, rule and verdict.
 
-    Null URLs and those without :// have an empty host and path, fit no rule and are not listed.  Repeated
+    A page is listed if its canonical URL or the root of its site is.  Null URLs and those without :// have
+    an empty host and path, fit no rule and are not listed.  Repeated
     rows are judged each; columns of the input with these names are replaced, and an empty table gives an
     empty result.  Of equally long rules the last one counts.
     """
     columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
     pages = ruled(pages.select(*columns, host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path")), rules)
-    judged = listed_pages(pages.withColumn("__canonical", canonical(F.col("__host"), F.col("__path"))), listed, "__canonical")
-    return judged.select(*(F.col(c) for c in columns), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.when(F.col("__listed"), "block").otherwise("allow")).alias("verdict"))
+    pages = pages.withColumns({"__canonical": canonical(F.col("__host"), F.col("__path")), "__root": canonical(F.col("__host"), F.lit(""))})
+    judged = listed_pages(pages, listed, {"__canonical": "__page_listed", "__root": "__site_listed"})
+    return judged.select(*(F.col(c) for c in columns), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.when(F.col("__page_listed") | F.col("__site_listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def _oracle() -> str:
@@ -113,12 +127,13 @@ def _oracle() -> str:
     names, kinds = when.format(*(h + p for _, h, p in cases)), when.format(*(k for k, _, _ in cases))
     return f"""
 WITH l AS (SELECT DISTINCT site || '/' || lang || '/' || id AS url
-  FROM (SELECT unnest({list(LISTED_SITES)}) AS site), (SELECT unnest({list(LISTED_LANGUAGES)}) AS lang), range({LISTED_PAGES}) r(id)),
+  FROM (SELECT unnest({list(LISTED_SITES)}) AS site), (SELECT unnest({list(LISTED_LANGUAGES)}) AS lang), range({LISTED_PAGES}) r(id) UNION SELECT unnest({list(LISTED_ROOTS)})),
 p AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), '{_UPPER}', '{_LOWER}') AS host,
   regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
 SELECT page_id, host, path, CASE {names} END AS rule,
-  coalesce(CASE {kinds} END, CASE WHEN l.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
+  coalesce(CASE {kinds} END, CASE WHEN l.url IS NOT NULL OR r.url IS NOT NULL THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN l ON l.url = regexp_replace(host, '^(www|m)\\.', '') || regexp_replace(path, '(/|\\.html)$', '')
+LEFT JOIN l r ON r.url = regexp_replace(host, '^(www|m)\\.', '')
 """
 
 

@@ -152,9 +152,13 @@ def test_line_dedup_stage_takes_short_lines(spark):
 
 
 def test_urls(spark):
-    rows = [(1, "http://WWW.example.com/en/1"), (2, "http://a.example.com/en/"), (3, "x"), (4, None), (5, "http://b.net/fr/?a"), (6, "http://spam-farm.example.org/en/7.html#x"), (7, "http://ok.org"), (8, "http://a.com")]
+    rows = [(1, "http://WWW.example.com/en/1"), (2, "http://a.example.com/en/"), (3, "x"), (4, None), (5, "http://b.net/fr/?a"), (6, "http://spam-farm.example.org/en/7.html#x"), (7, "http://ok.org"), (8, "http://a.com"), (9, "http://www.spam-farm.example.org/xx/123456"), (10, "http://spam-farm.example.org.uk/en/7")]
     got = {r["page_id"]: (r["host"], r["path"], r["rule"], r["verdict"]) for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), urls.example_list(spark)).collect()}
-    assert got == {1: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 2: ("a.example.com", "/en/", "example.com/en/", "block"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("b.net", "/fr/", "net/fr/", "block"), 6: ("spam-farm.example.org", "/en/7.html", None, "block"), 7: ("ok.org", "", None, "allow"), 8: ("a.com", "", None, "allow")}
+    assert got == {1: ("www.example.com", "/en/1", "www.example.com/en/", "allow"), 2: ("a.example.com", "/en/", "example.com/en/", "block"), 3: ("", "", None, "allow"), 4: ("", "", None, "allow"), 5: ("b.net", "/fr/", "net/fr/", "block"), 6: ("spam-farm.example.org", "/en/7.html", None, "block"), 7: ("ok.org", "", None, "allow"), 8: ("a.com", "", None, "allow"), 9: ("www.spam-farm.example.org", "/xx/123456", None, "block"), 10: ("spam-farm.example.org.uk", "/en/7", None, "allow")}
+    single = spark.createDataFrame([("ok.org/a/1",), ("ok.org/a/1",), (None,), ("",)], "url string")
+    rows = [(1, "http://www.ok.org/a/1.html"), (2, "http://ok.org/a/2"), (3, "http://ok.org/"), (4, None)]
+    got = {r["page_id"]: r["verdict"] for r in urls.filtered(spark.createDataFrame(rows, "page_id long, url string"), single).collect()}
+    assert got == {1: "block", 2: "allow", 3: "allow", 4: "allow"}
 
 
 def test_many_rules(spark):
