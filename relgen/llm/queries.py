@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relgen.llm import chat, clusters, decontaminate, html, lines, neardup, packing, quality, substrings, toxicity, urls
+from relgen.llm import chat, clusters, decontaminate, html, lines, nearest, neardup, packing, quality, substrings, toxicity, urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,8 +57,12 @@ def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest.searched(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_html_extraction, op5_decontamination, op6_chat_formatting, op7_toxicity, op8_quality_rules, op9_packing, op10_minhash_near_dedup, op12_centroid_clustering)
+    own = (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_html_extraction, op5_decontamination, op6_chat_formatting, op7_toxicity, op8_quality_rules, op9_packing, op10_minhash_near_dedup, op12_centroid_clustering, op13_nearest_neighbours)
     return {f.__name__: f for f in own}
 
 
