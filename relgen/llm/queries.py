@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from relgen.llm import chat, clusters, decontaminate, html, lines, nearest, neardup, packing, quality, substrings, toxicity, urls
+from relgen.llm import chat, clusters, decontaminate, html, lines, nearest, neardup, packing, quality, substrings, toxicity, trie, urls
 
 
 def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,6 +53,10 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op12_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clusters.clustered(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
@@ -62,9 +66,9 @@ def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_html_extraction, op5_decontamination, op6_chat_formatting, op7_toxicity, op8_quality_rules, op9_packing, op10_minhash_near_dedup, op12_centroid_clustering, op13_nearest_neighbours)
+    own = (op1_substring_dedup, op2_line_dedup, op3_url_filter, op4_html_extraction, op5_decontamination, op6_chat_formatting, op7_toxicity, op8_quality_rules, op9_packing, op10_minhash_near_dedup, op11_prefix_trie, op12_centroid_clustering, op13_nearest_neighbours)
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": substrings.ORACLE_SQL, "op10_minhash_near_dedup": neardup.ORACLE_SQL, "op12_centroid_clustering": clusters.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
+    return {"op1_substring_dedup": substrings.ORACLE_SQL, "op10_minhash_near_dedup": neardup.ORACLE_SQL, "op11_prefix_trie": trie.ORACLE_SQL, "op12_centroid_clustering": clusters.ORACLE_SQL, "op2_line_dedup": lines.ORACLE_SQL, "op3_url_filter": urls.ORACLE_SQL, "op6_chat_formatting": chat.ORACLE_SQL, "op8_quality_rules": quality.ORACLE_SQL}
