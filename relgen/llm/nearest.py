@@ -138,8 +138,8 @@ def fitted(x: np.ndarray, rows: int, dims: int, k: int, recall: float, seed: int
     return index
 
 
-def coded(vectors: DataFrame, dims: int, most: int) -> DataFrame:
-    """(vec_id, k1, k2, vec): the vectors that take part, as bytes, and their hash; of each batch only the ``most`` least ids of a vector."""
+def coded(vectors: DataFrame, dims: int, most: int | None = None) -> DataFrame:
+    """(vec_id, k1, k2, vec): the vectors that take part, as bytes, and their hash; of each batch the ``most`` least ids of a vector, or all."""
     whole = "double" if vectors.schema["embedding"].dataType.simpleString() in ("array<double>", "array<bigint>") else "float"
     kind = np.float64 if whole == "double" else np.float32
 
@@ -153,7 +153,7 @@ def coded(vectors: DataFrame, dims: int, most: int) -> DataFrame:
             data, size = values.view(np.uint8).ravel(), dims * values.itemsize
             start = np.arange(len(rows)) * size
             h = [bytes_hash(data, start, start + size, salt).view(np.int64) if len(rows) else np.zeros(0, np.int64) for salt in (31, 32)]
-            kept = least(h[0], h[1], ids, most)
+            kept = least(h[0], h[1], ids, most or len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids[kept]), pa.array(h[0][kept]), pa.array(h[1][kept]), pa.array([values[i].tobytes() for i in kept], pa.binary())], ["vec_id", "k1", "k2", "vec"])
 
     return vectors.select(F.col("vec_id").cast("bigint"), "embedding").mapInArrow(run, "vec_id bigint, k1 bigint, k2 bigint, vec binary")
@@ -364,7 +364,7 @@ def searched(vectors: DataFrame, every: int = 20, k: int = 20, dims: int = 64, r
     index = fitted(_numbers(picked.combine_chunks(), dims), total, dims, k, recall)
     shared = spark.sparkContext.broadcast(index)
     cells = rows.mapInArrow(_dealt(shared), _ROW)
-    queries = rows.where(F.col("vec_id") % every == 0)
+    queries = coded(vectors.where(F.col("vec_id") % every == 0), dims)
     different = written(queries.groupBy("k1", "k2").agg(F.first("vec").alias("vec")), "queries")
     none = F.lit(float("-inf"))
 
