@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 
 from relgen import jobs, library, star
 from relgen.functions.formatting import fingerprint
-from relgen.functions.generators import DOMAINS, FIRST, LAST, PLACES
+from relgen.functions.generators import DOMAINS, FIRST, LAST, PLACES, Registry
+from relgen.functions.rng import below
 from relgen.functions.semantics import column_semantic, tokens
 from relgen.operators import sinks
-from relgen.operators.generate import Generator
+from relgen.operators.generate import Generator, backfilled, extended
 from relgen.operators.profile import profile
-from relgen.operators.validate import duplicates, enum, length, not_null, orphans, summary
+from relgen.operators.validate import duplicates, enum, length, not_null, orphans, reference_counts, report, summary
 from relgen.plans import graph
 from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
@@ -31,7 +32,8 @@ CREATE TABLE likes (user_id BIGINT REFERENCES users(id), item_id BIGINT REFERENC
 CREATE TABLE staff (id BIGINT PRIMARY KEY, boss_id BIGINT REFERENCES staff(id), created_at TIMESTAMP);
 CREATE TABLE people (id BIGINT PRIMARY KEY, first_name TEXT, last_name TEXT, city TEXT, state TEXT, zip TEXT, email TEXT, phone TEXT, created_at TIMESTAMP NOT NULL, updated_at TIMESTAMP, deleted_at TIMESTAMP, ip INET, mac MACADDR, token UUID);
 """
-ROWS = {"users": 5000, "items": 700, "orders": 20000, "likes": 30000, "staff": 3000, "people": 4000}
+#: The given tables that the generated ones are as long as.
+LIKE = {"users": "customer", "items": "part", "orders": "orders", "likes": "lineitem", "staff": "supplier", "people": "events"}
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,19 +44,20 @@ def _cat(spark: SparkSession) -> dict[str, DataFrame]:
     return catalog(spark, star.model())
 
 
+def _shop(spark: SparkSession, sf_dir: str) -> Generator:
+    """A generator of tables that are as long as given ones; links are at most half of all pairs."""
+    rows = {t: _t(spark, sf_dir, given).count() for t, given in LIKE.items()}
+    rows["likes"] = min(rows["likes"], rows["users"] * rows["items"] // 2)
+    return Generator(parse(SHOP), rows)
+
+
 def _made(table: str) -> Query:
-    return lambda spark, _: Generator(parse(SHOP), ROWS).table(spark, table)
+    return lambda spark, sf_dir: _shop(spark, sf_dir).table(spark, table)
 
 
 def fk_integrity_star(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orphans of every foreign key of the star schema, zero counts too."""
-    model, tables, out = star.model(), star.tables(spark, sf_dir), None
-    for t in model.tables:
-        for fk in t.foreign_keys:
-            bad = orphans(tables[t.name], tables[fk.ref_table], fk.columns, model.ref_columns(fk))
-            row = bad.agg(F.count("*").alias("orphans")).select(F.lit(t.name).alias("child"), F.lit(fk.columns[0]).alias("fk"), "orphans")
-            out = row if out is None else out.unionByName(row)
-    return out
+    return reference_counts(star.tables(spark, sf_dir), star.model())
 
 
 def fk_composite_check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -117,6 +120,67 @@ def _columns(*names: str) -> Query:
     return lambda spark, sf_dir: _made("people")(spark, sf_dir).select("row_index", *names)
 
 
+EXTENDED = """
+CREATE TYPE segment AS ENUM ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY');
+CREATE TABLE nation (n_nationkey INT PRIMARY KEY);
+CREATE TABLE customer (c_custkey BIGINT PRIMARY KEY, c_nationkey INT NOT NULL REFERENCES nation(n_nationkey), c_mktsegment segment, c_acctbal NUMERIC(7,2), host INET UNIQUE, opens TIME, rate REAL UNIQUE, tag JSONB UNIQUE, desk TEXT UNIQUE, UNIQUE (c_mktsegment, c_acctbal), UNIQUE (c_nationkey, c_mktsegment, opens));
+"""
+
+
+def unique_extended(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``customer`` made twice as large: how many of the new rows have a key of their own, of the declared kind, that no given row has.
+
+    ``desk`` has a registered generator with few values more than there are rows.
+    """
+    given = _t(spark, sf_dir, "customer")
+    n = given.count()
+    # given hosts, times, rates and tags follow from the key, so that new ones can meet them
+    nulls = {"host": F.concat_ws(".", F.lit("10"), *(F.floor(F.col("c_custkey") / 256**i).cast("bigint") % 256 for i in (2, 1, 0))), "opens": F.date_format(F.timestamp_seconds(F.col("c_custkey") % 86400), "HH:mm:ss"), "rate": F.col("c_custkey").cast("float"), "tag": F.concat(F.lit('{"id":'), "c_custkey", F.lit("}")), "desk": F.concat(F.lit("D"), F.col("c_custkey") % F.lit(4 * n))}
+    registry = Registry()
+    registry.register("text", lambda c: F.concat(F.lit("D"), below(c.u(), 4 * n).cast("string")))
+    model = parse(EXTENDED)
+    new = extended({"customer": given.withColumns(nulls), "nation": _t(spark, sf_dir, "nation")}, model, "customer", n, registry=registry)
+    both = new.select("*", F.lit(True).alias("new")).drop("row_index").unionByName(given.withColumns(nulls).select(*(c.name for c in model.table("customer").columns), F.lit(False).alias("new")))
+    ip = "^([0-9]{1,3}[.]){3}[0-9]{1,3}$"
+    kinds = {"c_custkey": "c_custkey > 0", "host": f"host rlike '{ip}'", "rate": "rate >= 0 and rate < 10000", "tag": "tag rlike '^[{].*[}]$'", "desk": "desk rlike '^D[0-9]+$'", "c_mktsegment,c_acctbal": "c_mktsegment in ('AUTOMOBILE', 'BUILDING', 'FURNITURE', 'HOUSEHOLD', 'MACHINERY')", "c_nationkey,c_mktsegment,opens": "c_nationkey between 0 and 24 and opens rlike '^[0-2][0-9]:[0-5][0-9]:[0-5][0-9]$'"}
+    out = None
+    for key, kind in kinds.items():
+        columns = key.split(",")
+        kept = both.groupBy(*columns).agg(F.sum(F.col("new").cast("int")).alias("n"), F.max((~F.col("new")).cast("int")).alias("old"), F.bool_and(F.expr(kind)).alias("good"))
+        row = kept.where("n > 0").agg(F.sum("n").alias("n_rows"), F.count(F.when(F.col("n") == 1, True)).alias("n_unique"), F.sum("old").cast("bigint").alias("n_given"), F.count(F.when(F.col("good"), True)).alias("n_of_kind")).select(F.lit(key).alias("key"), "*")
+        out = row if out is None else out.unionByName(row)
+    return out
+
+
+def keys_from_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shipments, two for each order on average, whose keys are drawn from the given orders."""
+    model = parse("CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY); CREATE TABLE shipment (id BIGINT PRIMARY KEY, order_key BIGINT NOT NULL REFERENCES orders(o_orderkey), back_order BIGINT REFERENCES orders(o_orderkey));")
+    orders = _t(spark, sf_dir, "orders").select("o_orderkey")
+    none = spark.createDataFrame([], "id bigint, order_key bigint, back_order bigint")
+    return extended({"orders": orders, "shipment": none}, model, "shipment", 2 * orders.count()).select("id", "order_key", "back_order")
+
+
+def backfilled_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events without a user get one of the given customers."""
+    rows = _t(spark, sf_dir, "events").select(F.col("event_id").alias("row_index"), "event_id", F.when(F.col("event_id") % 7 != 0, F.col("user_id")).alias("user_id"))
+    return backfilled(rows, star.model().table("events"), "user_id", _t(spark, sf_dir, "customer"), "c_custkey").select("event_id", "user_id")
+
+
+def backfilled_earlier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders that follow an earlier order: where none is named, any of the earlier ones; the first follows none."""
+    orders = _t(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("row_index"), "o_orderkey", F.when(F.col("o_orderkey") % 5 == 0, F.col("o_orderkey")).alias("follows"))
+    table = parse("CREATE TABLE orders (o_orderkey BIGINT PRIMARY KEY, follows BIGINT REFERENCES orders(o_orderkey));").tables[0]
+    return backfilled(orders, table, "follows", orders, "o_orderkey").select("o_orderkey", "follows")
+
+
+def violations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All violations of the star schema in the order of a report, with their place."""
+    tables = star.tables(spark, sf_dir)
+    key = {"lineitem": F.col("l_orderkey") * 100 + F.col("l_linenumber")}
+    rows = {n: d.withColumn("row_index", key.get(n, F.col(d.columns[0]))) for n, d in tables.items()}
+    return report(rows, star.model()).select("table", "rule", "column", "row_index", "value", "message")
+
+
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planner's order of the star schema's tables."""
     model = star.model()
@@ -125,8 +189,8 @@ def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def generated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every check of the generated tables: no row violates any."""
-    model = parse(SHOP)
-    return summary({t.name: Generator(model, ROWS).table(spark, t.name) for t in model.tables}, model)
+    g = _shop(spark, sf_dir)
+    return summary({t.name: g.table(spark, t.name) for t in g.model.tables}, g.model)
 
 
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,6 +219,11 @@ def queries() -> dict[str, Query]:
     return {
         "fk_orphans_documents_labels": lambda s, d: orphans(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels"), ["doc_id"], ["doc_id"]),
         "fk_integrity_star": fk_integrity_star,
+        "unique_extended": unique_extended,
+        "keys_from_orders": keys_from_orders,
+        "backfilled_events": backfilled_events,
+        "backfilled_earlier": backfilled_earlier,
+        "violations_report": violations_report,
         "fk_composite_check": fk_composite_check,
         "pk_duplicates_lineitem": pk_duplicates_lineitem,
         "unique_part_name": unique_part_name,
@@ -250,16 +319,21 @@ def _u(table: str, column: str, k: str = "") -> str:
     return f"('0x' || substr(md5('42:{table}:{column}:' || i{k}), 1, 15))::BIGINT"
 
 
-def _perm(domain: int, salt: str, row: str = "i") -> str:
-    """The same coefficients as the generator's."""
+def _n(table: str) -> str:
+    """How many rows a generated table has."""
+    if table == "likes":
+        return f"least((SELECT count(*) FROM {LIKE[table]}), {_n('users')} * {_n('items')} // 2)"
+    return f"(SELECT count(*) FROM {LIKE[table]})"
+
+
+def _perm(domain: str, salt: str, row: str = "i") -> str:
+    """The same coefficients as the generator's, for a domain that is counted."""
     import hashlib
-    import math
 
     x = int(hashlib.md5(f"42:{salt}".encode()).hexdigest()[:12], 16)
-    a = x % max(1, min(domain, 1 << 30)) or 1
-    while math.gcd(a, domain) != 1:
-        a += 1
-    return f"(({row}::BIGINT * {a} + {(x >> 7) % domain}) % {domain})"
+    start = f"greatest({x} % greatest(1, least({domain}, {1 << 30})), 1)"
+    a = f"(SELECT min(s.a) FROM (SELECT {start} + unnest(range(1000)) AS a) s WHERE gcd(s.a, {domain}) = 1)"
+    return f"(({row}::BIGINT * {a} + {x >> 7} % {domain}) % {domain})"
 
 
 def oracle_sql() -> dict[str, str]:
@@ -284,6 +358,27 @@ def oracle_sql() -> dict[str, str]:
             counts.setdefault((t.name, "FK"), []).append(orphan(t.name, f.columns[0], f.ref_table, m.ref_columns(f)[0]))
     violation = " UNION ALL ".join(f"SELECT '{t}' AS \"table\", '{r}' AS rule, CAST({' + '.join(f'({q})' for q in qs)} AS BIGINT) AS violations" for (t, r), qs in counts.items())
 
+    found = []
+    for t in m.tables:
+        r = "l_orderkey * 100 + l_linenumber" if t.name == "lineitem" else t.columns[0].name
+        row = lambda rule, column, value, message, source: found.append(f"SELECT '{t.name}' AS \"table\", '{rule}' AS rule, {column} AS \"column\", CAST(r AS BIGINT) AS row_index, CAST({value} AS VARCHAR) AS value, {message} AS message FROM {source}")  # noqa: B023, E731
+        rows = f"(SELECT *, {r} AS r FROM {t.name})"
+        for c in t.columns:
+            if not c.nullable:
+                row("NOT_NULL", f"'{c.name}'", "NULL", f"'column \"{c.name}\" is NOT NULL but row ' || r || ' has nil value'", f"{rows} WHERE {c.name} IS NULL")
+            if e := m.enum(c.type):
+                row("ENUM", f"'{c.name}'", c.name, f"'value \"' || {c.name} || '\" is not a valid enum value for type \"{e.name}\"'", f"{rows} WHERE {c.name} NOT IN ({', '.join(repr(v) for v in e.values)})")
+            if c.length and c.type in ("varchar", "char"):
+                row("LENGTH", f"'{c.name}'", c.name, f"'string length ' || strlen({c.name}) || ' exceeds column limit {c.length}'", f"{rows} WHERE strlen({c.name}) > {c.length}")
+        for rule, keys in (("PK_UNIQUE", [t.primary_key]), ("UNIQUE", t.unique)):
+            for k in keys:
+                value = " || '::' || ".join(k)
+                part = f"OVER (PARTITION BY {', '.join(k)}"
+                row(rule, "NULL", value, f"'duplicate {'primary key' if rule == 'PK_UNIQUE' else 'unique value'} \"' || {value} || '\" (first seen at row ' || f || ')'", f"(SELECT *, row_number() {part} ORDER BY r) AS k, min(r) {part}) AS f FROM {rows}) WHERE k > 1")
+        for f in t.foreign_keys:
+            c = f.columns[0]
+            row("FK", f"'{c}'", c, f"'foreign key value \"' || {c} || '\" not found in referenced table \"{f.ref_table}\" PK values'", f"{rows} x WHERE {c} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {f.ref_table} y WHERE y.{m.ref_columns(f)[0]} = x.{c})")
+
     def profiled(table: str, columns: dict[str, str], key: str) -> str:
         known = lambda c: f"trim(CAST({c} AS VARCHAR)) NOT IN ('', 'NULL', 'null')"
         samples = lambda c: f"(SELECT string_agg(trim(CAST({c} AS VARCHAR)), '|' ORDER BY {key}) FROM (SELECT {key}, {c} FROM {table} WHERE {known(c)} ORDER BY {key} LIMIT 3))"
@@ -307,7 +402,7 @@ def oracle_sql() -> dict[str, str]:
     made = f"1577836800 + i * 86400 + {p('*created')} % 86400"
     at = lambda s: f"strftime(make_timestamp(({s}) * 1000000), '%Y-%m-%d %H:%M:%S')"
     digest = f"md5(({p('mac')})::VARCHAR)"
-    pair = _perm(ROWS["users"] * ROWS["items"], "likes:user_id,item_id")
+    pair = _perm(f"({_n('users')} * {_n('items')})", "likes:user_id,item_id")
     seconds = f"1577836800 + i * 86400 + {_u('staff', '*created')} % 86400"
     sql_lines = "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation"
     shown = _values([(t.name, c.name, c.type + (f"({c.length},{c.scale})" if c.scale is not None else f"({c.length})" if c.length is not None else "")) for t in m.tables for c in t.columns], 'v("table", "column", type)')
@@ -320,8 +415,12 @@ def oracle_sql() -> dict[str, str]:
     return {
         "fk_orphans_documents_labels": "SELECT doc_id FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)",
         "fk_integrity_star": " UNION ALL ".join(f"SELECT '{t}' AS child, '{c}' AS fk, ({orphan(t, c, p, r)}) AS orphans" for t, c, p, r in fks),
+        "unique_extended": "SELECT key, n AS n_rows, n AS n_unique, CAST(0 AS BIGINT) AS n_given, n AS n_of_kind FROM (SELECT count(*) AS n FROM customer), (VALUES ('c_custkey'), ('host'), ('rate'), ('tag'), ('desk'), ('c_mktsegment,c_acctbal'), ('c_nationkey,c_mktsegment,opens')) v(key)",
+        "keys_from_orders": f"WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, count(*) OVER () AS n FROM orders), s AS (SELECT i, {_u('shipment', 'order_key')} AS a, {_u('shipment', 'back_order')} AS b, {_u('shipment', 'back_order', ' || chr(58) || 1')} AS c FROM range((SELECT 2 * count(*) FROM orders)) r(i)) SELECT i + 1 AS id, x.o_orderkey AS order_key, CASE WHEN c % 100 >= 20 THEN y.o_orderkey END AS back_order FROM s JOIN o x ON x.k = a % x.n JOIN o y ON y.k = b % y.n",
+        "backfilled_events": f"WITH p AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS k, count(*) OVER () AS n FROM customer) SELECT event_id, CASE WHEN event_id % 7 <> 0 AND user_id IS NOT NULL THEN user_id ELSE c_custkey END AS user_id FROM (SELECT *, {_u('backfill:events', 'user_id').replace('i)', 'event_id)')} AS u FROM events) e JOIN p ON p.k = u % p.n",
+        "backfilled_earlier": f"WITH o AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS k, {_u('backfill:orders', 'follows').replace('i)', 'o_orderkey)')} AS u FROM orders) SELECT a.o_orderkey, CASE WHEN a.o_orderkey % 5 = 0 THEN a.o_orderkey ELSE b.o_orderkey END AS follows FROM o a LEFT JOIN o b ON a.k > 0 AND b.k = a.u % greatest(a.k, 1)",
         "fk_composite_check": "SELECT conv_id, turn + 1 AS following FROM conversations a WHERE NOT EXISTS (SELECT 1 FROM conversations b WHERE b.conv_id IS NOT DISTINCT FROM a.conv_id AND b.turn IS NOT DISTINCT FROM a.turn + 1)",
-        "pk_duplicates_lineitem": "SELECT r AS row_index, l_orderkey || '::' || l_suppkey AS value, 'PK_UNIQUE' AS rule, 'duplicate primary key \"' || l_orderkey || '::' || l_suppkey || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, l_orderkey * 100 + l_linenumber AS r, min(l_orderkey * 100 + l_linenumber) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM lineitem) WHERE r > f",
+        "pk_duplicates_lineitem": "SELECT r AS row_index, l_orderkey || '::' || l_suppkey AS value, 'PK_UNIQUE' AS rule, 'duplicate primary key \"' || l_orderkey || '::' || l_suppkey || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY r) AS k, min(r) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM (SELECT *, l_orderkey * 100 + l_linenumber AS r FROM lineitem)) WHERE k > 1",
         "not_null_labels": "SELECT 'quality' AS \"column\", doc_id AS row_index, 'column \"quality\" is NOT NULL but row ' || doc_id || ' has nil value' AS message FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL UNION ALL SELECT 'lacking', doc_id, 'column \"lacking\" is NOT NULL but row ' || doc_id || ' has no value' FROM documents",
         "export_csv_doubles": "SELECT l_orderkey * 100 + l_linenumber AS row_index, " + " || ',' || ".join(f"regexp_replace(CAST({x} AS VARCHAR), '[.]0$', '')" for x in ("l_quantity", "l_discount", "l_tax / 8")) + " AS line FROM lineitem",
         "csv_fields": "SELECT p_partkey AS row_index, 'a, ' || p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS more FROM part",
@@ -331,6 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "enum_segment": "SELECT c_custkey AS row_index, c_mktsegment AS value, 'ENUM' AS rule FROM customer WHERE c_mktsegment NOT IN ('BUILDING', 'MACHINERY')",
         "length_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'string length ' || strlen(p_name) || ' exceeds column limit 10' AS message FROM part WHERE strlen(p_name) > 10",
         "violation_summary": violation,
+        "violations_report": " UNION ALL ".join(found),
         "profile_orders": profiled("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderpriority": "text"}, "o_orderkey"),
         "profile_events": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}, "event_id"),
         "catalog_columns_semantic": f"SELECT * FROM {semantic}",
@@ -346,15 +446,15 @@ def oracle_sql() -> dict[str, str]:
         "transitive_dependencies": f'{rec}, p AS (SELECT tab, ref, 1 AS distance FROM fks UNION SELECT p.tab, f.ref, distance + 1 FROM p JOIN fks f ON f.tab = p.ref) SELECT tab AS "table", ref AS ancestor, min(distance) AS distance FROM p GROUP BY ALL',
         "graph_roots": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT tab FROM fks)',
         "graph_leaves": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT ref FROM fks)',
-        "gen_users": f"SELECT i AS row_index, i + 1 AS id, ({_u('users', 'score')} % 2147483647 + 1)::INTEGER AS score, ['sad', 'ok', 'happy'][{_u('users', 'mood')} % 3 + 1] AS mood, {_u('users', 'active')} % 2 = 0 AS active FROM range({ROWS['users']}) r(i)",
-        "gen_items_decimal": f"SELECT i AS row_index, i + 1 AS id, ({_u('items', 'price')} % 99999999 + 1) || '.' || lpad(({_u('items', 'price', chr(32) + '|| chr(58) || 1')} % 100)::VARCHAR, 2, '0') AS price FROM range({ROWS['items']}) r(i)",
-        "gen_orders_fk": f"SELECT i AS row_index, i + 1 AS id, {_u('orders', 'user_id')} % {ROWS['users']} + 1 AS user_id, CASE WHEN {_u('orders', 'gift_for', ' || chr(58) || 1')} % 100 >= 20 THEN {_u('orders', 'gift_for')} % {ROWS['users']} + 1 END AS gift_for FROM range({ROWS['orders']}) r(i)",
-        "gen_junction_pairs": f"SELECT i AS row_index, {pair} % {ROWS['users']} + 1 AS user_id, {pair} // {ROWS['users']} + 1 AS item_id FROM range({ROWS['likes']}) r(i)",
-        "gen_self_ref": f"SELECT i AS row_index, i + 1 AS id, CASE WHEN i > 0 THEN {_u('staff', 'boss_id')} % greatest(i, 1) + 1 END AS boss_id, strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM range({ROWS['staff']}) r(i)",
-        "gen_temporal": f"SELECT i AS row_index, {at(made)} AS created_at, {at(made + ' + ' + p('*updated') + ' % 720 * 3600')} AS updated_at, CASE WHEN {p('deleted_at')} % 10 = 0 THEN {at(made + ' + ' + p('*deleted') + ' % 730 * 86400')} END AS deleted_at FROM range({ROWS['people']}) r(i)",
-        "gen_geo_name": f"SELECT i AS row_index, {of(FIRST, p('*name'))} AS first_name, {of(LAST, last)} AS last_name, " + ", ".join(f"{of([x[k] for x in PLACES], p('*place'))} AS {c}" for k, c in enumerate(("city", "state", "zip"))) + f" FROM range({ROWS['people']}) r(i)",
-        "gen_contact": f"SELECT i AS row_index, lower({of(FIRST, p('*name'))}) || ({p('email')} % 999 + 1) || '@' || {of(DOMAINS, p('email', 1))} AS email, '(' || ({p('phone')} % 800 + 200) || ') ' || lpad(({p('phone', 1)} % 1000)::VARCHAR, 3, '0') || '-' || lpad(({p('phone', 2)} % 10000)::VARCHAR, 4, '0') AS phone FROM range({ROWS['people']}) r(i)",
-        "gen_network": f"SELECT i AS row_index, " + " || '.' || ".join(f"({p('ip', k)} % {n} + {a})" for k, (n, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))) + " AS ip, " + " || ':' || ".join(f"substr({digest}, {k}, 2)" for k in range(1, 13, 2)) + f" AS mac, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST({p('token')} % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS token FROM (SELECT i, md5('42:people:token:' || i) AS h FROM range({ROWS['people']}) r(i))",
+        "gen_users": f"SELECT i AS row_index, i + 1 AS id, ({_u('users', 'score')} % 2147483647 + 1)::INTEGER AS score, ['sad', 'ok', 'happy'][{_u('users', 'mood')} % 3 + 1] AS mood, {_u('users', 'active')} % 2 = 0 AS active FROM range({_n('users')}) r(i)",
+        "gen_items_decimal": f"SELECT i AS row_index, i + 1 AS id, ({_u('items', 'price')} % 99999999 + 1) || '.' || lpad(({_u('items', 'price', chr(32) + '|| chr(58) || 1')} % 100)::VARCHAR, 2, '0') AS price FROM range({_n('items')}) r(i)",
+        "gen_orders_fk": f"SELECT i AS row_index, i + 1 AS id, {_u('orders', 'user_id')} % {_n('users')} + 1 AS user_id, CASE WHEN {_u('orders', 'gift_for', ' || chr(58) || 1')} % 100 >= 20 THEN {_u('orders', 'gift_for')} % {_n('users')} + 1 END AS gift_for FROM range({_n('orders')}) r(i)",
+        "gen_junction_pairs": f"SELECT i AS row_index, {pair} % {_n('users')} + 1 AS user_id, {pair} // {_n('users')} + 1 AS item_id FROM range({_n('likes')}) r(i)",
+        "gen_self_ref": f"SELECT i AS row_index, i + 1 AS id, CASE WHEN i > 0 THEN {_u('staff', 'boss_id')} % greatest(i, 1) + 1 END AS boss_id, strftime(make_timestamp(({seconds}) * 1000000), '%Y-%m-%d %H:%M:%S') AS created_at FROM range({_n('staff')}) r(i)",
+        "gen_temporal": f"SELECT i AS row_index, {at(made)} AS created_at, {at(made + ' + ' + p('*updated') + ' % 720 * 3600')} AS updated_at, CASE WHEN {p('deleted_at')} % 10 = 0 THEN {at(made + ' + ' + p('*deleted') + ' % 730 * 86400')} END AS deleted_at FROM range({_n('people')}) r(i)",
+        "gen_geo_name": f"SELECT i AS row_index, {of(FIRST, p('*name'))} AS first_name, {of(LAST, last)} AS last_name, " + ", ".join(f"{of([x[k] for x in PLACES], p('*place'))} AS {c}" for k, c in enumerate(("city", "state", "zip"))) + f" FROM range({_n('people')}) r(i)",
+        "gen_contact": f"SELECT i AS row_index, lower({of(FIRST, p('*name'))}) || ({p('email')} % 999 + 1) || '@' || {of(DOMAINS, p('email', 1))} AS email, '(' || ({p('phone')} % 800 + 200) || ') ' || lpad(({p('phone', 1)} % 1000)::VARCHAR, 3, '0') || '-' || lpad(({p('phone', 2)} % 10000)::VARCHAR, 4, '0') AS phone FROM range({_n('people')}) r(i)",
+        "gen_network": f"SELECT i AS row_index, " + " || '.' || ".join(f"({p('ip', k)} % {n} + {a})" for k, (n, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))) + " AS ip, " + " || ':' || ".join(f"substr({digest}, {k}, 2)" for k in range(1, 13, 2)) + f" AS mac, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST({p('token')} % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS token FROM (SELECT i, md5('42:people:token:' || i) AS h FROM range({_n('people')}) r(i))",
         "generated_violations": f"""SELECT tab AS "table", rule, CAST(n AS BIGINT) AS violations FROM {_values(checked, "v(tab, rule, n)")}""",
         "schema_overview": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = v.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = v.tab) AS n_foreign_keys, n_unique, n_checks FROM {overview}',
         "graph_junctions": f"{cat}, {_CARD} SELECT DISTINCT tab AS \"table\" FROM card WHERE cardinality = 'many_to_many'",
