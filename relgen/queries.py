@@ -15,12 +15,14 @@ from relgen.functions.semantics import column_semantic, tokens
 from relgen.operators import sinks
 from relgen.operators.generate import Generator, backfilled, extended
 from relgen.operators.profile import profile
+from relgen.operators.profile_state import merged, profile_of, profile_state
 from relgen.operators.validate import duplicates, enum, length, not_null, orphans, reference_counts, report, summary
 from relgen.plans import graph
 from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
 from relgen.sources.delimited import from_csv
 from relgen.sources.model import Model, catalog
+from relgen.steps import written
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHOP = """
@@ -84,6 +86,14 @@ def _enum(table: str, column: str, values: list[str], key: str) -> Query:
     return run
 
 
+def profile_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stored profiles of two parts of the events, the later one appended, as one."""
+    events, columns = _t(spark, sf_dir, "events"), ["event_id", "user_id", "event_type", "props"]
+    later = F.col("event_id") % 3 == 1
+    states = [written(profile_state(events.where(part), columns, "event_id"), "profile-state") for part in (~later, later)]
+    return profile_of(merged(*states)).withColumn("samples", F.array_join("samples", "|"))
+
+
 def _profile(table: str, columns: list[str], order_by: str) -> Query:
     return lambda spark, sf_dir: profile(_t(spark, sf_dir, table), columns, order_by).withColumn("samples", F.array_join("samples", "|"))
 
@@ -237,6 +247,7 @@ def queries() -> dict[str, Query]:
         "violation_summary": lambda s, d: summary(star.tables(s, d), star.model()),
         "profile_orders": _profile("orders", ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority"], "o_orderkey"),
         "profile_events": _profile("events", ["event_id", "user_id", "event_type", "props"], "event_id"),
+        "profile_merged": profile_merged,
         "catalog_columns_semantic": catalog_columns_semantic,
         "graph_edges": strip(lambda c: graph.edges(c).select("src", "dst", "kind", F.array_join("local", ",").alias("local"), "cardinality")),
         "graph_node_counts": strip(lambda c: graph.nodes(c).groupBy("kind").agg(F.count("*").alias("n"))),
@@ -433,6 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "violations_report": " UNION ALL ".join(found),
         "profile_orders": profiled("orders", {"o_orderkey": "integer", "o_custkey": "integer", "o_orderstatus": "text", "o_orderpriority": "text"}, "o_orderkey"),
         "profile_events": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}, "event_id"),
+        "profile_merged": profiled("events", {"event_id": "integer", "user_id": "integer", "event_type": "text", "props": "text"}, "event_id"),
         "catalog_columns_semantic": f"SELECT * FROM {semantic}",
         "graph_edges": f"{cat}, {_CARD}, {_EDGES} SELECT * FROM edges",
         "graph_node_counts": f"{cat} SELECT 'table' AS kind, count(*) AS n FROM tabs UNION ALL SELECT 'enum', count(*) FROM enums UNION ALL SELECT 'column', count(*) FROM cols",
