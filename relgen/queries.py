@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,7 +23,7 @@ from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
 from relgen.sources.delimited import from_csv
 from relgen.sources.model import Model, catalog
-from relgen.steps import written
+from relgen.steps import shared_dir, written
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHOP = """
@@ -111,6 +112,14 @@ def export_csv_doubles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.csv_rows(rows)
 
 
+def export_one_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines of one CSV file that holds all of lineitem under a header."""
+    rows = _t(spark, sf_dir, "lineitem").select((F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("row_index"), "l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag")
+    path = f"{shared_dir(spark)}/relgen-{uuid.uuid4().hex}.csv"
+    sinks.one_file(spark, sinks.csv_segments({"lineitem": rows}), path)
+    return spark.read.text(path).select(F.col("value").alias("line"))
+
+
 def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exported lines read back, with commas and quotation marks in them."""
     rows = _t(spark, sf_dir, "part").select(F.col("p_partkey").alias("row_index"), F.concat(F.lit("a, "), "p_name").alias("name"), "p_brand", "p_size")
@@ -240,6 +249,7 @@ def queries() -> dict[str, Query]:
         "not_null_left_join": lambda s, d: _t(s, d, "documents").select("doc_id").join(_t(s, d, "labels"), "doc_id", "left").where("quality is null").select("doc_id"),
         "not_null_labels": not_null_labels,
         "export_csv_doubles": export_csv_doubles,
+        "export_one_file": export_one_file,
         "csv_fields": csv_fields,
         "enum_event_type": _enum("events", "event_type", ["click", "purchase", "signup", "view"], "event_id"),
         "enum_segment": _enum("customer", "c_mktsegment", ["BUILDING", "MACHINERY"], "c_custkey"),
@@ -434,6 +444,7 @@ def oracle_sql() -> dict[str, str]:
         "pk_duplicates_lineitem": "SELECT r AS row_index, l_orderkey || '::' || l_suppkey AS value, 'PK_UNIQUE' AS rule, 'duplicate primary key \"' || l_orderkey || '::' || l_suppkey || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey, l_suppkey ORDER BY r) AS k, min(r) OVER (PARTITION BY l_orderkey, l_suppkey) AS f FROM (SELECT *, l_orderkey * 100 + l_linenumber AS r FROM lineitem)) WHERE k > 1",
         "not_null_labels": "SELECT 'quality' AS \"column\", doc_id AS row_index, 'column \"quality\" is NOT NULL but row ' || doc_id || ' has nil value' AS message FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL UNION ALL SELECT 'lacking', doc_id, 'column \"lacking\" is NOT NULL but row ' || doc_id || ' has no value' FROM documents",
         "export_csv_doubles": "SELECT l_orderkey * 100 + l_linenumber AS row_index, " + " || ',' || ".join(f"regexp_replace(CAST({x} AS VARCHAR), '[.]0$', '')" for x in ("l_quantity", "l_discount", "l_tax / 8")) + " AS line FROM lineitem",
+        "export_one_file": "SELECT '\"l_orderkey\",\"l_linenumber\",\"l_quantity\",\"l_discount\",\"l_returnflag\"' AS line UNION ALL SELECT l_orderkey || ',' || l_linenumber || ',' || " + " || ',' || ".join(f"regexp_replace(CAST({x} AS VARCHAR), '[.]0$', '')" for x in ("l_quantity", "l_discount")) + " || ',\"' || l_returnflag || '\"' FROM lineitem",
         "csv_fields": "SELECT p_partkey AS row_index, 'a, ' || p_name AS name, p_brand AS brand, CAST(p_size AS VARCHAR) AS size, CAST(NULL AS VARCHAR) AS more FROM part",
         "unique_part_name": "SELECT p_partkey AS row_index, p_name AS value, 'duplicate unique value \"' || p_name || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, min(p_partkey) OVER (PARTITION BY p_name) AS f FROM part) WHERE p_partkey > f",
         "not_null_left_join": "SELECT d.doc_id FROM documents d LEFT JOIN labels l USING (doc_id) WHERE quality IS NULL",
