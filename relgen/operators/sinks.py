@@ -81,7 +81,7 @@ def csv_segments(tables: dict[str, DataFrame], header: bool = True) -> list[Segm
 
 def one_file(spark: SparkSession, segments: list[Segment], path: str) -> None:
     """Puts segments into one file, byte after byte in buffers of the file system's client; rows are not read again."""
-    io = spark.sparkContext._jvm.org.apache.hadoop.io.IOUtils
+    io = spark.sparkContext._jvm.org.apache.commons.io.IOUtils
     fs, at = filesystem(spark, path)
     out = fs.create(at, True)
     try:
@@ -92,7 +92,7 @@ def one_file(spark: SparkSession, segments: list[Segment], path: str) -> None:
                 source, part = filesystem(spark, s.path)
                 held = source.open(part)
                 try:
-                    io.copyBytes(held, out, s.size - s.cut, False)
+                    io.copyLarge(held, out, 0, s.size - s.cut)
                 finally:
                     held.close()
     finally:

@@ -13,7 +13,7 @@ from relgen.functions.formatting import fingerprint
 from relgen.functions.generators import DOMAINS, FIRST, LAST, PLACES, Registry
 from relgen.functions.rng import below
 from relgen.functions.semantics import column_semantic, tokens
-from relgen.operators import sinks
+from relgen.operators import admission, sinks
 from relgen.operators.generate import Generator, backfilled, extended
 from relgen.operators.profile import profile
 from relgen.operators.profile_state import merged, profile_of, profile_state
@@ -24,6 +24,7 @@ from relgen.sources.ddl import parse
 from relgen.sources.delimited import from_csv
 from relgen.sources.model import Model, catalog
 from relgen.steps import shared_dir, written
+from relgen.streaming import state
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHOP = """
@@ -233,6 +234,38 @@ def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.rate_limited(_t(spark, sf_dir, "events"), "event_type", "ts", 3, "1 hour").select("event_type", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"), "n")
 
 
+#: Events of a user that are let in, in windows that begin with the user's first event.
+LIMIT, WINDOW_DAYS = 2, 3
+
+
+def admitted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = admission.admitted(_t(spark, sf_dir, "events"), "user_id", "ts", LIMIT, WINDOW_DAYS * 86400, ["event_id"])
+    return made.select("event_id", "user_id", "allowed", F.date_format("window_start", "yyyy-MM-dd HH:mm:ss").alias("window_start"))
+
+
+def _streamed(spark: SparkSession, sf_dir: str, made: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What a stream over the files of events gives once it has read them all."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    # a stream takes one file by a pattern only
+    path = f"{sf_dir}/events.parque[t]"
+    state.prepared(spark)
+    out = f"{shared_dir(spark)}/relgen-{uuid.uuid4().hex}-stream"
+    # streams count time by instants
+    stream = made(spark.readStream.schema(schema).parquet(path).withColumn("ts", F.col("ts").cast("timestamp")))
+    query = stream.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start()
+    query.awaitTermination()
+    return spark.read.schema(stream.schema).parquet(f"{out}/rows")
+
+
+def stream_admitted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _streamed(spark, sf_dir, lambda e: state.admitted(e, "user_id", "ts", "event_id", LIMIT, WINDOW_DAYS * 86400)).select(F.col("id").alias("event_id"), F.col("key").alias("user_id"), "allowed")
+
+
+def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Arriving events of a user who has had one, as violations of a key."""
+    return _streamed(spark, sf_dir, lambda e: state.repeats(e.withColumn("row_index", F.col("event_id")), "events", ["user_id"], "UNIQUE")).select("row_index", "value", "message")
+
+
 def queries() -> dict[str, Query]:
     strip = lambda f: lambda spark, sf_dir: f(_cat(spark))
     return {
@@ -297,6 +330,9 @@ def queries() -> dict[str, Query]:
         "optional_references": strip(lambda c: graph.optional_references(c).select("table", "ref_table", F.array_join("columns", ",").alias("fk"))),
         "column_types": strip(graph.column_types),
         "rate_limit": rate_limit,
+        "admitted_events": admitted_events,
+        "stream_admitted": stream_admitted,
+        "stream_repeats": stream_repeats,
     } | library.queries()
 
 
@@ -425,6 +461,11 @@ def oracle_sql() -> dict[str, str]:
     digest = f"md5(({p('mac')})::VARCHAR)"
     pair = _perm(f"({_n('users')} * {_n('items')})", "likes:user_id,item_id")
     seconds = f"1577836800 + i * 86400 + {_u('staff', '*created')} % 86400"
+    admitted = f"""WITH RECURSIVE e AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events),
+      n AS (SELECT e.user_id, e.k, min(x.k) AS later FROM e JOIN e x ON x.user_id = e.user_id AND x.ts > e.ts + INTERVAL {WINDOW_DAYS} DAY GROUP BY ALL),
+      w AS (SELECT user_id, CAST(1 AS BIGINT) AS k FROM e WHERE k = 1 UNION ALL SELECT w.user_id, n.later FROM w JOIN n ON n.user_id = w.user_id AND n.k = w.k),
+      b AS (SELECT e.*, (SELECT max(k) FROM w WHERE w.user_id = e.user_id AND w.k <= e.k) AS begin FROM e),
+      a AS (SELECT b.event_id, b.user_id, row_number() OVER (PARTITION BY b.user_id, begin ORDER BY b.k) AS n, e.ts AS began FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.begin)"""
     sql_lines = "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation"
     shown = _values([(t.name, c.name, c.type + (f"({c.length},{c.scale})" if c.scale is not None else f"({c.length})" if c.length is not None else "")) for t in m.tables for c in t.columns], 'v("table", "column", type)')
     roles = f"""{cat}, d AS (SELECT tab, (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS o, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS i,
@@ -495,6 +536,9 @@ def oracle_sql() -> dict[str, str]:
           SELECT tab AS "table", CASE WHEN j THEN 'junction' WHEN tab IN (SELECT tab FROM fks WHERE tab = ref) THEN 'hierarchical' WHEN t THEN 'transactional' WHEN l THEN 'lookup' ELSE 'entity' END AS badge FROM g""",
         "optional_references": f'{cat} SELECT f.tab AS "table", f.ref AS ref_table, f.col AS fk FROM fks f JOIN cols c ON c.tab = f.tab AND c.col = f.col WHERE c.nullable',
         "column_types": f"SELECT * FROM {shown}",
+        "admitted_events": f"{admitted} SELECT event_id, user_id, n <= {LIMIT} AS allowed, strftime(began, '%Y-%m-%d %H:%M:%S') AS window_start FROM a",
+        "stream_admitted": f"{admitted} SELECT event_id, user_id, n <= {LIMIT} AS allowed FROM a",
+        "stream_repeats": "SELECT event_id AS row_index, CAST(user_id AS VARCHAR) AS value, 'duplicate unique value \"' || user_id || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS f FROM events) WHERE event_id > f",
         "rate_limit": "SELECT event_type, strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS window_start, count(*) AS n FROM events GROUP BY ALL HAVING count(*) > 3",
         "plan_order": "SELECT * FROM (VALUES (0, 'part'), (1, 'region'), (2, 'nation'), (3, 'customer'), (4, 'supplier'), (5, 'orders'), (6, 'events'), (7, 'lineitem')) v(ord, \"table\")",
     } | library.oracle_sql()
