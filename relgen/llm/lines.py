@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from relgen.llm import kernel as K
-from relgen.llm.tables import written
+from relgen.llm.tables import apart, written
 
 TRIM = b" \t\x0b\x0c\r"
 #: Relative distance from the threshold beyond which a sketch decides; its standard error is 1.6 %.
@@ -92,13 +92,14 @@ def remove_boilerplate(docs: DataFrame, sites: int = 10, min_words: int = 1, sit
     of one text, so all rows of the first document keep a line.  An empty table gives an empty result, and
     a very long text is one row.  Columns of the input with these names are replaced.
     """
-    names = [c for c in docs.columns if c not in ("lines_total", "lines_removed")]
-    docs = docs.select(*names)
+    whole, (docs, back) = docs, apart(docs, ("doc_id", "text", site))
+    names = docs.columns
     own = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col(site).cast("string"), F.lit("")).alias("site"), "text")
     lines = written(own.mapInArrow(_hashes(min_words), "doc_id bigint, site string, line int, one bigint, two bigint"), "lines")
     marks = lines.join(boilerplate(lines, sites), ["one", "two"]).where("doc_id <> first_doc").groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_set("line").alias("__gone"))
     joined = docs.join(marks, docs["doc_id"] == marks["__doc"], "left").select(*(docs[c] for c in names), (F.coalesce(F.length("text") - F.length(F.replace("text", F.lit("\n"), F.lit(""))), F.lit(0)) + 1).cast("bigint").alias("lines_total"), "__gone")
-    return joined.mapInArrow(_without(names), T.StructType([*docs.schema.fields, T.StructField("lines_total", T.LongType()), T.StructField("lines_removed", T.LongType())]))
+    made = joined.mapInArrow(_without(names), T.StructType([*docs.schema.fields, T.StructField("lines_total", T.LongType()), T.StructField("lines_removed", T.LongType())]))
+    return made.select(*(b for c, b in zip(whole.columns, back, strict=True) if c not in ("lines_total", "lines_removed")), "lines_total", "lines_removed")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

@@ -312,8 +312,9 @@ def near_duplicates(docs: DataFrame, percent: int = 85, size: int = 5, bands: in
     links = written(links, "links")
     copied = written(real.groupBy("one", "two").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("last")).where("a < last").select("one", "two", "a"), "copied")
     exact = real.select("one", "two", "doc_id").join(copied, ["one", "two"]).where("a <> doc_id").select("a", F.col("doc_id").alias("b"))
-    # equal sets hang on their class, so only links between classes need the rounds
-    joined = components(links)
+    # equal sets hang on their class, so only links between classes need the rounds, and documents that belong to several classes
+    several = real.groupBy("doc_id").agg(F.min(F.struct("one", "two")).alias("lo"), F.max(F.struct("one", "two")).alias("hi")).where("lo <> hi").select(F.col("doc_id").alias("b"))
+    joined = components(links.unionByName(exact.join(several, "b", "left_semi").select("a", "b")))
     root = exact.groupBy("b").agg(F.min("a").alias("a"))
     return sketch.select("doc_id", "n_shingles").join(root, sketch["doc_id"] == root["b"], "left").withColumn("class", F.coalesce("a", "doc_id")).join(joined, F.col("class") == joined["node"], "left").select("doc_id", "n_shingles", F.coalesce("component", "class").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from relgen.llm.tables import written
+from relgen.llm.tables import apart, written
 
 RISK, ERROR, GOOD_WEIGHT = 0.05, 0.1, 20
 #: Cutoffs: a document goes if its feature exceeds the cutoff, in hundredths of the named total.
@@ -146,10 +146,25 @@ def judged(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: floa
     judged alike, and an empty table gives an empty result.  A very long text is one row, judged whole.
     Columns of the input with these names are replaced.
     """
-    columns = [c for c in docs.columns if c not in {"n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"}]
+    own, back = apart(docs, ("doc_id", "text", stratum))
+    found, made = _judged(own, labels, stratum, risk, error), ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return found.select(*(b for c, b in zip(docs.columns, back, strict=True) if c not in made), *made)
+
+
+def kept_rows(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, error: float = ERROR) -> DataFrame:
+    """The rows of ``docs`` that ``judged`` keeps, with their own columns alone."""
+    own, back = apart(docs, ("doc_id", "text", stratum))
+    judged = _judged(own, labels, stratum, risk, error)
+    # a filter would be pushed below the features and repeat their expressions; a generator stays above them
+    return judged.select(F.explode(F.when(F.col("kept"), F.array(F.struct(*back)))).alias("__row")).select("__row.*")
+
+
+def _judged(docs: DataFrame, labels: DataFrame, stratum: str, risk: float, error: float) -> DataFrame:
+    """``docs``, whose columns clash with no helper's, with the features and verdicts of ``judged``."""
+    columns = docs.columns
     found = written(cutoffs(docs, labels, stratum, risk, error).withColumnRenamed("stratum", "__stratum"), "cutoffs")
     strata = F.broadcast(found) if found.count() <= MAX_BROADCAST_STRATA else found
-    out = repeated_words(features(docs.select(*columns))).withColumn("__in", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
+    out = repeated_words(features(docs)).withColumn("__in", F.coalesce(F.col(stratum).cast("string"), F.lit("")))
     out = out.join(strata, F.col("__in") == F.col("__stratum"), "left")
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     rejected = F.lit(False)

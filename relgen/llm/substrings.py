@@ -62,7 +62,7 @@ def _occurrences(k: int, m: int):
         for batch in batches:
             for rows, data, off in K.slices(batch):
                 text, start, size, least, whole = super_kmers(K.words_of(data, off), k, m)
-                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), K.signed(least), K.signed(whole)], ["doc_id", "start", "n", "least", "whole"])
+                yield pa.RecordBatch.from_arrays([rows.column(0).take(pa.array(text)), rows.column(1).take(pa.array(text)), pa.array(start.astype(np.int32)), pa.array(size.astype(np.int32)), K.signed(least), K.signed(whole)], ["doc_id", "copy", "start", "n", "least", "whole"])
 
     return run
 
@@ -128,24 +128,24 @@ def _sorted_windows(k: int):
 
 
 def repeated_spans(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 10_000) -> DataFrame:
-    """(doc_id, spans): word spans (start, length) of windows that also start in a document with a smaller doc_id."""
-    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where("doc_id is not null and text is not null")
-    every = written(docs.mapInArrow(_occurrences(k, m), "doc_id bigint, start int, n int, least bigint, whole bigint"), "super-k-mers")
+    """(doc_id, copy, spans): word spans (start, length) of windows that also start in a document with a smaller doc_id; ``copy`` is the text's hash."""
+    docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), "text").where("doc_id is not null and text is not null")
+    every = written(docs.mapInArrow(_occurrences(k, m), "doc_id bigint, copy bigint, start int, n int, least bigint, whole bigint"), "super-k-mers")
     shared = every.groupBy("least").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), (F.min("whole") == F.max("whole")).alias("alone")).where("lo < hi").select("least", "alone")
     # a written table gets an exchange of its own in the join, so that the other side of a hot minimiser can be split
     shared = written(shared, "shared-minimisers")
     some = written(every.join(shared, "least"), "shared")
-    kinds = written(some.groupBy("least", "whole", "alone").agg(F.min(F.struct("doc_id", "start", "n")).alias("one"), F.max("doc_id").alias("hi")).select("least", "whole", "alone", "one.*", (F.col("hi") > F.col("one.doc_id")).alias("more")), "kinds")
+    kinds = written(some.groupBy("least", "whole", "alone").agg(F.min(F.struct("doc_id", "copy", "start", "n")).alias("one"), F.max("doc_id").alias("hi")).select("least", "whole", "alone", "one.*", (F.col("hi") > F.col("one.doc_id")).alias("more")), "kinds")
     split = written(kinds.where("not alone").groupBy("least").agg(F.count("*").alias("kinds")).where(F.col("kinds") > hot).select("least", F.lit(True).alias("hot")), "hot-minimisers")
     # where a minimiser has one super-k-mer only, all its occurrences are the same and nothing need travel
     copies = kinds.where("alone").select("least", "whole", F.lit(0).alias("at"), F.col("n").alias("n_dup"), F.col("doc_id").alias("first_doc"))
     travelling = kinds.where("not alone").join(split, "least", "left").withColumn("hot", F.coalesce("hot", F.lit(False)))
-    go = travelling.groupBy("doc_id").agg(F.collect_list(F.struct("start", "n", "least", "whole", "hot", "more")).alias("go"))
-    packed = docs.join(go, "doc_id").select("doc_id", "text", "go").mapInArrow(_packed(k), "route bigint, packed string, least bigint, whole bigint, at int, first_doc bigint, more boolean")
+    go = travelling.groupBy("doc_id", "copy").agg(F.collect_list(F.struct("start", "n", "least", "whole", "hot", "more")).alias("go"))
+    packed = docs.join(go, ["doc_id", "copy"]).select("doc_id", "text", "go").mapInArrow(_packed(k), "route bigint, packed string, least bigint, whole bigint, at int, first_doc bigint, more boolean")
     runs = grouped_stream(packed, ["route"], _sorted_windows(k), "least bigint, whole bigint, at int, n_dup int, first_doc bigint")
     verdicts = written(runs.unionByName(copies), "verdicts")
     marks = some.join(verdicts, ["least", "whole"]).where("first_doc < doc_id")
-    return marks.select("doc_id", (F.col("start") + F.col("at")).alias("from"), (F.col("n_dup") + F.lit(k - 1)).alias("length")).distinct().groupBy("doc_id").agg(F.collect_list(F.struct("from", "length")).alias("spans"))
+    return marks.select("doc_id", "copy", (F.col("start") + F.col("at")).alias("from"), (F.col("n_dup") + F.lit(k - 1)).alias("length")).distinct().groupBy("doc_id", "copy").agg(F.collect_list(F.struct("from", "length")).alias("spans"))
 
 
 def _cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,11 +182,11 @@ def remove_repeats(docs: DataFrame, k: int = 50, m: int = 8, hot: int = 10_000)
 
     Returns (doc_id, n_words, n_removed, kept): kept words joined by one space.  Null texts are empty;
     rows without a doc_id come back whole and take no part; texts shorter than ``k`` words lose nothing;
-    windows repeated inside one document alone stay; rows that repeat a doc_id are taken as copies of one
-    text.  Other columns are ignored, and an empty table gives an empty result.
+    windows repeated inside one document alone stay; rows that repeat a doc_id are one document, whose texts
+    have windows of their own and are told apart by hash.  Other columns are ignored, and an empty table gives an empty result.
     """
-    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return own.join(repeated_spans(docs, k, m, hot), "doc_id", "left").select("doc_id", "text", "spans").mapInArrow(_cleaned, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
+    own = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("copy"), "text")
+    return own.join(repeated_spans(docs, k, m, hot), ["doc_id", "copy"], "left").select("doc_id", "text", "spans").mapInArrow(_cleaned, "doc_id bigint, n_words bigint, n_removed bigint, kept string")
 
 
 def digest(cleaned: DataFrame) -> DataFrame:

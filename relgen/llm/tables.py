@@ -2,48 +2,22 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from relgen.steps import dropped, shared_dir, written
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset on one machine, as in tests."""
-    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not path:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
-        path = tempfile.mkdtemp(prefix="relgen-")
-        spark.sparkContext.setCheckpointDir(path)
-        path = spark.sparkContext.getCheckpointDir()
-    return path.rstrip("/")
+__all__ = ["apart", "components", "dropped", "grouped_stream", "shared_dir", "written"]
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts the lineage, survives lost executors.
-
-    The files go when the session's JVM ends.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/relgen-{uuid.uuid4().hex}-{label}"
-    df.write.parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._written_at = path
-    return out
-
-
-def dropped(df: DataFrame) -> None:
-    """Deletes the files of a step that ``written`` gave, once nothing will read it again."""
-    spark = df.sparkSession
-    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df._written_at)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+def apart(df: DataFrame, used: Iterable[str]) -> tuple[DataFrame, list[Column]]:
+    """``df`` with all columns but ``used`` under names that no helper column has, and what gives the caller's columns back."""
+    names = {c: c if c in set(used) else f"__own_{i}" for i, c in enumerate(df.columns)}
+    quoted = lambda c: F.col("`" + c.replace("`", "``") + "`")
+    return df.select(*(quoted(c).alias(n) for c, n in names.items())), [F.col(n).alias(c) for c, n in names.items()]
 
 
 def grouped_stream(df: DataFrame, keys: list[str], fn: Callable[[pa.Table], Iterator[pa.RecordBatch]], schema: str, least: int = 4 << 20, order: list[str] | None = None) -> DataFrame:

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from relgen.llm.tables import written
+from relgen.llm.tables import apart, written
 
 #: (verdict, host, path); the longest fitting rule wins.
 RULES = (("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/"))
@@ -114,11 +114,14 @@ def filtered(pages: DataFrame, listed: DataFrame, rules: tuple[tuple[str, str, s
     rows are judged each; columns of the input with these names are replaced, and an empty table gives an
     empty result.  Of equally long rules the last one counts.
     """
-    columns = [c for c in pages.columns if c not in ("host", "path", "rule", "verdict")]
-    pages = ruled(pages.select(*columns, host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path")), rules)
-    pages = pages.withColumns({"__canonical": canonical(F.col("__host"), F.col("__path")), "__root": canonical(F.col("__host"), F.lit(""))})
-    judged = listed_pages(pages, listed, {"__canonical": "__page_listed", "__root": "__site_listed"})
-    return judged.select(*(F.col(c) for c in columns), F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.when(F.col("__page_listed") | F.col("__site_listed"), "block").otherwise("allow")).alias("verdict"))
+    made = ("host", "path", "rule", "verdict")
+    own, back = apart(pages, ("url",))
+    names = own.columns
+    judged = ruled(own.select(*names, host(F.col("url")).alias("__host"), path(F.col("url")).alias("__path")), rules)
+    judged = judged.withColumns({"__canonical": canonical(F.col("__host"), F.col("__path")), "__root": canonical(F.col("__host"), F.lit(""))})
+    judged = listed_pages(judged, listed, {"__canonical": "__page_listed", "__root": "__site_listed"})
+    kept = [b for c, b in zip(pages.columns, back, strict=True) if c not in made]
+    return judged.select(*kept, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), F.coalesce("__verdict", F.when(F.col("__page_listed") | F.col("__site_listed"), "block").otherwise("allow")).alias("verdict"))
 
 
 def _oracle() -> str:
