@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from relgen.llm import decontaminate, lines, neardup, packing, quality
-from relgen.llm.tables import written
+from relgen.llm.tables import apart, written
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,10 +22,7 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null, empty and wordless texts fail the base rule (under 20 words) and go; a null lang is a stratum of
     its own; rows without a doc_id have no label but are judged; repeated rows stay or go together.
     """
-    judged = quality.judged(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    # a filter would be pushed below the features and repeat their expressions; a generator stays above them
-    row = F.struct(*(F.col(c) for c in docs.columns))
-    return judged.select(F.explode(F.when(F.col("kept"), F.array(row))).alias("__row")).select("__row.*")
+    return quality.kept_rows(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,8 +31,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts and rows without a doc_id are left as they are; a null source is a site of its own;
     of documents that share a line the least doc_id keeps it, in all of its rows.  n_chars follows the text.
     """
-    out = lines.remove_boilerplate(docs, min_words=1).where("lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
-    return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    own, back = apart(docs, ("doc_id", "text", "source", "n_chars"))
+    out = lines.remove_boilerplate(own, min_words=1).where("lines_removed = 0 or text rlike '[^\\\\x20\\\\x09-\\\\x0D]'")
+    return out.withColumn("n_chars", F.when(F.col("lines_removed") > 0, F.char_length("text")).otherwise(F.col("n_chars"))).select(*back)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
