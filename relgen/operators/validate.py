@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -332,28 +333,64 @@ def reference_counts(tables: dict[str, DataFrame], model: Model) -> DataFrame:
     return about.join(lost, "check", "left").select("child", "fk", F.coalesce("n", F.lit(0)).cast("bigint").alias("orphans"))
 
 
-def summary(tables: dict[str, DataFrame], model: Model, strict_compat: bool = False) -> DataFrame:
-    """(table, rule, violations): the number of violations of each kind that is checked, zero counts too; one scan of each table."""
-    _required(tables, model)
+def check_counts(tables: dict[str, DataFrame], model: Model, strict_compat: bool = False) -> DataFrame | None:
+    """(table, rule, columns, violations) of each check, zero counts too; one scan of each table."""
     known = {n: d for n, d in tables.items() if model.table(n) is not None}
     checks = key_checks(known, model, strict_compat)
     singles = {n: single_checks(model.table(n), model, d.columns) for n, d in known.items()}
     counted = groups(known, checks, singles)
-    names: list[tuple] = [(c.id, None, c.table, c.rule, bool(c.ref_table)) for c in checks]
+    if counted is None:
+        return None
+    names: list[tuple] = [(c.id, None, c.table, c.rule, c.columns, bool(c.ref_table)) for c in checks]
     number = 0
     for n in known:
         for at in range(0, len(singles[n]), 62):
             number += 1
-            names += [(-number, i, n, c.rule, False) for i, c in enumerate(singles[n][at : at + 62])]
-    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
-    lost = spark.createDataFrame([(n, "INTERNAL", 1) for n in tables if n not in known], "table string, rule string, violations bigint")
-    if counted is None:
-        return lost
+            names += [(-number, i, n, c.rule, [c.column], False) for i, c in enumerate(singles[n][at : at + 62])]
     mask = F.when(F.col("check") < 0, F.col("h1"))
     again, orphaned = F.sum(F.col("n") - 1), F.sum(F.when(~F.col("found"), F.col("n")).otherwise(F.lit(0)))
     sums = counted.groupBy("check", mask.alias("mask")).agg(again.alias("again"), orphaned.alias("orphaned"), F.sum("n").alias("n"))
-    about = spark.createDataFrame(names, "check int, bit int, table string, rule string, reference boolean")
-    hit = (F.call_function("shiftright", F.col("mask"), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    spark = next(iter(tables.values())).sparkSession
+    about = spark.createDataFrame(names, "check int, bit int, table string, rule string, columns array<string>, reference boolean")
+    hit = F.call_function("shiftright", F.col("mask"), F.col("bit")).bitwiseAND(F.lit(1).cast("bigint")) == 1
     n = F.when(F.col("bit").isNotNull(), F.when(hit, F.col("n"))).when(F.col("reference"), F.col("orphaned")).otherwise(F.col("again"))
-    found = about.join(sums, "check", "left").groupBy("table", "rule").agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("violations"))
-    return found.unionByName(lost)
+    rows = about.join(sums, "check", "left").groupBy("check", "bit", "table", "rule", "columns").agg(F.coalesce(F.sum(n), F.lit(0)).cast("bigint").alias("violations"))
+    return rows.select("table", "rule", "columns", "violations")
+
+
+def summary(tables: dict[str, DataFrame], model: Model, strict_compat: bool = False) -> DataFrame:
+    """(table, rule, violations): the number of violations of each kind that is checked, zero counts too; one scan of each table."""
+    _required(tables, model)
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+    lost = spark.createDataFrame([(n, "INTERNAL", 1) for n in tables if model.table(n) is None], "table string, rule string, violations bigint")
+    found = check_counts(tables, model, strict_compat)
+    return lost if found is None else found.groupBy("table", "rule").agg(F.sum("violations").alias("violations")).unionByName(lost)
+
+
+def held(tables: dict[str, DataFrame], model: Model) -> Model:
+    """The model less what the data breaks: keys, references, NOT NULL, enums (text instead) and lengths (none instead).
+
+    What the graph, roles and relationships of a declared schema are worth depends on what its rows keep;
+    one row for each check comes to the driver.
+    """
+    found, out = check_counts(tables, model), copy.deepcopy(model)
+    for r in (found.where("violations > 0").collect() if found is not None else []):
+        t = out.table(r["table"])
+        columns = list(r["columns"])
+        if r["rule"] == "PK_UNIQUE":
+            t.primary_key = []
+            for c in t.columns:
+                c.is_primary_key = False
+        elif r["rule"] == "UNIQUE":
+            t.unique = [u for u in t.unique if u != columns]
+        elif r["rule"] == "FK":
+            t.foreign_keys = [f for f in t.foreign_keys if f.columns != columns]
+        else:
+            c = t.column(columns[0])
+            if r["rule"] == "NOT_NULL":
+                c.nullable = True
+            elif r["rule"] == "ENUM":
+                c.type = "text"
+            else:
+                c.length = None
+    return out

@@ -17,7 +17,7 @@ from relgen.operators import admission, sinks
 from relgen.operators.generate import Generator, backfilled, extended
 from relgen.operators.profile import profile
 from relgen.operators.profile_state import merged, profile_of, profile_state
-from relgen.operators.validate import duplicates, enum, length, not_null, orphans, reference_counts, report, summary
+from relgen.operators.validate import duplicates, enum, held, length, not_null, orphans, reference_counts, report, summary
 from relgen.plans import graph
 from relgen.plans.planner import build_plan
 from relgen.sources.ddl import parse
@@ -44,8 +44,9 @@ def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _cat(spark: SparkSession) -> dict[str, DataFrame]:
-    return catalog(spark, star.model())
+def _cat(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The catalog of those declarations that the given rows keep."""
+    return catalog(spark, held(star.tables(spark, sf_dir), star.model()))
 
 
 def _shop(spark: SparkSession, sf_dir: str) -> Generator:
@@ -128,7 +129,7 @@ def csv_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def catalog_columns_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = _cat(spark)["columns"]
+    columns = _cat(spark, sf_dir)["columns"]
     return columns.select("table", "column", column_semantic(F.col("column")).alias("semantic"), F.array_join(tokens(F.col("column")), " ").alias("words"))
 
 
@@ -203,7 +204,7 @@ def violations_report(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def plan_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The planner's order of the star schema's tables."""
-    model = star.model()
+    model = held(star.tables(spark, sf_dir), star.model())
     return spark.createDataFrame(list(enumerate(build_plan(model, 10).order)), "ord int, `table` string")
 
 
@@ -214,7 +215,7 @@ def generated_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def topo_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return graph.levels(_cat(spark))
+    return graph.levels(_cat(spark, sf_dir))
 
 
 def export_lines(kind: str) -> Query:
@@ -267,7 +268,7 @@ def stream_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    strip = lambda f: lambda spark, sf_dir: f(_cat(spark))
+    strip = lambda f: lambda spark, sf_dir: f(_cat(spark, sf_dir))
     return {
         "fk_orphans_documents_labels": lambda s, d: orphans(_t(s, d, "documents").select("doc_id"), _t(s, d, "labels"), ["doc_id"], ["doc_id"]),
         "fk_integrity_star": fk_integrity_star,
@@ -350,20 +351,34 @@ def _values(rows: list[tuple], names: str) -> str:
 
 
 def _catalog_sql(m: Model) -> str:
-    """Common table expressions with the catalog's rows."""
-    t = _values([(i, x.name) for i, x in enumerate(m.tables)], "t(ord, tab)")
-    c = _values([(x.name, c.name, c.type, c.nullable) for x in m.tables for c in x.columns], "c(tab, col, type, nullable)")
-    f = _values([(x.name, f.columns[0], f.ref_table, f.on_delete) for x in m.tables for f in x.foreign_keys], "f(tab, col, ref, on_delete)")
-    k = _values([(x.name, p) for x in m.tables for p in x.primary_key], "k(tab, col)")
+    """Common table expressions with the catalog's rows: what is declared and what the rows keep."""
+    t = _values([(i, x.name, len(x.checks)) for i, x in enumerate(m.tables)], "t(ord, tab, n_checks)")
+    columns, fks, pks, unique = [], [], [], []
+    for x in m.tables:
+        for c in x.columns:
+            nullable = "true" if c.nullable else f"EXISTS (SELECT 1 FROM {x.name} WHERE {c.name} IS NULL)"
+            kind, size = f"'{c.type}'", "''" if c.length is None else f"'({c.length})'"
+            if e := m.enum(c.type):
+                kind = f"CASE WHEN EXISTS (SELECT 1 FROM {x.name} WHERE {c.name} NOT IN ({', '.join(repr(v) for v in e.values)})) THEN 'text' ELSE {kind} END"
+            if c.length and c.type in ("varchar", "char"):
+                size = f"CASE WHEN EXISTS (SELECT 1 FROM {x.name} WHERE strlen({c.name}) > {c.length}) THEN '' ELSE {size} END"
+            columns.append(f"SELECT '{x.name}' AS tab, '{c.name}' AS col, {kind} AS type, {nullable} AS nullable, {size} AS size")
+        for f in x.foreign_keys:
+            held = f"NOT EXISTS (SELECT 1 FROM {x.name} a WHERE a.{f.columns[0]} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {f.ref_table} b WHERE b.{m.ref_columns(f)[0]} = a.{f.columns[0]}))"
+            fks.append(f"SELECT '{x.name}' AS tab, '{f.columns[0]}' AS col, '{f.ref_table}' AS ref, '{f.on_delete}' AS on_delete WHERE {held}")
+        once = lambda key: f"NOT EXISTS (SELECT 1 FROM {x.name} GROUP BY {', '.join(key)} HAVING count(*) > 1)"  # noqa: B023, E731
+        pks += [f"SELECT '{x.name}' AS tab, '{p}' AS col WHERE {once(x.primary_key)}" for p in x.primary_key]
+        unique += [f"SELECT '{x.name}' AS tab WHERE {once(u)}" for u in x.unique]
     e = _values([(x.name,) for x in m.enums], "e(enum)")
-    return f"tabs AS (SELECT * FROM {t}), cols AS (SELECT * FROM {c}), fks AS (SELECT * FROM {f}), pks AS (SELECT * FROM {k}), enums AS (SELECT * FROM {e})"
+    every = lambda rows: " UNION ALL ".join(rows)
+    return f"tabs AS (SELECT * FROM {t}), cols AS MATERIALIZED ({every(columns)}), fks AS MATERIALIZED ({every(fks)}), pks AS MATERIALIZED ({every(pks)}), uniques AS MATERIALIZED ({every(unique)}), enums AS (SELECT * FROM {e})"
 
 
 _CARD = """card AS (SELECT f.*, CASE
   WHEN n = 1 AND EXISTS (SELECT 1 FROM pks p WHERE p.tab = f.tab AND p.col = f.col) THEN 'one_to_one'
   WHEN n > 1 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = f.tab AND NOT EXISTS (SELECT 1 FROM fks g WHERE g.tab = p.tab AND g.col = p.col)) THEN 'many_to_many'
   ELSE 'one_to_many' END AS cardinality
-  FROM fks f JOIN (SELECT tab, count(*) AS n FROM pks GROUP BY tab) USING (tab))"""
+  FROM fks f LEFT JOIN (SELECT tab, count(*) AS n FROM pks GROUP BY tab) USING (tab))"""
 _EDGES = """edges AS (
   SELECT 'table:' || tab AS src, 'column:' || tab || '.' || col AS dst, 'contains' AS kind, NULL AS local, NULL AS cardinality FROM cols
   UNION ALL SELECT 'table:' || tab, 'table:' || ref, 'references', col, cardinality FROM card
@@ -445,7 +460,6 @@ def oracle_sql() -> dict[str, str]:
 
     words = lambda n: " ".join(w for w in n.lower().split("_") if w)
     semantic = _values([(t.name, c.name, semantic_of(c.name), words(c.name)) for t in m.tables for c in t.columns], 'v("table", "column", semantic, words)')
-    overview = _values([(t.name, len(t.unique), len(t.checks)) for t in m.tables], "v(tab, n_unique, n_checks)")
     shop = parse(SHOP)
     checked = []
     for t in shop.tables:
@@ -467,7 +481,6 @@ def oracle_sql() -> dict[str, str]:
       b AS (SELECT e.*, (SELECT max(k) FROM w WHERE w.user_id = e.user_id AND w.k <= e.k) AS begin FROM e),
       a AS (SELECT b.event_id, b.user_id, row_number() OVER (PARTITION BY b.user_id, begin ORDER BY b.k) AS n, e.ts AS began FROM b JOIN e ON e.user_id = b.user_id AND e.k = b.begin)"""
     sql_lines = "SELECT n_nationkey AS row_index, '(' || n_nationkey || ', ''' || replace(n_name, '''', '''''') || ''', ' || n_regionkey || ')' AS line FROM nation"
-    shown = _values([(t.name, c.name, c.type + (f"({c.length},{c.scale})" if c.scale is not None else f"({c.length})" if c.length is not None else "")) for t in m.tables for c in t.columns], 'v("table", "column", type)')
     roles = f"""{cat}, d AS (SELECT tab, (SELECT count(*) FROM cols c WHERE c.tab = t.tab) AS n, (SELECT count(*) FROM fks f WHERE f.tab = t.tab) AS o, (SELECT count(*) FROM fks f WHERE f.ref = t.tab) AS i,
           (SELECT count(*) FROM pks p WHERE p.tab = t.tab) >= 2 AND NOT EXISTS (SELECT 1 FROM pks p WHERE p.tab = t.tab AND NOT EXISTS (SELECT 1 FROM fks f WHERE f.tab = t.tab AND f.col = p.col)) AS j FROM tabs t),
           r AS (SELECT tab, 'junction' AS role, CASE WHEN j THEN 95 ELSE 0 END AS score, 1 AS least FROM d
@@ -520,7 +533,7 @@ def oracle_sql() -> dict[str, str]:
         "gen_contact": f"SELECT i AS row_index, lower({of(FIRST, p('*name'))}) || ({p('email')} % 999 + 1) || '@' || {of(DOMAINS, p('email', 1))} AS email, '(' || ({p('phone')} % 800 + 200) || ') ' || lpad(({p('phone', 1)} % 1000)::VARCHAR, 3, '0') || '-' || lpad(({p('phone', 2)} % 10000)::VARCHAR, 4, '0') AS phone FROM range({_n('people')}) r(i)",
         "gen_network": f"SELECT i AS row_index, " + " || '.' || ".join(f"({p('ip', k)} % {n} + {a})" for k, (n, a) in enumerate(((223, 1), (256, 0), (256, 0), (254, 1)))) + " AS ip, " + " || ':' || ".join(f"substr({digest}, {k}, 2)" for k in range(1, 13, 2)) + f" AS mac, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-4' || substr(h, 14, 3) || '-' || substr('89ab', CAST({p('token')} % 4 + 1 AS INTEGER), 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS token FROM (SELECT i, md5('42:people:token:' || i) AS h FROM range({_n('people')}) r(i))",
         "generated_violations": f"""SELECT tab AS "table", rule, CAST(n AS BIGINT) AS violations FROM {_values(checked, "v(tab, rule, n)")}""",
-        "schema_overview": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = v.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = v.tab) AS n_foreign_keys, n_unique, n_checks FROM {overview}',
+        "schema_overview": f'{cat} SELECT tab AS "table", (SELECT count(*) FROM cols c WHERE c.tab = v.tab) AS n_columns, (SELECT count(*) FROM fks f WHERE f.tab = v.tab) AS n_foreign_keys, (SELECT count(*) FROM uniques u WHERE u.tab = v.tab) AS n_unique, n_checks FROM tabs v',
         "graph_junctions": f"{cat}, {_CARD} SELECT DISTINCT tab AS \"table\" FROM card WHERE cardinality = 'many_to_many'",
         "graph_isolated": f'{cat} SELECT tab AS "table" FROM tabs WHERE tab NOT IN (SELECT tab FROM fks WHERE tab <> ref UNION SELECT ref FROM fks WHERE tab <> ref)',
         "graph_search": f"{cat} SELECT * FROM (SELECT 'table:' || tab AS id, tab AS label FROM tabs UNION ALL SELECT 'enum:' || enum, enum FROM enums UNION ALL SELECT 'column:' || tab || '.' || col, col FROM cols) WHERE lower(label) LIKE '%order%'",
@@ -535,7 +548,7 @@ def oracle_sql() -> dict[str, str]:
         "role_badges": f"""{roles}, g AS (SELECT tab, bool_or(role = 'junction') AS j, bool_or(role = 'transactional') AS t, bool_or(role = 'lookup') AS l FROM r WHERE score >= least GROUP BY tab)
           SELECT tab AS "table", CASE WHEN j THEN 'junction' WHEN tab IN (SELECT tab FROM fks WHERE tab = ref) THEN 'hierarchical' WHEN t THEN 'transactional' WHEN l THEN 'lookup' ELSE 'entity' END AS badge FROM g""",
         "optional_references": f'{cat} SELECT f.tab AS "table", f.ref AS ref_table, f.col AS fk FROM fks f JOIN cols c ON c.tab = f.tab AND c.col = f.col WHERE c.nullable',
-        "column_types": f"SELECT * FROM {shown}",
+        "column_types": f'{cat} SELECT tab AS "table", col AS "column", type || size AS type FROM cols',
         "admitted_events": f"{admitted} SELECT event_id, user_id, n <= {LIMIT} AS allowed, strftime(began, '%Y-%m-%d %H:%M:%S') AS window_start FROM a",
         "stream_admitted": f"{admitted} SELECT event_id, user_id, n <= {LIMIT} AS allowed FROM a",
         "stream_repeats": "SELECT event_id AS row_index, CAST(user_id AS VARCHAR) AS value, 'duplicate unique value \"' || user_id || '\" (first seen at row ' || f || ')' AS message FROM (SELECT *, min(event_id) OVER (PARTITION BY user_id) AS f FROM events) WHERE event_id > f",
