@@ -36,21 +36,20 @@ def labels(spark):
     return spark.createDataFrame([(i, i % 2, i % 2) for i in range(24)], "doc_id long, quality int, toxic int")
 
 
-@pytest.mark.parametrize("operator", ["quality", "lines", "urls", "substrings", "neardup", "packing", "decontaminate", "toxicity"])
+@pytest.mark.parametrize("operator", ["quality", "lines", "urls", "substrings", "packing", "toxicity"])
 def test_extra_columns_keep_their_values(spark, operator):
     docs = documents(spark)
-    items = spark.createDataFrame([(1, " ".join(WORDS[:20]))], "item_id long, text string")
     if operator == "urls":
         own = spark.createDataFrame([(1, "https://free-bets.example.com/x"), (2, None)], "page_id long, url string")
         wide, names = with_names(own, urls)
         run = lambda d: urls.filtered(d, urls.example_list(spark))
         docs = own
     else:
-        module = {"quality": quality, "lines": lines, "substrings": substrings, "neardup": neardup, "packing": packing, "decontaminate": decontaminate, "toxicity": toxicity}[operator]
+        module = {"quality": quality, "lines": lines, "substrings": substrings, "packing": packing, "toxicity": toxicity}[operator]
         wide, names = with_names(docs, module)
         run = {
-            "quality": lambda d: quality.judged(d, labels(spark)), "lines": lambda d: lines.remove_boilerplate(d), "substrings": substrings.remove_repeats, "neardup": neardup.near_duplicates,
-            "packing": packing.packed, "decontaminate": lambda d: decontaminate.decontaminated(d, items), "toxicity": lambda d: toxicity.scored(d, labels(spark)),
+            "quality": lambda d: quality.judged(d, labels(spark)), "lines": lambda d: lines.remove_boilerplate(d), "substrings": substrings.remove_repeats,
+            "packing": packing.packed, "toxicity": lambda d: toxicity.scored(d, labels(spark)),
         }[operator]
     plain, full = run(docs), run(wide)
     both = [c for c in plain.columns]
@@ -58,7 +57,7 @@ def test_extra_columns_keep_their_values(spark, operator):
     kept = [n for n in names if n in full.columns and n not in both]
     if kept:
         assert full.where(" or ".join(f"`{n}` is null or `{n}` <> 999" for n in kept)).count() == 0
-    if operator in ("quality", "lines", "urls", "decontaminate"):
+    if operator in ("quality", "lines", "urls"):
         assert set(names) <= set(full.columns)
 
 
