@@ -140,7 +140,7 @@ def fitted(x: np.ndarray, rows: int, dims: int, k: int, recall: float, seed: int
 
 def coded(vectors: DataFrame, dims: int, most: int | None = None) -> DataFrame:
     """(vec_id, k1, k2, vec): the vectors that take part, as bytes, and their hash; of each batch the ``most`` least ids of a vector, or all."""
-    whole = "double" if vectors.schema["embedding"].dataType.simpleString() in ("array<double>", "array<bigint>") else "float"
+    whole = "float" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "double"
     kind = np.float64 if whole == "double" else np.float32
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
