@@ -21,11 +21,12 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
+from math import isqrt
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,8 +43,10 @@ COPY, FEW_WORDS = 10, 8
 PROSE = 18
 _SENTENCE_ENDS = ".!?…。！？\"'”’»)"
 MAX_BROADCAST_BYTES = 32 << 20
-#: Siblings whose numbers multiply to more are aligned by label alone.
-MOST_CELLS = 40_000
+#: Lists of so many siblings are aligned in numpy, with the same result.
+LONG = 64
+#: Shapes, sizes and pairs that are kept for the next page with the same reference; beyond, they are found anew.
+MOST_HELD = 2_000
 #: No tag has a < outside quotes, and none is scanned twice.
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|title)\b[^<>]*+>.*?(?:</\1\s*>|\Z)|<[!?][^<>]*+>|</?[a-zA-Z](?:\"[^\"]*+\"|'[^']*+'|[^'\"<>])*+>", re.S | re.I)
 _OPEN = re.compile(r"<[a-zA-Z/!?]")
@@ -64,13 +67,13 @@ _CLOSE_P = frozenset("address article aside blockquote center details dialog dir
 
 
 class Node:
-    __slots__ = ("bad", "children", "content", "label", "name", "number", "own", "parent", "telling")
+    __slots__ = ("bad", "children", "content", "label", "name", "number", "own", "parent", "shape", "telling")
 
     def __init__(self, name: str, label: str) -> None:
         self.name, self.label, self.content = name, label, True
         self.children: list[Node] = []
         self.own = ""
-        self.number = -1
+        self.number = self.shape = -1
         self.parent: Node | None = None
         self.bad = self.telling = False  # no content by name; by class
 
@@ -213,115 +216,191 @@ def leaf_hashes(root: Node) -> dict[int, tuple[int, int]]:
 class Matching:
     """Simple tree matching of two trees, from the leaves up without recursion.
 
-    The size of the largest matching of two subtrees with equal labels that keeps order and levels.
+    The size of the largest matching of two subtrees with equal labels that keeps order and levels.  It hangs
+    on their shapes alone (label and shapes of the children), so each pair of shapes is matched once, and
+    equal ones match child by child.  The matching is a largest one for lists of children of any length.
+    What is found is kept for further trees, as long as the second one stays the same.
     """
 
     def __init__(self) -> None:
-        #: Of each pair of nodes with equal labels: the size of its best matching, and the matched children.
-        self.memo: dict[tuple[int, int], tuple[int, list[tuple[Node, Node]]]] = {}
+        self.forget()
+
+    def forget(self) -> None:
+        self.shapes: dict[tuple, int] = {}
+        #: Of each shape: its label and its children's shapes; its nodes; whether it is flat.
+        self.kinds: list[tuple] = []
+        self.sizes: list[int] = []
+        self.flat: list[bool] = []
+        #: Of each pair of shapes with equal labels and with children: the size of its best matching.
+        self.memo: dict[int, dict[int, int]] = {}
+        #: Of pairs that are matched themselves: the positions of the matched children.
+        self.pairs: dict[tuple[int, int], list[tuple[int, int]]] = {}
+        self.second: Node | None = None
+        self.held = 0
+
+    def _shape(self, root: Node) -> int:
+        order, todo = [], [root]
+        while todo:
+            node = todo.pop()
+            order.append(node)
+            todo += node.children
+        for node in reversed(order):
+            kind = (node.label, *[c.shape for c in node.children])
+            if (found := self.shapes.get(kind)) is None:
+                found = self.shapes[kind] = len(self.kinds)
+                self.kinds.append(kind)
+                self.held += len(kind)
+                self.sizes.append(1 + sum(self.sizes[c] for c in kind[1:]))
+                self.flat.append(_flat(node))
+            node.shape = found
+        return root.shape
 
     def size(self, a: Node, b: Node) -> int:
-        if a.label != b.label:
-            return 0
-        todo = [(a, b, False)]
-        while todo:
-            x, y, ready = todo.pop()
-            if (x.number, y.number) in self.memo:
-                continue
-            if ready:
-                total, pairs = self._matched(x, y)
-                self.memo[x.number, y.number] = 1 + total, pairs
-            else:
-                todo.append((x, y, True))
-                todo += [(p, q, False) for p, q in self._needed(x, y) if (p.number, q.number) not in self.memo]
-        return self.memo[a.number, b.number][0]
+        p, q = self._shape(a), b.shape if b is self.second else self._shape(b)
+        self.second = b
+        if self._open(p, q):
+            todo = [(p, q, self._needed(p, q))]
+            while todo:
+                x, y, needed = todo[-1]
+                if (pair := next(needed, None)) is not None:
+                    todo.append((*pair, self._needed(*pair)))
+                else:
+                    todo.pop()
+                    self.memo.setdefault(x, {})[y] = 1 + self._total(x, y)
+                    self.held += 1
+        return self._weight(p, q)
 
-    @staticmethod
-    def _ends(xs: list[Node], ys: list[Node]) -> tuple[int, int, int]:
+    def _open(self, p: int, q: int) -> bool:
+        """Whether the size of this pair has to be found from its children's and hasn't been."""
+        a, b = self.kinds[p], self.kinds[q]
+        return p != q and a[0] == b[0] and len(a) > 1 and len(b) > 1 and q not in self.memo.get(p, ())
+
+    def _middle(self, p: int, q: int) -> tuple[int, int, int]:
         """Equal flat children at either end match each other in some best matching: where the others begin and end."""
-        i, n, m = 0, len(xs), len(ys)
-        simple = lambda x, y: x.label == y.label and _flat(x) and _flat(y)
-        while i < n and i < m and simple(xs[i], ys[i]):
+        xs, ys, flat = self.kinds[p], self.kinds[q], self.flat
+        i, n, m = 1, len(xs), len(ys)
+        while i < n and i < m and xs[i] == ys[i] and flat[xs[i]]:
             i += 1
-        while n > i and m > i and simple(xs[n - 1], ys[m - 1]):
+        while n > i and m > i and xs[n - 1] == ys[m - 1] and flat[xs[n - 1]]:
             n, m = n - 1, m - 1
         return i, n, m
 
-    def _needed(self, a: Node, b: Node) -> list[tuple[Node, Node]]:
-        i, n, m = self._ends(a.children, b.children)
-        if (n - i) * (m - i) > MOST_CELLS:
-            return [(x, y) for x, y in self._by_label(a.children[i:n], b.children[i:m]) if not (_flat(x) and _flat(y))]
-        others: dict[str, list[Node]] = {}
-        for y in b.children[i:m]:
-            others.setdefault(y.label, []).append(y)
-        return [(x, y) for x in a.children[i:n] for y in others.get(x.label, ()) if not (_flat(x) and _flat(y))]
+    def _needed(self, p: int, q: int) -> Iterator[tuple[int, int]]:
+        i, n, m = self._middle(p, q)
+        others: dict[str, list[int]] = {}
+        for y in dict.fromkeys(self.kinds[q][i:m]):
+            others.setdefault(self.kinds[y][0], []).append(y)
+        for x in dict.fromkeys(self.kinds[p][i:n]):
+            for y in others.get(self.kinds[x][0], ()):
+                if self._open(x, y):
+                    yield x, y
+
+    def _weight(self, p: int, q: int) -> int:
+        a, b = self.kinds[p], self.kinds[q]
+        if a[0] != b[0]:
+            return 0
+        if p == q:
+            return self.sizes[p]
+        return self.memo[p][q] if len(a) > 1 and len(b) > 1 else 1
+
+    def _rows(self, last: list[int] | np.ndarray, xs: tuple, ys: tuple) -> Iterator[list[int] | np.ndarray]:
+        """The rows after ``last`` of the table of the heaviest matchings of the first of ``xs`` with the first of ``ys``."""
+        if isinstance(last, list):
+            for x in xs:
+                row, here, label = [0], 0, self.kinds[x][0]
+                for j, y in enumerate(ys):
+                    if last[j + 1] > here:
+                        here = last[j + 1]
+                    if self.kinds[y][0] == label and (met := last[j] + self._weight(x, y)) > here:
+                        here = met
+                    row.append(here)
+                last = row
+                yield row
+            return
+        different, at = np.unique(np.array(ys, np.int64), return_inverse=True)
+        different = different.tolist()
+
+        @lru_cache(maxsize=16)
+        def weights(x: int) -> np.ndarray:
+            return np.array([self._weight(x, y) for y in different], np.int32)[at]
 
-    @staticmethod
-    def _by_label(xs: list[Node], ys: list[Node]) -> list[tuple[Node, Node]]:
-        """Each child with the next one of its label, in order."""
-        at: dict[str, list[int]] = {}
-        for j, y in enumerate(ys):
-            at.setdefault(y.label, []).append(j)
-        pairs, j = [], 0
         for x in xs:
-            places = at.get(x.label, [])
-            k = bisect_left(places, j)
-            # a child far ahead would leave out all between
-            if k < len(places) and places[k] - j <= 50:
-                j = places[k] + 1
-                pairs.append((x, ys[places[k]]))
-        return pairs
-
-    def _weight(self, x: Node, y: Node) -> int:
-        if x.label != y.label:
-            return 0
-        if _flat(x) and _flat(y):
-            return 1 + (len(x.children) > 0 and len(y.children) > 0)
-        return self.memo[x.number, y.number][0]
+            row = np.zeros(len(ys) + 1, np.int32)
+            np.add(last[:-1], weights(x), out=row[1:])
+            np.maximum(row, last, out=row)
+            np.maximum.accumulate(row, out=row)
+            last = row
+            yield row
 
-    def children(self, x: Node, y: Node) -> list[tuple[Node, Node]]:
-        """The matched children of two nodes whose size is known."""
-        if (found := self.memo.get((x.number, y.number))) is not None:
-            return found[1]
-        return [(x.children[0], y.children[0])] if x.children and y.children else []
-
-    def _matched(self, a: Node, b: Node) -> tuple[int, list[tuple[Node, Node]]]:
-        """The best matching of two nodes' children, whose own sizes are known."""
-        xs, ys = a.children, b.children
-        i, n, m = self._ends(xs, ys)
-        pairs = [*zip(xs[:i], ys[:i], strict=True)]
-        tail = [*zip(xs[n:], ys[m:], strict=True)]
-        if (n - i) * (m - i) > MOST_CELLS:
-            middle = self._by_label(xs[i:n], ys[i:m])
-        else:
-            rows = [[0] * (m - i + 1)]
-            for x in xs[i:n]:
-                last, row = rows[-1], [0]
-                for j, y in enumerate(ys[i:m]):
-                    row.append(max(last[j + 1], row[j], last[j] + self._weight(x, y)))
-                rows.append(row)
-            p, q, middle = n - i, m - i, []
-            while p and q:
-                w = self._weight(xs[i + p - 1], ys[i + q - 1])
-                if w and rows[p][q] == rows[p - 1][q - 1] + w:
+    @staticmethod
+    def _first(ys: tuple) -> list[int] | np.ndarray:
+        """The table's first row; an array where numpy is faster, which changes no result."""
+        return [0] * (len(ys) + 1) if len(ys) < LONG else np.zeros(len(ys) + 1, np.int32)
+
+    def _total(self, p: int, q: int) -> int:
+        """The size of the best matching of two shapes' children, whose own sizes are known."""
+        i, n, m = self._middle(p, q)
+        xs, ys = self.kinds[p], self.kinds[q]
+        ends = sum(self.sizes[x] for part in (xs[1:i], xs[n:]) for x in part)
+        last = self._first(ys[i:m])
+        for row in self._rows(last, xs[i:n], ys[i:m]):
+            last = row
+        return ends + int(last[-1])
+
+    def _best(self, xs: tuple, ys: tuple) -> list[tuple[int, int]]:
+        """The positions that the heaviest matching pairs; of several, the one found from the end.
+
+        One row in about the root of all is kept and those between are computed again, so that long
+        lists need time by the product of their lengths, but no such memory.
+        """
+        step = max(isqrt(len(xs)), LONG)
+        last = self._first(ys)
+        kept = [last]
+        for k, row in enumerate(self._rows(last, xs[: (len(xs) - 1) // step * step], ys), 1):
+            if k % step == 0:
+                kept.append(row)
+        p, q, found = len(xs), len(ys), []
+        for k in range(len(kept) - 1, -1, -1):
+            low = k * step
+            begin = kept.pop()[: q + 1]
+            rows = [begin, *self._rows(begin, xs[low:p], ys[:q])]
+            while p > low and q:
+                here, above = rows[p - low], rows[p - low - 1]
+                w = self._weight(xs[p - 1], ys[q - 1])
+                if w and here[q] == above[q - 1] + w:
                     p, q = p - 1, q - 1
-                    middle.append((xs[i + p], ys[i + q]))
-                elif rows[p][q] == rows[p - 1][q]:
+                    found.append((p, q))
+                elif here[q] == above[q]:
                     p -= 1
                 else:
                     q -= 1
-            middle.reverse()
-        found = pairs + middle + tail
-        return sum(self._weight(x, y) for x, y in found), found
+            if not q:
+                break
+        return found[::-1]
+
+    def children(self, x: Node, y: Node) -> list[tuple[Node, Node]]:
+        """The matched children of two matched nodes of the trees whose size is known."""
+        p, q = x.shape, y.shape
+        if p == q:
+            return [*zip(x.children, y.children, strict=True)]
+        if (pairs := self.pairs.get((p, q))) is None:
+            i, n, m = self._middle(p, q)
+            xs, ys = self.kinds[p], self.kinds[q]
+            pairs = [(k, k) for k in range(i - 1)]
+            pairs += [(i - 1 + a, i - 1 + b) for a, b in self._best(xs[i:n], ys[i:m])]
+            pairs += [(n - 1 + k, m - 1 + k) for k in range(len(xs) - n)]
+            self.pairs[p, q] = pairs
+            self.held += len(pairs)
+        return [(x.children[a], y.children[b]) for a, b in pairs]
 
 
 def _flat(x: Node) -> bool:
     return not x.children or (len(x.children) == 1 and x.children[0].name == "#text")
 
 
-def align(page: Node, reference: Node) -> dict[int, Node]:
+def align(page: Node, reference: Node, matching: Matching | None = None) -> dict[int, Node]:
     """The reference node of each matched node of the page, by the page node's number."""
-    matching, found, todo = Matching(), {}, [(page, reference)]
+    matching, found, todo = matching or Matching(), {}, [(page, reference)]
     matching.size(page, reference)
     while todo:
         x, y = todo.pop()
@@ -331,12 +410,18 @@ def align(page: Node, reference: Node) -> dict[int, Node]:
 
 
 @lru_cache(maxsize=256)
-def _reference(page: str) -> Node:
-    return parse(page)
+def _reference(page: str) -> tuple[Node, Matching]:
+    return parse(page), Matching()
 
 
 def _twins(tree: Node, page: str, reference: str | None) -> dict[int, Node]:
-    return align(tree, _reference(reference)) if reference and reference != page else {}
+    if not reference or reference == page:
+        return {}
+    other, matching = _reference(reference)
+    found = align(tree, other, matching)
+    if matching.held > MOST_HELD:
+        matching.forget()
+    return found
 
 
 _LEAF = "key string, page bigint, leaf int, place bigint, block bigint, node int, same boolean, slot int, chars int, words int, heading boolean"
@@ -525,7 +610,8 @@ def extracted(pages: DataFrame, share: float = SHARE, least_pages: int = LEAST_P
     Null and empty pages, and pages without content, have an empty text.  A null or malformed url has no
     host, and its page no reference.  Copies of the reference page cast no vote and lose its template
     nodes as they are.  Repeated rows are extracted each, and vote once; other columns are ignored, and an empty table gives
-    an empty result.  Pages of any length and depth are parsed whole, in time linear in their length.
+    an empty result.  Pages of any length and depth are parsed whole, in time linear in their length, and aligned
+    by a best matching, in time up to the product of their different shapes and of their siblings' numbers.
 
     The learning and the extracting pass parse each page, as that costs less than writing its blocks.
     References and wrappers of all hosts go to every executor up to ``MAX_BROADCAST_BYTES`` of reference
