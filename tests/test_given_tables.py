@@ -75,6 +75,31 @@ def test_rows_for_given_tables(spark):
     assert sorted(map(str, new.collect())) == sorted(map(str, other.collect()))
 
 
+def test_keys_that_share_columns(spark):
+    m = parse("CREATE TYPE e AS ENUM ('x', 'y', 'z'); CREATE TABLE p (id BIGINT PRIMARY KEY); CREATE TABLE q (id BIGINT PRIMARY KEY); CREATE TABLE t (p_id BIGINT REFERENCES p(id), q_id BIGINT REFERENCES q(id), a TEXT, e e, PRIMARY KEY (p_id, q_id), UNIQUE (a, e), UNIQUE (e, q_id));")
+    registry = Registry()
+    registry.register("text", lambda c: below(c.u(), 8).cast("string"))
+    g = Generator(m, {"p": 6, "q": 6, "t": 8}, registry=registry)
+    tables = {n: g.table(spark, n) for n in ("p", "q", "t")}
+    assert tables["t"].count() == 8 and violations(tables, m).count() == 0
+    given = {n: d.drop("row_index") for n, d in tables.items()}
+    given["t"] = given["t"].where("e <> 'x'")
+    new = extended(given, m, "t", 5, registry=registry)
+    both = new.drop("row_index").unionByName(given["t"]).withColumn("row_index", F.monotonically_increasing_id())
+    assert new.count() == 5 and violations(tables | {"t": both}, m).count() == 0
+
+
+def test_redraw_of_several_keys(spark):
+    rows = spark.range(12).select(F.col("id").alias("row_index"))
+    draw = lambda k: {c: F.pmod(F.xxhash64("row_index", F.lit(f"{k}{c}")), F.lit(n)) for c, n in (("x", 6), ("y", 4), ("z", 6))}
+    taken = spark.createDataFrame([(0, 0, 1), (5, 3, 2)], "x bigint, y bigint, z bigint")
+    got = redrawn(rows, draw, taken, keys=[["x", "y"], ["y", "z"]]).collect()
+    for left in ("x", "z"):
+        assert len({(r[left], r["y"]) for r in got} - {(r[left], r["y"]) for r in taken.collect()}) == 12
+    again = redrawn(rows.repartition(3), draw, taken.repartition(2), keys=[["x", "y"], ["y", "z"]]).collect()
+    assert sorted(got) == sorted(again)
+
+
 def test_numbers_and_backfill(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(6)
     assert all(r["n"] == r["x"] for r in numbered(df, ["x"], "n").collect()) and numbered(df.limit(0), ["x"]).count() == 0
