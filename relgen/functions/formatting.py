@@ -19,9 +19,24 @@ def _number(value: Column, kind: T.DataType) -> Column:
     return value.cast("string")
 
 
+def unsigned_year(text: Column) -> Column:
+    """A date's or time's text without the plus sign that Spark puts before years of more than four digits."""
+    return F.regexp_replace(text, "^[+]", "")
+
+
+def second(value: Column) -> Column:
+    """A time's text to the second."""
+    return unsigned_year(F.date_format(value, "yyyy-MM-dd HH:mm:ss"))
+
+
+def _text(value: Column, kind: T.DataType) -> Column:
+    text = value.cast("string")
+    return unsigned_year(text) if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)) else text
+
+
 def sql_literal(value: Column, kind: T.DataType, target: str = "", compatible: bool = False) -> Column:
     """``target``: the declared type; text columns quote numbers too.  ``compatible``: decimals are quoted."""
-    quoted = F.concat(F.lit("'"), F.replace(value.cast("string"), F.lit("'"), F.lit("''")), F.lit("'"))
+    quoted = F.concat(F.lit("'"), F.replace(_text(value, kind), F.lit("'"), F.lit("''")), F.lit("'"))
     if isinstance(kind, T.BooleanType):
         out = F.when(value, "TRUE").otherwise("FALSE")
     elif isinstance(kind, T.NumericType):
@@ -56,7 +71,7 @@ def csv_field(value: Column, kind: T.DataType) -> Column:
     elif isinstance(kind, T.NumericType):
         out = value.cast("string")
     else:
-        out = F.concat(F.lit('"'), F.replace(value.cast("string"), F.lit('"'), F.lit('""')), F.lit('"'))
+        out = F.concat(F.lit('"'), F.replace(_text(value, kind), F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(value.isNull(), "").otherwise(out)
 
 

@@ -1,9 +1,10 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from relgen import jobs, queries, star
 from relgen.functions.generators import ExhaustedError
-from relgen.functions.formatting import shortest
+from relgen.functions.formatting import csv_field, shortest, sql_literal
 from relgen.operators import sinks
 from relgen.operators.generate import Generator, generate, stream_events
 from relgen.operators.profile import profile
@@ -84,6 +85,14 @@ def test_shortest_numbers(spark):
     assert got == want and all(float(s) == x for x, s in got.items())
 
 
+def test_years_over_9999_have_no_sign(spark):
+    g = Generator(parse(queries.SHOP), {**dict.fromkeys(queries.LIKE, 10), "people": 2_914_700})
+    last = g.table(spark, "people").where("row_index in (0, 2914699)").orderBy("row_index")
+    want = ["2020-01-01", "10000-03-05"]
+    made = last.select(queries.second(F.col("created_at")), sql_literal(F.col("created_at"), last.schema["created_at"].dataType), csv_field(F.col("created_at").cast("date"), T.DateType())).collect()
+    assert [r[0][:-9] for r in made] == want and [r[1][1:-10] for r in made] == want and [r[2][1:-1] for r in made] == want
+
+
 def test_hostile_tables(spark):
     m = parse('CREATE TABLE p (id INT PRIMARY KEY); CREATE TABLE c ("a.b" INT UNIQUE, n INT NOT NULL, p INT REFERENCES p(id), u VARCHAR(2), UNIQUE (n, u));')
     c = spark.createDataFrame([(0, 1), (1, 1)], "row_index long, `a.b` int")
