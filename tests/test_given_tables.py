@@ -9,7 +9,7 @@ from relgen.functions.generators import ExhaustedError, Registry
 from relgen.functions.rng import below
 from relgen.operators import sinks
 from relgen.operators.admission import admitted, folded
-from relgen.operators.generate import Generator, backfilled, extended
+from relgen.operators.generate import Extension, Generator, backfilled, extended
 from relgen.operators.numbering import numbered
 from relgen.operators.profile import profile
 from relgen.operators.profile_state import merged, profile_of, profile_state
@@ -100,6 +100,26 @@ def test_redraw_of_several_keys(spark):
     assert sorted(got) == sorted(again)
 
 
+def test_floats_beyond_cents(spark):
+    m = parse("CREATE TABLE t (id BIGINT PRIMARY KEY, r REAL UNIQUE);")
+    given = spark.range(1_000_000).select("id", (F.col("id") / 100).cast("float").alias("r"))
+    new = [r["r"] for r in extended({"t": given}, m, "t", 20).collect()]
+    assert len(set(new)) == 20 and all(0 <= x < 10_000 for x in new) and given.where(F.col("r").isin(new)).count() == 0
+
+
+def test_tries_may_be_a_column(spark):
+    m = parse("CREATE TYPE e AS ENUM ('x', 'y'); CREATE TABLE p (id BIGINT PRIMARY KEY); CREATE TABLE t (p_id BIGINT REFERENCES p(id), e e, u UUID, r REAL, d NUMERIC(7,2), j JSONB, w TEXT, at TIME, ip INET, UNIQUE (p_id, e, u, r, d, j, w, at, ip));")
+    registry = Registry()
+    given = {"p": spark.range(9), "t": spark.createDataFrame([], "p_id long")}
+    g, t = Extension(given, m, "t", 30, registry=registry), m.table("t")
+    assert g._counted(t, t.unique[0])
+    rows = spark.range(30).select(F.col("id").alias("row_index"), F.lit(7).alias("k"))
+    one, column = (sorted(map(str, rows.select("row_index", *(c.alias(n) for n, c in g._draws(t, t.unique[0], k).items())).collect())) for k in (7, F.col("k")))
+    assert one == column
+    registry.register("float", lambda c: F.lit(1.0))
+    assert not g._counted(t, t.unique[0]) and not Generator(m, 3)._counted(t, t.unique[0])
+
+
 def test_numbers_and_backfill(spark):
     df = spark.range(1000).select((F.col("id") * 7919 % 1000).alias("x")).repartition(6)
     assert all(r["n"] == r["x"] for r in numbered(df, ["x"], "n").collect()) and numbered(df.limit(0), ["x"]).count() == 0
